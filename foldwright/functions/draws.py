@@ -1,38 +1,41 @@
-"""Deterministic random draws (BP-2): equal inputs give equal draws on any partitioning."""
+"""Deterministic random draws (BP-2): equal inputs give equal draws on any partitioning.
+
+A draw is the first 60 bits of an MD5 digest over the seed and the identifying values, so any SQL
+engine can repeat it; nothing depends on task order, retries or a generator's state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RESOLUTION = 1 << 52
+_SPAN = float(1 << 60)
 
 
-def hash_key(seed: int, *parts: Column | str) -> Column:
-    """A signed 64-bit shuffle key; ordering by it is a seeded shuffle."""
-    return F.xxhash64(F.lit(seed), *[F.col(p) if isinstance(p, str) else p for p in parts])
+def hash_key(seed: int | str, *parts: Column | str) -> Column:
+    """A number in [0, 2**60); ordering by it is a seeded shuffle."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def hash_index(seed: int, n: Column | int, *parts: Column | str) -> Column:
+def hash_index(seed: int | str, n: Column | int, *parts: Column | str) -> Column:
     """A draw from 0..n-1."""
     bound = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(hash_key(seed, *parts), bound)
+    return F.pmod(hash_key(seed, *parts), bound.cast("long"))
 
 
-def hash_uniform(seed: int, *parts: Column | str) -> Column:
+def hash_uniform(seed: int | str, *parts: Column | str) -> Column:
     """A draw from [0, 1)."""
-    return F.pmod(hash_key(seed, *parts), F.lit(_RESOLUTION)) / F.lit(float(_RESOLUTION))
+    return hash_key(seed, *parts) / F.lit(_SPAN)
 
 
-def hash_poisson_one(seed: int, *parts: Column | str) -> Column:
+def hash_poisson_one(seed: int | str, *parts: Column | str) -> Column:
     """A Poisson(1) count by inversion; the tail beyond 12 has mass below 1e-10."""
-    u = hash_uniform(seed, *parts)
-    steps, mass, cumulative = [], 0.36787944117144233, 0.0
+    mass, cumulative, steps = 0.36787944117144233, 0.0, []
     for k in range(13):
         cumulative += mass
         steps.append(cumulative)
         mass /= k + 1
-    count = F.lit(0)
-    for edge in steps:
-        count = count + (u >= F.lit(edge)).cast("int")
-    return count
+    edges = F.array(*[F.lit(e) for e in steps])
+    u = hash_uniform(seed, *parts)
+    return F.size(F.filter(edges, lambda e: e <= u))
