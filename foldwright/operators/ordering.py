@@ -285,3 +285,39 @@ def exact_quantile(
         F.max(weight).alias("_w"),
     )
     return picked.select(*keys, (F.col("_lo") * (1 - F.col("_w")) + F.col("_hi") * F.col("_w")).alias(name))
+
+
+def with_neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    build,
+    *,
+    before: int = 1,
+    after: int = 0,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Add columns that look at most `before` rows back and `after` rows ahead inside a key.
+
+    `build(window)` returns {name: Column} over the ordered window it is given. Keys above `max_rows`
+    are cut into blocks of rows; each block also receives the few rows next to it, so every frame
+    is complete and no block grows with its key.
+    """
+    limit = MAX_ROWS_PER_TASK if max_rows is None else max_rows
+    keys = list(keys)
+    work, names = (df, keys) if keys else (df.withColumn("_one", F.lit(1)), ["_one"])
+    _, hot_rows = hot_keys(work, names, limit)
+    if hot_rows == 0:
+        window = Window.partitionBy(*names).orderBy(*order)
+        return work.select(*df.columns, *[c.alias(n) for n, c in build(window).items()])
+    size = max(limit, 4 * (before + after), 1)
+    numbered = number_by_key(work, names, order, "_no", max_rows=limit)
+    home, inside = F.floor((F.col("_no") - 1) / size), F.pmod(F.col("_no") - 1, F.lit(size))
+    homes = F.array_compact(
+        F.array(home, F.when(inside >= size - before, home + 1), F.when(inside < after, home - 1))
+    )
+    spread = numbered.withColumn("_home", home).withColumn("_block", F.explode(homes))
+    window = Window.partitionBy(*names, "_block").orderBy("_no")
+    columns = build(window)
+    built = spread.select("*", *[c.alias(n) for n, c in columns.items()])
+    return built.filter(F.col("_block") == F.col("_home")).select(*df.columns, *columns)
