@@ -129,7 +129,7 @@ FRAME = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED
 
 def _ordered(t):
     return t.events.select(
-        "event_id", "user_id", "value", (F.col("value") / 7).alias("p"), F.unix_micros("ts").alias("t"), (F.col("event_type") == "error").cast("int").alias("y")
+        "event_id", "user_id", "value", (F.col("value") * 0.1234567).alias("p"), F.unix_micros("ts").alias("t"), (F.col("event_type") == "error").cast("int").alias("y")
     )
 
 
@@ -144,7 +144,7 @@ def _(t):
 
 @query(
     "win4_temporal_smoothing",
-    f"""SELECT event_id, {r6(f"0.75 * value / 7 + 0.25 * coalesce(avg(value / 7) {FRAME}, value / 7)")} AS smoothed FROM events""",
+    f"""SELECT event_id, {r6(f"0.75 * value * 0.1234567::DOUBLE + 0.25 * coalesce(avg(value * 0.1234567::DOUBLE) {FRAME}, value * 0.1234567::DOUBLE)")} AS smoothed FROM events""",
 )
 def _(t):
     return E.temporal_smoothing(_ordered(t), "user_id", "p", ["t", "event_id"]).select(
@@ -175,7 +175,7 @@ def _(t):
     "win7_decayed_history",
     f"""WITH n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
         FROM events)
-    SELECT a.event_id, {r6("coalesce(sum(b.value / 7 * pow(0.3::DOUBLE, a.i - b.i - 1)), 0)")} AS decayed
+    SELECT a.event_id, {r6("coalesce(sum(b.value * 0.1234567::DOUBLE * pow(0.3::DOUBLE, a.i - b.i - 1)), 0)")} AS decayed
     FROM n a LEFT JOIN n b ON a.user_id = b.user_id AND b.i < a.i GROUP BY a.event_id""",
 )
 def _(t):
