@@ -134,19 +134,20 @@ def prefix_by_key(
     *,
     ties: str = "rows",
     max_rows: int | None = None,
+    known_small: bool = False,
 ) -> DataFrame:
     """Add running sums (0 at the start) and running maxima (null at the start) over earlier rows.
 
     `ties="rows"` takes `order` as unique and counts every preceding row. `ties="exclude"` compares
     the first order column only and leaves out rows with an equal value. An empty key list makes the
-    whole table one key.
+    whole table one key. `known_small` skips the size check when the caller has already made it.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     limit = MAX_ROWS_PER_TASK if max_rows is None else max_rows
     work, key_names = df, list(keys)
     if not key_names:
         work, key_names = df.withColumn("_one", F.lit(1)), ["_one"]
-    hot, hot_rows = hot_keys(work, key_names, limit)
+    hot, hot_rows = (None, 0) if known_small else hot_keys(work, key_names, limit)
     integral = df.schema[order[0]].dataType.typeName() in ("timestamp", "date", "long", "integer", "short", "byte")
     if hot_rows == 0 and (ties == "rows" or integral):
         result = _plain_prefix(work, key_names, order, sums, maxima, ties)
@@ -222,10 +223,13 @@ def _sliced_prefix(df, keys, order, sums, maxima, hot, hot_rows, limit):
 
 
 def number_by_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no", *, max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no", *, max_rows: int | None = None,
+    known_small: bool = False,
 ) -> DataFrame:
     """Row number 1..n per key in a unique numeric order, safe for hot keys."""
-    return prefix_by_key(df, keys, order, {"_before": F.lit(1)}, max_rows=max_rows).withColumn(
+    return prefix_by_key(
+        df, keys, order, {"_before": F.lit(1)}, max_rows=max_rows, known_small=known_small
+    ).withColumn(
         name, (F.col("_before") + 1).cast("long")
     ).drop("_before")
 

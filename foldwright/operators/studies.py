@@ -592,21 +592,32 @@ def submission_diagnostics(predictions: DataFrame, labels: DataFrame, calls: Dat
 def operator_overlap(df: DataFrame, agent: str, operator: str) -> DataFrame:
     """Mean Jaccard of operator sets over all agent pairs, distinct operators counted (JOI20).
 
-    Pair intersections come from an equi-join on the operator after removing repeats; pairs that share
-    nothing contribute 0 through the pair count.
+    Agents with equal sets fold to one weighted set, so copies of one behaviour never form pairs.
+    Different sets meet through an equi-join on a shared operator; pairs that share nothing add 0.
+    An agent's set is bounded by the operator vocabulary.
     """
-    sets = df.select(agent, F.trim(F.lower(operator)).alias("_op")).distinct()
-    sizes = sets.groupBy(agent).agg(F.count(F.lit(1)).alias("_n"))
-    left = sets.select(F.col(agent).alias("_a"), "_op")
-    right = sets.select(F.col(agent).alias("_b"), "_op")
-    shared = left.join(right, "_op").filter(F.col("_a") < F.col("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_s"))
-    scored = shared.join(sizes.select(F.col(agent).alias("_a"), F.col("_n").alias("_na")), "_a").join(
-        sizes.select(F.col(agent).alias("_b"), F.col("_n").alias("_nb")), "_b"
-    )
-    total = scored.agg(F.sum(F.col("_s") / (F.col("_na") + F.col("_nb") - F.col("_s"))).alias("_sum")).withColumn("_k", F.lit(1))
-    agents = sizes.agg(F.count(F.lit(1)).alias("agents"), F.max("_n").alias("largest_set")).withColumn("_k", F.lit(1))
+    held = df.select(agent, F.trim(F.lower(operator)).alias("_op")).distinct()
+    sets = (
+        held.groupBy(agent)
+        .agg(F.sort_array(F.collect_set("_op")).alias("_set"))
+        .groupBy("_set")
+        .agg(F.count(F.lit(1)).alias("_w"))
+        .withColumn("_id", F.sha2(F.to_json("_set"), 256))
+    )
+    members = sets.select("_id", "_w", F.size("_set").alias("_n"), F.explode("_set").alias("_op"))
+    left = members.select("_op", F.col("_id").alias("_a"), F.col("_w").alias("_wa"), F.col("_n").alias("_na"))
+    right = members.select("_op", F.col("_id").alias("_b"), F.col("_w").alias("_wb"), F.col("_n").alias("_nb"))
+    shared = left.join(right, "_op").filter(F.col("_a") < F.col("_b")).groupBy("_a", "_b").agg(
+        F.count(F.lit(1)).alias("_s"), F.max(F.col("_wa") * F.col("_wb")).alias("_w"), F.max(F.col("_na") + F.col("_nb")).alias("_n")
+    )
+    apart = shared.agg(F.sum(F.col("_w") * F.col("_s") / (F.col("_n") - F.col("_s"))).alias("_apart")).withColumn("_k", F.lit(1))
+    agents = sets.agg(
+        F.sum("_w").alias("agents"), F.max(F.size("_set")).alias("largest_set"),
+        F.sum(F.col("_w") * (F.col("_w") - 1) / 2).alias("_equal"),
+    ).withColumn("_k", F.lit(1))
+    total = agents.join(apart, "_k").withColumn("_sum", F.col("_equal") + F.coalesce("_apart", F.lit(0.0)))
     pairs = F.col("agents") * (F.col("agents") - 1) / 2
-    return agents.join(total, "_k").select(
-        "agents", "largest_set",
-        F.when(pairs > 0, F.coalesce("_sum", F.lit(0.0)) / pairs).otherwise(0.0).alias("mean_jaccard"),
+    return total.select(
+        "agents", F.col("largest_set").cast("long").alias("largest_set"),
+        F.when(pairs > 0, F.col("_sum") / pairs).otherwise(0.0).alias("mean_jaccard"),
     )
