@@ -13,6 +13,7 @@ from foldwright.operators.ordering import join_null_safe, number_by_key, with_ro
 
 TRAIN, VALIDATION, PURGED = "train", "validation", "purged"
 SECONDS_PER_DAY = 86_400
+_BROADCAST_SIZES = 50_000
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,7 +95,9 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
         "size long, offset long, starts array<long>, rotations array<array<int>>",
     )
     numbered = with_row_number(sizes, [F.desc("size"), F.col(group).cast("string")])
-    ranked = numbered.join(F.broadcast(plan), "size").withColumn("_rank", F.col("row_no") - 1 - F.col("offset"))
+    # Few sizes are the rule; a long histogram joins by shuffle instead.
+    small = len(histogram) <= _BROADCAST_SIZES
+    ranked = numbered.join(F.broadcast(plan) if small else plan, "size").withColumn("_rank", F.col("row_no") - 1 - F.col("offset"))
     piece = F.size(F.filter("starts", lambda s: s <= F.col("_rank")))
     rotation = F.element_at("rotations", piece)
     place = (F.pmod(F.col("_rank") - F.element_at("starts", piece), F.size(rotation).cast("long")) + 1).cast("int")

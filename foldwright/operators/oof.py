@@ -183,7 +183,7 @@ def simplex_blend_crossfit(
 
 def weighted_blend(df: DataFrame, weights: DataFrame, row: Sequence[str], prediction: str, on: Sequence[str]) -> DataFrame:
     """Weighted sum of candidate predictions per row (MLJ2); weights hold one row per fold and candidate."""
-    joined = df.join(F.broadcast(weights), list(on))
+    joined = df.join(weights, list(on))
     return joined.groupBy(*row).agg(F.sum(F.col("weight") * F.col(prediction)).alias("blended"))
 
 

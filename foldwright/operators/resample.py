@@ -24,8 +24,8 @@ MINIMUM_TASKS = 2
 NULL_TAIL, FUTILITY_CONFIDENCE, MINIMUM_NULLS = 0.05, 0.05, 5
 # Values one bootstrap array may hold; larger groups draw Poisson weights row by row instead.
 ARRAY_LIMIT = 4096
-# Positions a broadcast table of draws may hold (4 bytes each).
-DRAW_TABLE_VALUES = 8_000_000
+# Array entries a broadcast side of the bootstrap join may hold (8 bytes each).
+BROADCAST_VALUES = 4_000_000
 # Candidates a tier walk accepts: its k*k flag table is the only thing that reaches the driver.
 MAX_CANDIDATES = 512
 
@@ -42,24 +42,24 @@ def draw_positions(sizes: DataFrame, resamples: int, seed: int | str) -> DataFra
 
 
 def _array_means(groups: DataFrame, keys: Sequence[str], resamples: int, seed: int | str) -> DataFrame:
-    """Resampled sum(_s)/sum(_c) per replicate, drawn inside each group's small array of (_s, _c) parts.
+    """Resampled sum(_s)/sum(_c) per replicate, drawn inside each group's small arrays `_s` and `_c`.
 
     Positions depend on the group size and the replicate only, so they are drawn once per size. The
-    table of draws is broadcast while its size, checked here, stays below DRAW_TABLE_VALUES.
+    smaller of the two tables is broadcast while its size, checked here, stays below
+    BROADCAST_VALUES; few groups then spread over tasks by replicate.
     """
-    sized = groups.withColumn("_n", F.size("_parts"))
-    values = (sized.select("_n").distinct().agg(F.sum("_n")).first()[0] or 0) * resamples
+    sized = groups.withColumn("_n", F.size("_s"))
+    held, drawn = sized.agg(F.sum("_n"), F.sum_distinct(F.col("_n"))).first()
     draws = draw_positions(sized, resamples, seed)
-    joined = sized.join(F.broadcast(draws) if values <= DRAW_TABLE_VALUES else draws, "_n")
-
-    def add(acc: Column, position: Column) -> Column:
-        part = F.element_at("_parts", position)
-        return F.struct((acc["s"] + part["_s"]).alias("s"), (acc["c"] + part["_c"]).alias("c"))
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-    return joined.select(*keys, "_rep", F.aggregate("_draws", zero, add).alias("_t")).select(
-        *keys, "_rep", F.coalesce(F.try_divide("_t.s", "_t.c"), F.lit(0.0)).alias("_mean")
-    )
+    if (held or 0) <= BROADCAST_VALUES:
+        tasks = groups.sparkSession.sparkContext.defaultParallelism
+        joined = draws.repartition(tasks, "_n", "_rep").join(F.broadcast(sized), "_n")
+    elif (drawn or 0) * resamples <= BROADCAST_VALUES:
+        joined = sized.join(F.broadcast(draws), "_n")
+    else:
+        joined = sized.join(draws, "_n")
+    total = lambda c: F.aggregate("_draws", F.lit(0.0), lambda acc, i: acc + F.element_at(c, i))
+    return joined.select(*keys, "_rep", F.coalesce(F.try_divide(total("_s"), total("_c")), F.lit(0.0)).alias("_mean"))
 
 
 def bootstrap_means(
@@ -88,7 +88,9 @@ def bootstrap_means(
     has_large = not large.isEmpty()
     small = join_null_safe(rows, large, keys, "left_anti") if has_large else rows
     part = F.struct(F.col(order), F.col("_s"), F.col("_c"))
-    groups = small.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    groups = small.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("_p")).select(
+        *keys, F.transform("_p", lambda p: p["_s"]).alias("_s"), F.transform("_p", lambda p: p["_c"]).alias("_c")
+    )
     means = _array_means(groups, keys, resamples, seed)
     if not has_large:
         return means

@@ -283,7 +283,7 @@ def paired_arm_statistics(scores: DataFrame, arm: str, seed: str, score: str, pa
     wanted = scores.sparkSession.createDataFrame(list(pairs), "treatment string, comparator string")
     left = scores.select(F.col(arm).alias("treatment"), seed, F.col(score).alias("_t"))
     right = scores.select(F.col(arm).alias("comparator"), seed, F.col(score).alias("_c"))
-    joined = left.join(F.broadcast(wanted), "treatment").join(right, ["comparator", seed])
+    joined = left.join(wanted, "treatment").join(right, ["comparator", seed])
     rows = joined.withColumn("delta", F.col("_t") - F.col("_c"))
     made = rows.groupBy("treatment", "comparator").agg(
         F.count(F.lit(1)).alias("seeds"),

@@ -198,32 +198,39 @@ def fold_signatures(proposals: DataFrame, proposal_id: str) -> tuple[DataFrame,
 def signature_edges(signatures: DataFrame, threshold: float = SIGNATURE_THRESHOLD) -> DataFrame:
     """Pairs of distinct signatures at the threshold (JOI17).
 
-    The six parts may lose 6*(1-t) together. Below a loss of one the flags must agree, and some field
-    loses at most a fifth of it, so its sets share a token in their prefixes at that field's level.
-    Candidates meet on (flag, field, token); the exact mean decides.
+    The six parts may lose L = 6*(1-t) together. With L below one the flags must agree, and at most
+    one field can lose more than L/2. So four of the five fields have Jaccard of at least 1 - L/2 and
+    share a token among the first n - ceil((1-L/2)*n) + 1 of each. Candidates meet on the flag and one
+    such token in every field of a choice of four; the exact mean decides.
     """
     loss = 6 * (1 - threshold)
     if loss >= 1:
         raise ValueError("blocking needs a threshold above 5/6")
-    level = 1 - loss / len(SIGNATURE_FIELDS)
+    level = 1 - loss / 2
+    reach = lambda f: (F.size(f) - F.ceil(F.lit(level) * F.size(f) - 1e-9) + 1).cast("int")
+    heads = signatures.select(
+        "signature", "candidate_producing", *[F.slice(F.array_sort(f), F.lit(1), reach(f)).alias(f) for f in SIGNATURE_FIELDS]
+    )
     keys = None
-    for field in SIGNATURE_FIELDS:
-        ordered = _rare_first(signatures, ["signature", "candidate_producing"], field)
-        n = F.size(field)
-        reach = (n - F.ceil(F.lit(level) * n - 1e-9) + 1).cast("int")
-        part = ordered.select(
-            "signature", "candidate_producing", F.lit(field).alias("_field"), F.explode(F.slice(field, F.lit(1), reach)).alias("_t")
-        )
+    for left_out in SIGNATURE_FIELDS:
+        part = heads
+        for field in SIGNATURE_FIELDS:
+            if field != left_out:
+                part = part.withColumn(field, F.explode(field))
+        chosen = F.struct(*[f for f in SIGNATURE_FIELDS if f != left_out])
+        part = part.select("signature", F.sha2(F.to_json(F.struct("candidate_producing", chosen.alias(left_out))), 256).alias("_key"))
         keys = part if keys is None else keys.unionByName(part)
     left = keys.withColumnRenamed("signature", "_l")
     right = keys.withColumnRenamed("signature", "_r")
-    candidates = left.join(right, ["candidate_producing", "_field", "_t"]).filter("_l < _r").select("_l", "_r").distinct()
+    candidates = left.join(right, "_key").filter("_l < _r").select("_l", "_r").distinct()
     side = lambda p: signatures.select(
         F.col("signature").alias(p), *[F.col(f).alias(f"{p}{f}") for f in (*SIGNATURE_FIELDS, "candidate_producing")]
     )
     verified = candidates.join(side("_l"), "_l").join(side("_r"), "_r").withColumn("similarity", signature_similarity("_l", "_r"))
-    return verified.filter(F.col("similarity") >= threshold - 1e-12).select(
-        F.col("_l").alias("left_signature"), F.col("_r").alias("right_signature"), "similarity"
+    return cut_lineage(
+        verified.filter(F.col("similarity") >= threshold - 1e-12).select(
+            F.col("_l").alias("left_signature"), F.col("_r").alias("right_signature"), "similarity"
+        )
     )
 
 
@@ -289,9 +296,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame, left: str, right: s
 def duplicate_clusters(proposals: DataFrame, proposal_id: str, threshold: float = SIGNATURE_THRESHOLD) -> DataFrame:
     """Cluster of every proposal, named by its smallest member (JOI18)."""
     signatures, members = fold_signatures(proposals, proposal_id)
-    parts = connected_components(
-        signature_edges(signatures, threshold), signatures, "left_signature", "right_signature", "signature"
-    )
+    return _clusters(signatures, members, signature_edges(signatures, threshold), proposal_id)
+
+
+def _clusters(signatures: DataFrame, members: DataFrame, edges: DataFrame, proposal_id: str) -> DataFrame:
+    parts = connected_components(edges, signatures, "left_signature", "right_signature", "signature")
     named = parts.join(signatures.select("signature", "first_id"), "signature")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("cluster"))
     return members.join(named.select("signature", "component"), "signature").join(smallest, "component").select(proposal_id, "cluster")
@@ -317,13 +326,14 @@ def similarity_audit(proposals: DataFrame, proposal_id: str, threshold: float =
     The mean over all pairs is a sum of per-field means; each field folds to its distinct values, so
     item pairs are counted, not formed.
     """
-    signatures, _ = fold_signatures(proposals, proposal_id)
-    clusters = duplicate_clusters(proposals, proposal_id, threshold)
+    signatures, members = fold_signatures(proposals, proposal_id)
+    pairs = signature_edges(signatures, threshold)
+    clusters = _clusters(signatures, members, pairs, proposal_id)
     flags = signatures.groupBy("candidate_producing").agg(F.sum("members").alias("_w"))
     sums = flags.agg(F.sum(F.col("_w") * (F.col("_w") - 1) / 2).alias("_x"))
     for field in SIGNATURE_FIELDS:
         sums = sums.unionByName(_field_pair_sum(signatures, field))
-    edges = signature_edges(signatures, threshold).agg(F.max("similarity").alias("_top")).withColumn("_k", F.lit(1))
+    edges = pairs.agg(F.max("similarity").alias("_top")).withColumn("_k", F.lit(1))
     size = clusters.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("cluster").alias("clusters")).withColumn("_k", F.lit(1))
     copies = signatures.agg(F.max("members").alias("_copies")).withColumn("_k", F.lit(1))
     total = sums.agg(F.sum("_x").alias("_sum")).withColumn("_k", F.lit(1))

@@ -228,17 +228,17 @@ def _(t):
 
 @query(
     "prj18_promotion_basis",
-    """WITH e AS (SELECT p_brand || p_type AS issue, p_partkey % 2 AS agent, p_size % 5 AS horizons, p_size % 6 AS seeds,
-        p_size % 2 = 0 AS same, p_size % 3 <> 0 AS gate, p_size % 7 <> 0 AS ver, p_size = 13 AS safety FROM part WHERE p_partkey % 2 = 0 OR p_size > 25)
+    """WITH e AS (SELECT p_brand || p_type || CAST(p_size % 10 AS VARCHAR) AS issue, CASE WHEN p_size > 25 THEN p_partkey % 2 ELSE 0 END AS agent, p_size % 5 AS horizons, p_size % 6 AS seeds,
+        p_size % 2 = 0 AS same, p_size % 3 <> 0 AS gate, p_size % 7 <> 0 AS ver, p_size = 13 AS safety FROM part)
     SELECT issue, count(DISTINCT agent) AS agents, CASE WHEN count(DISTINCT agent) >= 2 THEN 'independent_replication'
       WHEN bool_or(horizons >= 3 AND seeds >= 3 AND same AND gate AND ver) THEN 'strong_single_agent_replication'
       WHEN bool_or(safety) THEN 'safety' END AS basis FROM e GROUP BY issue""",
 )
 def _(t):
     size = F.col("p_size")
-    rows = t.part.filter((F.col("p_partkey") % 2 == 0) | (size > 25)).select(
-        F.concat("p_brand", "p_type").alias("issue"),
-        (F.col("p_partkey") % 2).alias("agent"),
+    rows = t.part.select(
+        F.concat("p_brand", "p_type", (size % 10).cast("string")).alias("issue"),
+        F.when(size > 25, F.col("p_partkey") % 2).otherwise(0).alias("agent"),
         (size % 5).alias("horizons"),
         (size % 6).alias("seeds"),
         (size % 2 == 0).alias("same_direction"),

@@ -359,13 +359,13 @@ def _(t):
 
 @query(
     "agg47_leaderboard_rank_equivalent",
-    f"""WITH p AS (SELECT max(o_totalprice) FILTER (o_orderkey % 10 = 3) AS v FROM orders),
+    f"""WITH p AS (SELECT max(o_totalprice) FILTER (o_orderstatus = 'F') AS v FROM orders),
       c AS (SELECT count(*) FILTER (o_totalprice > v) AS b, count(*) FILTER (o_totalprice = v) AS e, count(*) AS n
         FROM orders, p)
     SELECT n, {r6("CASE WHEN e > 0 THEN (2 * b + 1 + e) / 2.0 ELSE b + 1 END")} AS rank_equivalent FROM c""",
 )
 def _(t):
-    probe = t.orders.filter(F.col("o_orderkey") % 10 == 3).agg(F.max("o_totalprice")).first()[0]
+    probe = t.orders.filter("o_orderstatus = 'F'").agg(F.max("o_totalprice")).first()[0]
     return M.leaderboard_rank_equivalent(t.orders, "o_totalprice", probe).select(
         "n", rounded("rank_equivalent").alias("rank_equivalent")
     )
@@ -413,7 +413,7 @@ def _(t):
     rows = t.oof_long().filter(F.col("candidate_id").isin("A", "C"))
     ranked = M.normalised_ranks(rows, "oof_prediction", ["candidate_id"], "rank")
     total = 4.0
-    blended = ranked.join(F.broadcast(weights), "candidate_id").groupBy("row_id").agg(
+    blended = ranked.join(weights, "candidate_id").groupBy("row_id").agg(
         F.sum(F.col("weight") / total * F.col("rank")).alias("blended")
     )
     return blended.select(F.col("row_id").cast("long").alias("doc_id"), rounded("blended").alias("blended"))

@@ -607,7 +607,7 @@ def _(t):
     f"""WITH ranked AS (SELECT user_id % 10 AS run, CAST(event_type IN ('error', 'view') AS BIGINT) AS y, rank() OVER (PARTITION BY user_id % 10 ORDER BY value)
         + (count(*) OVER (PARTITION BY user_id % 10, value) - 1) / 2.0::DOUBLE AS rk FROM events),
       a AS (SELECT run, count(*) AS n, {RANK_AUC} AS auc FROM ranked GROUP BY run),
-      c AS (SELECT user_id % 10 AS run, count(*) AS calls, median(value / 500) AS m, arg_max(value, event_id) > arg_min(value, event_id) AS up FROM events WHERE event_type = 'view' AND user_id % 10 < 8 GROUP BY 1)
+      c AS (SELECT user_id % 10 AS run, count(*) AS calls, median(value / 500) AS m, arg_max(value, event_id) > arg_min(value, event_id) AS up FROM events WHERE event_type = 'view' GROUP BY 1)
     SELECT run, n, {r6("coalesce(auc, 0.5)")} AS auc, coalesce(auc, 0.5) > 0.5 AS beats_baseline, coalesce(calls, 0) AS calls, {r6("m")} AS median_call_auc, CASE WHEN calls >= 2 THEN up END AS trajectory_improved
     FROM a LEFT JOIN c USING (run)""",
 )
@@ -615,6 +615,6 @@ def _(t):
     run = (F.col("user_id") % 10).alias("run")
     predictions = t.events.select(run, F.col("event_id").alias("row"), F.col("value").alias("prediction"))
     labels = t.events.select(F.col("event_id").alias("row"), F.col("event_type").isin("error", "view").cast("int").alias("target"))
-    calls = t.events.filter("event_type = 'view' AND user_id % 10 < 8").select(run, F.col("event_id").alias("call_index"), (F.col("value") / 500).alias("call_auc"))
+    calls = t.events.filter("event_type = 'view'").select(run, F.col("event_id").alias("call_index"), (F.col("value") / 500).alias("call_auc"))
     made = Z.submission_diagnostics(predictions, labels, calls, "run", "row", 0.5)
     return made.select("run", "n", "beats_baseline", "calls", "trajectory_improved", rounded("auc").alias("auc"), rounded("median_call_auc").alias("median_call_auc"))
