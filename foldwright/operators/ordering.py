@@ -121,7 +121,7 @@ def add_order_slices(
         sub = F.when(F.col("_hot") & F.col("_d1").isin(heavy), F.col("_b2")).otherwise(F.lit(0.0))
     else:
         sub = F.lit(0.0)
-    marked = marked.withColumn("_sub", sub).withColumn("_slice", F.when("_hot", F.col("_b1")).otherwise(F.lit(0.0)))
+    marked = marked.withColumn("_sub", sub).withColumn("_slice", F.when(F.col("_hot"), F.col("_b1")).otherwise(F.lit(0.0)))
     return marked.drop("_d1", "_d2", "_b1", "_b2")
 
 

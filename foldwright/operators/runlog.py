@@ -272,7 +272,11 @@ def _moves_before(moves: DataFrame, keys: Sequence[str], index: str) -> DataFram
         heads = folded.select(
             *keys, "_chunk", F.aggregate("_list", identity, lambda acc, e: _compose(acc, e["m"])).alias("_move")
         )
-        carried = _moves_before(heads, keys, "_chunk").select(*keys, "_chunk", F.col("_prior").alias("_carry"))
+        # The next level numbers the chunks; its own chunk column must not hide that number.
+        above = heads.withColumnRenamed("_chunk", "_upper")
+        carried = _moves_before(above, keys, "_upper").select(
+            *keys, F.col("_upper").alias("_chunk"), F.col("_prior").alias("_carry")
+        )
         folded = folded.join(carried, [*keys, "_chunk"])
     else:
         folded = folded.withColumn("_carry", identity)
