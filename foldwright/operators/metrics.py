@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.operators.ordering import average_rank, join_null_safe, prefix_by_key
+from foldwright.session import cut_lineage
 
 # Fixed values of the calibration and interval formulas.
 PROBABILITY_FLOOR = 1e-12
@@ -122,9 +123,12 @@ def pair_order_counts(df: DataFrame, left: str, right: str) -> DataFrame:
     discordant pair differs first in exactly one bit, so the counts over the bits add up to it. Each
     bit is one grouped prefix sum, which keeps hot blocks split.
     """
-    points = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("_n"))
+    # The folded points feed every step below, so they are kept once.
+    points = cut_lineage(df.groupBy(left, right).agg(F.count(F.lit(1)).alias("_n")))
     row_total, = points.agg(F.sum("_n")).first()
-    ranked = dense_rank_global(dense_rank_global(points, left, "_a"), right, "_b").select("_a", "_b", "_n")
+    ranked = cut_lineage(
+        dense_rank_global(dense_rank_global(points, left, "_a"), right, "_b").select("_a", "_b", "_n")
+    )
     top = ranked.agg(F.max("_b")).first()[0] or 0
     bits = max(1, int(top).bit_length())
     levels = ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).select(

@@ -12,6 +12,7 @@ from foldwright.operators.columns import relative_gain
 from foldwright.operators.metrics import kendall_tau_b
 from foldwright.operators.ordering import prefix_by_key
 from foldwright.operators.text import proposal_similarity
+from foldwright.session import cut_lineage
 
 # Resource scales, gain penalties, quality and final-choice weights, decision impacts.
 COST_SCALES = {"cpu_hours": 10.0, "gpu_hours": 5.0, "wall_hours": 10.0, "llm_tokens": 100_000.0, "monetary_cost": 25.0}
@@ -81,7 +82,9 @@ def diversified_top_k(
     pairs never exist. Ties go to the larger id. With an allocation the furthest-behind bucket picks.
     """
     here = {f: F.col(f) for f in ("lineage", "experiment_type", "hypotheses", "metrics")}
-    rows = proposals.withColumn("bucket", experiment_bucket(F.col("experiment_type"))).withColumn("_sim", F.lit(0.0))
+    # Every round reads the same few columns, so they are computed and kept once.
+    rows = cut_lineage(proposals.select("id", "utility", *here.values()))
+    rows = rows.withColumns({"bucket": experiment_bucket(F.col("experiment_type")), "_sim": F.lit(0.0)})
     picked: list[tuple] = []
     counts = dict.fromkeys(allocation or (), 0)
     while len(picked) < size:
@@ -321,8 +324,6 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, maximum_depth: int = 1
     Levels are peeled: a node is placed once all it depends on is. A round that places nothing while
     nodes remain means a cycle. Each round is cut to the shared folder.
     """
-    from foldwright.session import cut_lineage
-
     pending = cut_lineage(edges.select("node", "depends_on").distinct())
     waiting = cut_lineage(nodes.select("node").distinct())
     placed = None
