@@ -36,6 +36,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{c}" for c in keys]) if how not in ("left_semi", "left_anti") else joined
 
 
+def spread_over_tasks(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than tasks before expensive per-row work; otherwise no change."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def with_row_number(
     df: DataFrame, order: Sequence[Column | str], name: str = "row_no", total: str | None = None
 ) -> DataFrame:

@@ -14,7 +14,13 @@ from foldwright.functions.scalars import direction_normalised
 from foldwright.operators.audit import ContractError
 from foldwright.operators.features import causal_group_rate
 from foldwright.operators.metrics import auc, candidate_pairs
-from foldwright.operators.ordering import hot_keys, join_null_safe, number_by_key, prefix_by_key
+from foldwright.operators.ordering import (
+    hot_keys,
+    join_null_safe,
+    number_by_key,
+    prefix_by_key,
+    spread_over_tasks,
+)
 from foldwright.session import cut_lineage
 
 # Fixed values of the measurement rules.
@@ -314,7 +320,7 @@ def structure_gates(evidence: DataFrame, repetitions: int = 2000, null_quantile:
     null_interactions; known_gain, new_gain; flags fold_safe, adopted, executed, coded, stated.
     """
     blocks = ("uid_free", "identity", "linkage", "construct", "persistence")
-    staged = add_array_bounds(evidence, blocks, repetitions=repetitions).withColumns(
+    staged = add_array_bounds(spread_over_tasks(evidence), blocks, repetitions=repetitions).withColumns(
         {
             "_null": nearest_rank(F.col("null_gains"), null_quantile),
             "_null_i": nearest_rank(F.col("null_interactions"), null_quantile),

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.operators.ordering import spread_over_tasks
 from foldwright.session import cut_lineage
 
 # Host lists, source reasons, similarity thresholds and signature fields.
@@ -158,7 +159,8 @@ def merge_candidates(claims: DataFrame, claim_id: str, kind: str, text: str, thr
     Claims with one token set fold to their first member: later copies point to it with similarity 1
     and never form pairs. Only first members are compared with each other.
     """
-    tokens = claims.select(claim_id, kind, F.array_sort(claim_tokens(F.col(text))).alias("_tokens"))
+    rows = spread_over_tasks(claims.select(claim_id, kind, text))
+    tokens = rows.select(claim_id, kind, F.array_sort(claim_tokens(F.col(text))).alias("_tokens"))
     hashed = cut_lineage(tokens.withColumn("_set", F.sha2(F.array_join("_tokens", " "), 256)))
     firsts = hashed.groupBy(kind, "_set").agg(F.min(claim_id).alias("_first"))
     marked = hashed.join(firsts, [kind, "_set"])
