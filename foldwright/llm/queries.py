@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.base import read_table
 from foldwright.llm.packing import pack
+from foldwright.llm.secret_ledger import SECRETS_SQL, secret_digest
+from foldwright.llm.simhash import simhash_groups
 from foldwright.llm.token_files import token_round_trip
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,12 +21,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
+    "op7_secret_ledger": op7_secret_ledger,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_secret_ledger": SECRETS_SQL,
+}
