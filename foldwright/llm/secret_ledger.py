@@ -131,8 +131,8 @@ def _sql_spans(rule: Rule, place: int) -> str:
     return f"""
       SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, last - size AS first, last FROM (
         SELECT doc_id, nth, size, measured, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY nth) AS last FROM (
-          SELECT doc_id, unnest(range(len(m))) AS nth, unnest(list_transform(m, x -> length(x))) AS size,
-            unnest(list_transform(v, x -> length(x))) AS measured, unnest(list_transform(g[1:len(m)], x -> length(x))) AS gap
+          SELECT doc_id, unnest(range(len(m))) AS nth, unnest([length(x) for x in m]) AS size,
+            unnest([length(x) for x in v]) AS measured, unnest([length(x) for x in g[1:len(m)]]) AS gap
           FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v, string_split_regex(t, '{pattern}') AS g
                 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
           WHERE len(m) > 0))
