@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.llm.base import text_bytes, text_slices
-from foldwright.llm.runs import hash_runs, mix, spread_index
+from foldwright.llm.runs import hash_runs, mix, spread_index, word_runs
 
 MASKS = ("11111", "110111", "11010011")
 WINDOW = 20
@@ -34,26 +34,14 @@ FULL_BELOW = 10
 #: Characters of benchmark text in one slice; its arrays take about 50 bytes a character at most.
 SLICE_CHARS = 2_000_000
 _FILTER_BITS = 22
-_WORD = np.zeros(256, dtype=bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[65:91] = True
-_WORD[128:] = True
 _WEIGHTS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows one after the other, and where the words of each row begin (one entry more than rows)."""
     data, offsets = text_bytes(column)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = _WORD[data]
-    head = np.zeros(len(data) + 1, dtype=bool)
-    head[offsets] = True
-    start = word.copy()
-    start[1:] &= ~word[:-1] | head[1:-1]
-    stop = word.copy()
-    stop[:-1] &= ~word[1:] | head[1:-1]
-    starts = np.flatnonzero(start)
-    return hash_runs(data, starts, np.flatnonzero(stop) + 1 - starts), np.searchsorted(starts, offsets)
+    starts, lengths, firsts = word_runs(data, offsets)
+    return hash_runs(data, starts, lengths), firsts
 
 
 def _seeds(words: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:

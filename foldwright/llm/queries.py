@@ -11,9 +11,11 @@ from foldwright.llm.base import read_table
 from foldwright.llm.decontaminate import contaminated
 from foldwright.llm.line_spread import LINES_SQL, remove_spread_lines
 from foldwright.llm.packing import pack
+from foldwright.llm.quality import quality_scores
 from foldwright.llm.secret_ledger import SECRETS_SQL, secret_digest
 from foldwright.llm.simhash import simhash_groups
 from foldwright.llm.token_files import token_round_trip
+from foldwright.llm.toxicity import toxicity_scores
 from foldwright.llm.url_lists import URLS_SQL, filtered_pages
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spread_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
 
@@ -50,15 +60,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
     "op6_url_lists": op6_url_lists,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_quality": op8_quality,
     "op9_line_spread": op9_line_spread,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {
     "op6_url_lists": URLS_SQL,
     "op7_secret_ledger": SECRETS_SQL,
+    "op8_quality": op8_quality,
     "op9_line_spread": LINES_SQL,
 }
