@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.base import read_table
 from foldwright.llm.decontaminate import contaminated
+from foldwright.llm.embedding_cells import embedding_groups
 from foldwright.llm.line_spread import LINES_SQL, remove_spread_lines
 from foldwright.llm.packing import pack
 from foldwright.llm.quality import quality_scores
@@ -38,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered_pages(spark, sf_dir)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_embedding_cells": op5_embedding_cells,
     "op6_url_lists": op6_url_lists,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_quality": op8_quality,
