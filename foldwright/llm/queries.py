@@ -78,6 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_url_lists": URLS_SQL,
     "op7_secret_ledger": SECRETS_SQL,
-    "op8_quality": op8_quality,
     "op9_line_spread": LINES_SQL,
 }
