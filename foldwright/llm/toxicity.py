@@ -3,7 +3,7 @@
 Confirmed toxic rows are the positives; all other text is unlabelled. The risk of a classifier on negatives is what
 the unlabelled rows show less the class prior's share of it on positives; where that falls below zero, the step goes
 back instead (the non-negative correction). Numpy classifiers are linear over presence of hashed words and of their
-prefixes of 4, 5 and 6 bytes; each is fitted with another part of the unlabelled sample, and scores are averaged.
+prefixes of 4 to 8 bytes that mark positives; each is fitted with another part of the unlabelled sample, and scores are averaged.
 
 The fit takes bounded samples (`most_positive`, `most_unlabelled`), in digest order of the id and outside the held-out
 fold; the class prior is the share of toxic rows among all training labels. Scoring reads every whole text once, in
@@ -29,20 +29,24 @@ from foldwright.llm.runs import hash_prefixes, hash_runs, word_runs
 
 MOST_POSITIVE = 3_000
 MOST_UNLABELLED = 9_000
-FEATURES = 2_048
+FEATURES = 512
 MODELS = 3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 _SLOT_BITS = 20
 
 
-def text_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, slot) pairs of the hashed words and word prefixes of every text."""
+def _row_slots(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, slot) of every word, then of every word's prefixes of one size after the other."""
     data, offsets = text_bytes(column)
     starts, lengths, firsts = word_runs(data, offsets)
     row = np.repeat(np.arange(len(column), dtype=np.int64), np.diff(firsts))
-    hashes = [hash_runs(data, starts, lengths), *hash_prefixes(data, starts, lengths, PREFIXES).values()]
-    pairs = [np.unique(row << _SLOT_BITS | (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)) for h in hashes]
-    joined = np.unique(np.concatenate(pairs))
+    for hashes in (hash_runs(data, starts, lengths), *hash_prefixes(data, starts, lengths, PREFIXES).values()):
+        yield row, (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def text_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, slot) pairs of the hashed words and word prefixes of every text."""
+    joined = np.unique(np.concatenate([np.unique(row << _SLOT_BITS | slot) for row, slot in _row_slots(column)]))
     return joined >> _SLOT_BITS, joined & ((1 << _SLOT_BITS) - 1)
 
 
@@ -50,14 +54,17 @@ class PresenceModel:
     """Linear scores over the presence of chosen slots, one weight row per fitted classifier."""
 
     def __init__(self, slots: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.index = np.full(1 << _SLOT_BITS, -1, dtype=np.int16)
+        self.index = np.full(1 << _SLOT_BITS, -1, dtype=np.int64)
         self.index[slots] = np.arange(len(slots))
         self.weights, self.bias = weights, bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        row, slot = text_slots(column)
-        which = self.index[slot]
-        row, which = row[which >= 0], which[which >= 0]
+        chosen = []
+        for row, slot in _row_slots(column):
+            which = self.index[slot]
+            chosen.append(np.unique(row[which >= 0] << _SLOT_BITS | which[which >= 0]))
+        pairs = np.unique(np.concatenate(chosen))
+        row, which = pairs >> _SLOT_BITS, pairs & ((1 << _SLOT_BITS) - 1)
         parts = [np.bincount(row, weights=w[which], minlength=len(column)) + b for w, b in zip(self.weights, self.bias, strict=True)]
         return np.mean([1 / (1 + np.exp(-np.clip(p, -40, 40))) for p in parts], axis=0)
 
@@ -70,12 +77,13 @@ class ConstantModel:
         return np.full(len(column), self.score)
 
 
-def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 250, rate: float = 0.05, decay: float = 1e-4):
+def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 250, rate: float = 0.05):
     """Weights and bias of a linear classifier by the non-negative risk estimator with logistic loss (Adam steps).
 
     (row, column) are the features present; `positive` marks the rows of the positive sample, the rest are unlabelled.
     """
     n_p, n_u = int(positive.sum()), int((~positive).sum())
+    decay = 0.3 / n_p  # few positives are no ground for large weights
     w = np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -96,7 +104,7 @@ def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features
 
 
 def choose_slots(rows: list[np.ndarray], positive: np.ndarray, features: int) -> np.ndarray:
-    """Slots whose share among positives differs most, in standard errors, from their share among unlabelled rows."""
+    """Slots whose share among positives exceeds that among unlabelled rows most, in standard errors (two at least)."""
     size = 1 << _SLOT_BITS
 
     def share(of: list[np.ndarray]) -> np.ndarray:
@@ -108,7 +116,7 @@ def choose_slots(rows: list[np.ndarray], positive: np.ndarray, features: int) ->
     of_p, of_u = share([r for r, y in zip(rows, positive, strict=True) if y]), share([r for r, y in zip(rows, positive, strict=True) if not y])
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     p, u = (of_p + 0.5) / (n_p + 1), (of_u + 0.5) / (n_u + 1)
-    distance = np.where(of_p + of_u >= 3, np.abs(p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u), 0)
+    distance = np.where(of_p + of_u >= 3, (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u), 0)
     best = np.argsort(-distance, kind="stable")[:features]
     return best[distance[best] > 2]
 
