@@ -26,8 +26,8 @@ from foldwright.llm.base import stored
 from foldwright.llm.graph import components
 
 THRESHOLD = 0.9
-MARGIN = 0.3
-CELL_ROWS = 512
+MARGIN = 0.2
+CELL_ROWS = 1024
 BLOCK = 1024
 MOST_SAMPLE = 20_000
 
