@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.operators.audit import Audited
 from foldwright.operators.ordering import average_rank, join_null_safe, prefix_by_key
 from foldwright.session import cut_lineage
 
@@ -203,13 +204,27 @@ def rank_stability(df: DataFrame, model: str, horizon: str, score: str) -> DataF
     return by_pair.agg(F.count(F.lit(1)).alias("horizon_pairs"), F.avg("_rho").alias("rank_stability"))
 
 
-def candidate_matrix(df: DataFrame, row: str, candidate: str, value: str, candidates: Sequence[str]) -> DataFrame:
-    """One row per row id and one column per candidate (JOI2); rows missing a candidate are dropped."""
-    wide = df.groupBy(row).agg(
+def audited_matrix(df: DataFrame, row: str, candidate: str, value: str, candidates: Sequence[str]) -> Audited:
+    """One row per row id and one column per candidate (JOI2).
+
+    Other candidates are left out before anything is counted. A row id without exactly one non-null value of every
+    candidate is a violation and has no row in the result.
+    """
+    named = df.filter(F.col(candidate).isin(list(candidates)))
+    counted = lambda c: F.count_if((F.col(candidate) == c) & F.col(value).isNotNull())
+    wide = named.groupBy(row).agg(
         *[F.max(F.when(F.col(candidate) == c, F.col(value))).alias(c) for c in candidates],
-        F.count_distinct(candidate).alias("_k"),
+        F.array_compact(F.array(*[F.when(counted(c) != 1, F.lit(c)) for c in candidates])).alias("_misaligned"),
+    )
+    return Audited(
+        wide.filter(F.size("_misaligned") == 0).drop("_misaligned"),
+        wide.filter(F.size("_misaligned") > 0).select(row, F.col("_misaligned").alias("misaligned")),
     )
-    return wide.filter(F.col("_k") == len(candidates)).drop("_k")
+
+
+def candidate_matrix(df: DataFrame, row: str, candidate: str, value: str, candidates: Sequence[str]) -> DataFrame:
+    """The aligned rows of `audited_matrix`."""
+    return audited_matrix(df, row, candidate, value, candidates).result
 
 
 def pairwise_moments(wide: DataFrame, candidates: Sequence[str], build) -> DataFrame:

@@ -22,19 +22,19 @@ RESIDUAL_TOLERANCE = 1e-9
 
 
 def aligned_pair_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Audited:
-    """1:1 join of two candidates' rows; sides, targets and folds must agree (JOI1)."""
+    """1:1 join of two candidates' rows; sides, targets and folds must agree (JOI1). A null agrees with a null only."""
     keys = list(keys)
     take = lambda d, s: d.select(
-        *keys, *[F.col(c).alias(f"{c}_{s}") for c in ("target", "fold_id", "oof_prediction", "residual")]
+        *keys, *[F.col(c).alias(f"{c}_{s}") for c in ("target", "fold_id", "oof_prediction", "residual")], F.lit(True).alias(f"_there_{s}")
     )
     joined = take(left, "l").join(take(right, "r"), keys, "full_outer")
     problem = (
-        F.when(F.col("target_r").isNull(), "missing_right")
-        .when(F.col("target_l").isNull(), "missing_left")
-        .when(F.col("target_l") != F.col("target_r"), "target")
-        .when(F.col("fold_id_l") != F.col("fold_id_r"), "fold")
+        F.when(F.col("_there_r").isNull(), "missing_right")
+        .when(F.col("_there_l").isNull(), "missing_left")
+        .when(~F.col("target_l").eqNullSafe(F.col("target_r")), "target")
+        .when(~F.col("fold_id_l").eqNullSafe(F.col("fold_id_r")), "fold")
     )
-    marked = joined.withColumn("problem", problem)
+    marked = joined.withColumn("problem", problem).drop("_there_l", "_there_r")
     return Audited(
         marked.filter(F.col("problem").isNull()).drop("problem"),
         marked.filter(F.col("problem").isNotNull()).select(*keys, "problem"),

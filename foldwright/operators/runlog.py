@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foldwright.functions.scalars import BELIEF_RANGE, canonical_fingerprint
 from foldwright.operators.metrics import forecast_calibration
@@ -393,18 +394,23 @@ def token_budget_gate(
         (tokens <= 0) | (tokens > proposal_limit) | (F.col("_used") + tokens > cluster_limit) | (left < 0)
         | (~candidate & (left < F.greatest(F.lit(0), F.lit(reserve) - F.col("_cand"))))
     )
-    contested = by_cluster.filter(breaks).select(run).distinct()
-    free = requests.join(contested, run, "left_anti").select(run, sequence, F.lit(None).cast("string").alias("refusal"))
-    contended = requests.join(contested, run, "left_semi").select(
-        F.col(run).alias("run"), F.col(sequence).alias("sequence"), "cluster", "tokens", candidate.alias("candidate")
+    # Runs meet by their JSON text, so that requests without a run are a run of their own.
+    keyed = lambda d: d.withColumn("_run_key", F.to_json(F.struct(F.col(run).alias("r"))))
+    contested = keyed(by_cluster.filter(breaks)).select("_run_key").distinct()
+    requests = keyed(requests)
+    free = requests.join(contested, "_run_key", "left_anti").select(run, sequence, F.lit(None).cast("string").alias("refusal"))
+    contended = requests.join(contested, "_run_key", "left_semi").select(
+        F.col("_run_key").alias("run"), F.col(sequence).alias("sequence"), "cluster", "tokens", candidate.alias("candidate")
     )
     ordered = contended.repartition("run").sortWithinPartitions("run", "sequence")
     types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     decided = ordered.mapInPandas(
         _token_pass(total, proposal_limit, cluster_limit, reserve),
-        f"run {types['run']}, sequence {types['sequence']}, refusal string",
+        f"run string, sequence {types['sequence']}, refusal string",
     )
-    return free.unionByName(decided.select(F.col("run").alias(run), F.col("sequence").alias(sequence), "refusal"))
+    kind = requests.schema[run].dataType
+    back = F.from_json("run", StructType([StructField("r", kind)]))["r"].alias(run)
+    return free.unionByName(decided.select(back, F.col("sequence").alias(sequence), "refusal"))
 
 
 def niche_budget(

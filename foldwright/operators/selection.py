@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -318,7 +319,7 @@ def falsification_targets(hypotheses: DataFrame, run: str) -> DataFrame:
     )
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame, maximum_depth: int = 10_000) -> DataFrame:
+def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Topological level of every node of `depends_on` edges (JOI21).
 
     Levels are peeled: a node is placed once all it depends on is. A round that places nothing while
@@ -327,7 +328,7 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, maximum_depth: int = 1
     pending = cut_lineage(edges.select("node", "depends_on").distinct())
     waiting = cut_lineage(nodes.select("node").distinct())
     placed = None
-    for level in range(maximum_depth):
+    for level in itertools.count():
         if waiting.isEmpty():
             break
         ready = waiting.join(pending.select("node").distinct(), "node", "left_anti")

@@ -182,9 +182,15 @@ def signature_similarity(left: str, right: str) -> Column:
     return sum(parts[1:], parts[0]) / len(parts)
 
 
+def normalised_terms(terms: Column) -> Column:
+    """Distinct sorted terms: trimmed, lower case, inner blanks one underscore; empty ones go."""
+    clean = F.transform(terms, lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\s+", "_"))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x != "")))
+
+
 def fold_signatures(proposals: DataFrame, proposal_id: str) -> tuple[DataFrame, DataFrame]:
     """Distinct signatures with their earliest member, and the membership of every proposal."""
-    columns = [F.array_sort(F.array_distinct(f)).alias(f) for f in SIGNATURE_FIELDS]
+    columns = [normalised_terms(F.col(f)).alias(f) for f in SIGNATURE_FIELDS]
     rows = proposals.select(proposal_id, *columns, "candidate_producing")
     hashed = rows.withColumn(
         "signature", F.sha2(F.to_json(F.struct(*SIGNATURE_FIELDS, "candidate_producing")), 256)
@@ -197,23 +203,16 @@ def fold_signatures(proposals: DataFrame, proposal_id: str) -> tuple[DataFrame,
     return cut_lineage(distinct), members
 
 
-def signature_edges(signatures: DataFrame, threshold: float = SIGNATURE_THRESHOLD) -> DataFrame:
-    """Pairs of distinct signatures at the threshold (JOI17).
-
-    The six parts may lose L = 6*(1-t) together. With L below one the flags must agree, and at most
-    one field can lose more than L/2. So four of the five fields have Jaccard of at least 1 - L/2 and
-    share a token among the first n - ceil((1-L/2)*n) + 1 of each. Candidates meet on the flag and one
-    such token in every field of a choice of four; the exact mean decides.
-    """
-    loss = 6 * (1 - threshold)
-    if loss >= 1:
-        raise ValueError("blocking needs a threshold above 5/6")
-    level = 1 - loss / 2
+def _prefixes(signatures: DataFrame, level: float) -> DataFrame:
+    """The tokens of each field of which sets with a Jaccard of `level` share one; empty sets share a mark of their own."""
     reach = lambda f: (F.size(f) - F.ceil(F.lit(level) * F.size(f) - 1e-9) + 1).cast("int")
-    heads = signatures.select(
-        "signature", "candidate_producing", *[F.slice(F.array_sort(f), F.lit(1), reach(f)).alias(f) for f in SIGNATURE_FIELDS]
-    )
-    keys = None
+    head = lambda f: F.when(F.size(f) == 0, F.array(F.lit("\u0000"))).otherwise(F.slice(F.array_sort(f), F.lit(1), reach(f)))
+    return signatures.select("signature", "candidate_producing", *[head(f).alias(f) for f in SIGNATURE_FIELDS])
+
+
+def _four_field_keys(signatures: DataFrame, loss: float) -> DataFrame:
+    """Keys above 5/6: the flag and a token in every field of a choice of four."""
+    heads, keys = _prefixes(signatures, 1 - loss / 2), None
     for left_out in SIGNATURE_FIELDS:
         part = heads
         for field in SIGNATURE_FIELDS:
@@ -222,6 +221,31 @@ def signature_edges(signatures: DataFrame, threshold: float = SIGNATURE_THRESHOL
         chosen = F.struct(*[f for f in SIGNATURE_FIELDS if f != left_out])
         part = part.select("signature", F.sha2(F.to_json(F.struct("candidate_producing", chosen.alias(left_out))), 256).alias("_key"))
         keys = part if keys is None else keys.unionByName(part)
+    return keys
+
+
+def _one_field_keys(signatures: DataFrame, threshold: float) -> DataFrame:
+    """Keys from 5/6 down: one field must reach Jaccard (6t - 1) / 5, as the flag gives one of 6t parts at most."""
+    heads = _prefixes(signatures, (6 * threshold - 1) / 5)
+
+    def named(field: str) -> Column:
+        return F.transform(field, lambda x: F.struct(F.lit(field).alias("field"), x.alias("token")))
+
+    return heads.select("signature", F.explode(F.concat(*[named(f) for f in SIGNATURE_FIELDS])).alias("_key"))
+
+
+def signature_edges(signatures: DataFrame, threshold: float = SIGNATURE_THRESHOLD) -> DataFrame:
+    """Pairs of distinct signatures at the threshold (JOI17), which lies above 1/6.
+
+    The six parts may lose L = 6*(1-t) together. With L below one the flags must agree, and at most
+    one field can lose more than L/2. So four of the five fields have Jaccard of at least 1 - L/2 and
+    share a token among the first n - ceil((1-L/2)*n) + 1 of each. Candidates meet on the flag and one
+    such token in every field of a choice of four; below that on one field's token. The exact mean decides.
+    """
+    if threshold <= 1 / 6:
+        raise ValueError("at 1/6 and below any two signatures with one flag are a pair")
+    loss = 6 * (1 - threshold)
+    keys = _four_field_keys(signatures, loss) if loss < 1 - 1e-9 else _one_field_keys(signatures, threshold)
     left = keys.withColumnRenamed("signature", "_l")
     right = keys.withColumnRenamed("signature", "_r")
     candidates = left.join(right, "_key").filter("_l < _r").select("_l", "_r").distinct()
@@ -322,8 +346,27 @@ def _field_pair_sum(signatures: DataFrame, field: str) -> DataFrame:
     return apart.unionByName(equal)
 
 
+def largest_similarity(signatures: DataFrame, threshold: float, pairs: DataFrame) -> float | None:
+    """The largest similarity of two distinct signatures, whether or not it reaches the threshold.
+
+    `pairs` are those at the threshold. Without any, the threshold is lowered until a pair is found.
+    """
+    top = pairs.agg(F.max("similarity")).first()[0]
+    for lower in (0.6, 0.4, 0.25, 1 / 6 + 1e-9):
+        if top is None and lower < threshold:
+            top = signature_edges(signatures, lower).agg(F.max("similarity")).first()[0]
+    if top is not None:
+        return top
+    if signatures.groupBy("candidate_producing").count().filter("count > 1").head(1):
+        return 1 / 6  # equal flags and nothing above that
+    # At most one signature of each flag is left.
+    side = lambda p, flag: signatures.filter(flag).select(F.lit(1).alias("_k"), *[F.col(f).alias(f"{p}{f}") for f in (*SIGNATURE_FIELDS, "candidate_producing")])
+    both = side("_l", F.col("candidate_producing")).join(side("_r", ~F.col("candidate_producing")), "_k")
+    return both.agg(F.max(signature_similarity("_l", "_r"))).first()[0]
+
+
 def similarity_audit(proposals: DataFrame, proposal_id: str, threshold: float = SIGNATURE_THRESHOLD) -> DataFrame:
-    """Clusters, duplicate rate, mean pair similarity and the largest similarity at the threshold (AGG58).
+    """Clusters, duplicate rate, mean and largest pair similarity (AGG58).
 
     The mean over all pairs is a sum of per-field means; each field folds to its distinct values, so
     item pairs are counted, not formed.
@@ -335,15 +378,15 @@ def similarity_audit(proposals: DataFrame, proposal_id: str, threshold: float =
     sums = flags.agg(F.sum(F.col("_w") * (F.col("_w") - 1) / 2).alias("_x"))
     for field in SIGNATURE_FIELDS:
         sums = sums.unionByName(_field_pair_sum(signatures, field))
-    edges = pairs.agg(F.max("similarity").alias("_top")).withColumn("_k", F.lit(1))
+    largest = F.lit(largest_similarity(signatures, threshold, pairs)).cast("double")
     size = clusters.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("cluster").alias("clusters")).withColumn("_k", F.lit(1))
     copies = signatures.agg(F.max("members").alias("_copies")).withColumn("_k", F.lit(1))
     total = sums.agg(F.sum("_x").alias("_sum")).withColumn("_k", F.lit(1))
     n = F.col("items")
-    return size.join(total, "_k").join(copies, "_k").join(edges, "_k").select(
+    return size.join(total, "_k").join(copies, "_k").select(
         "items", "clusters", (1 - F.col("clusters") / n).alias("duplicate_rate"),
         (F.col("_sum") / 6 / (n * (n - 1) / 2)).alias("mean_similarity"),
-        F.when(F.col("_copies") > 1, 1.0).otherwise(F.col("_top")).alias("max_similarity"),
+        F.when(F.col("_copies") > 1, 1.0).otherwise(largest).alias("max_similarity"),
     )
 
 

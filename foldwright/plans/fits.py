@@ -39,8 +39,10 @@ def _raw(train, valid):
 
 def _entity(train, valid):
     add = lambda d: E.fold_safe_entity_aggregates(train, d, "user_id", "value", "t")
-    encode = lambda d: E.smoothed_target_encoding(train, add(d), "user_id", "y", name="user_rate")
-    return encode(train), encode(valid), ["value", "hour", "uid_count", "uid_amount_mean", "uid_amount_std", "user_rate"]
+    # A train row is encoded by strictly earlier train rows, so that its own label is not among its features.
+    seen = E.causal_group_rate(add(train), "user_id", "y", ["t", "event_id"], name="user_rate")
+    later = E.smoothed_target_encoding(train, add(valid), "user_id", "y", name="user_rate")
+    return seen, later, ["value", "hour", "uid_count", "uid_amount_mean", "uid_amount_std", "user_rate"]
 
 
 def _crossfit(t):

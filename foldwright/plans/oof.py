@@ -69,9 +69,9 @@ def _(t):
     "joi1_aligned_pair_violations",
     f"""WITH {SCORED}, s AS (SELECT CAST(doc_id AS VARCHAR) AS row_id, doc_id FROM scored)
     SELECT row_id, CASE WHEN doc_id % 30 = 0 THEN 'missing_right' WHEN doc_id % 31 = 0 THEN 'missing_left'
-      WHEN doc_id % 37 = 0 THEN 'target' ELSE 'fold' END AS problem
+      WHEN doc_id % 37 = 0 OR doc_id % 43 = 0 THEN 'target' ELSE 'fold' END AS problem
     FROM s WHERE (doc_id % 30 = 0) <> (doc_id % 31 = 0)
-      OR (doc_id % 30 <> 0 AND doc_id % 31 <> 0 AND (doc_id % 37 = 0 OR doc_id % 41 = 0))""",
+      OR (doc_id % 30 <> 0 AND doc_id % 31 <> 0 AND (doc_id % 37 = 0 OR doc_id % 41 = 0 OR doc_id % 43 = 0 OR doc_id % 47 = 0))""",
 )
 def _(t):
     oof = t.oof_long()
@@ -80,8 +80,8 @@ def _(t):
     right = (
         oof.filter("candidate_id = 'C'")
         .filter(number % 30 != 0)
-        .withColumn("target", F.when(number % 37 == 0, F.col("target") + 1).otherwise(F.col("target")))
-        .withColumn("fold_id", F.when(number % 41 == 0, F.lit("x")).otherwise(F.col("fold_id")))
+        .withColumn("target", F.when(number % 37 == 0, F.col("target") + 1).when(number % 43 != 0, F.col("target")))
+        .withColumn("fold_id", F.when(number % 41 == 0, F.lit("x")).when(number % 47 != 0, F.col("fold_id")))
     )
     return O.aligned_pair_join(left, right, ["validation_world", "row_id"]).violations.select("row_id", "problem")
 
@@ -89,11 +89,28 @@ def _(t):
 @query(
     "joi2_candidate_matrix",
     f"""WITH {SCORED} SELECT CAST(doc_id AS VARCHAR) AS row_id, {r6("target - a")} AS "A", {r6("target - b")} AS "B",
-      {r6("target - c")} AS "C", {r6("target - a")} AS "D" FROM scored""",
+      {r6("target - c")} AS "C" FROM scored WHERE doc_id % 7 <> 0 AND doc_id % 13 <> 0""",
 )
 def _(t):
-    wide = M.candidate_matrix(t.oof_long(), "row_id", "candidate_id", "residual", ("A", "B", "C", "D"))
-    return wide.select("row_id", *[rounded(c).alias(c) for c in ("A", "B", "C", "D")])
+    wide = M.candidate_matrix(_gapped(t), "row_id", "candidate_id", "residual", ("A", "B", "C"))
+    return wide.select("row_id", *[rounded(c).alias(c) for c in ("A", "B", "C")])
+
+
+def _gapped(t):
+    """Rows with a candidate D that is not asked for, some without B and some with a null residual of C."""
+    number, candidate = F.col("row_id").cast("long"), F.col("candidate_id")
+    kept = t.oof_long().filter((candidate != "B") | (number % 7 != 0))
+    return kept.withColumn("residual", F.when((candidate != "C") | (number % 13 != 0), F.col("residual")))
+
+
+@query(
+    "joi2_misaligned_rows",
+    f"""WITH {SCORED} SELECT CAST(doc_id AS VARCHAR) AS row_id, concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'B' END, CASE WHEN doc_id % 13 = 0 THEN 'C' END) AS misaligned
+    FROM scored WHERE doc_id % 7 = 0 OR doc_id % 13 = 0""",
+)
+def _(t):
+    found = M.audited_matrix(_gapped(t), "row_id", "candidate_id", "residual", ("A", "B", "C")).violations
+    return found.select("row_id", F.array_join("misaligned", ",").alias("misaligned"))
 
 
 @query(

@@ -49,7 +49,7 @@ def _(t):
 @query(
     "src5_latest_task_scores",
     f"""SELECT user_id AS candidate, event_id % 20 AS task, {r6("arg_max(value, event_id)")} AS value FROM events
-    WHERE event_type <> 'error' GROUP BY ALL""",
+    WHERE event_type <> 'error' GROUP BY ALL""",  # several rows of one key in one append: the later one counts
 )
 def _(t):
     rows = t.events.select(
@@ -57,7 +57,7 @@ def _(t):
         (F.col("event_id") % 20).cast("string").alias("task_id"),
         F.when(F.col("event_type") == "error", "probe").otherwise("candidate").alias("kind"),
         F.create_map(F.lit("v"), F.col("value")).alias("metrics"),
-        F.col("event_id").alias("append_seq"),
+        F.floor(F.col("event_id") / 500).alias("append_seq"), F.col("event_id").alias("batch_order"),
     )
     latest = task_source.latest_task_scores(rows, "candidate")
     return latest.select(

@@ -336,10 +336,11 @@ def _(t):
         FROM (SELECT q.*, w.spent, w.candspent, w.clusters, CASE WHEN tokens <= 0 OR tokens > 900 THEN 'proposal_limit' WHEN w.clusters[cluster] + tokens > 4000 THEN 'cluster_limit'
           WHEN w.spent + tokens > 12000 THEN 'total_budget' WHEN NOT cand AND 12000 - (w.spent + tokens) < greatest(0, 4200 - w.candspent) THEN 'candidate_reserve' END AS r
           FROM walk w JOIN q ON q.run_id = w.run_id AND q.sequence = w.sequence + 1))
-    SELECT run_id, sequence, refusal FROM walk WHERE sequence > 0""",
+    SELECT nullif(run_id, 3) AS run_id, sequence, refusal FROM walk WHERE sequence > 0""",
 )
 def _(t):
-    rows = t.run_log().select("run_id", "sequence", F.col("event_type").alias("cluster"), (F.col("k") * 10).alias("tokens"), (F.col("k") % 3 == 0).alias("candidate"))
+    run = F.when(F.col("run_id") != 3, F.col("run_id")).alias("run_id")  # requests without a run are a run of their own
+    rows = t.run_log().select(run, "sequence", F.col("event_type").alias("cluster"), (F.col("k") * 10).alias("tokens"), (F.col("k") % 3 == 0).alias("candidate"))
     return L.token_budget_gate(rows, "run_id", "sequence", 12_000, 900, 4_000)
 
 
