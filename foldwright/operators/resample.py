@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.draws import hash_index, hash_key, hash_poisson_one
+from foldwright.functions.draws import hash_index, hash_key
 from foldwright.functions.scalars import direction_normalised
 from foldwright.operators.audit import ContractError
 from foldwright.operators.features import causal_group_rate
@@ -28,8 +28,8 @@ SCALE_CONSTANT = 32.0
 Z95 = 1.959963984540054
 MINIMUM_TASKS = 2
 NULL_TAIL, FUTILITY_CONFIDENCE, MINIMUM_NULLS = 0.05, 0.05, 5
-# Values one bootstrap array may hold; larger groups draw Poisson weights row by row instead.
-ARRAY_LIMIT = 4096
+# Values one bootstrap array holds; larger groups are cut into chunks of that many positions.
+CHUNK = 4096
 # Array entries a broadcast side of the bootstrap join may hold (8 bytes each).
 BROADCAST_VALUES = 4_000_000
 # Candidates a tier walk accepts: its k*k flag table is the only thing that reaches the driver.
@@ -47,6 +47,23 @@ def draw_positions(sizes: DataFrame, resamples: int, seed: int | str) -> DataFra
     return reps.withColumn("_draws", F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), draw))
 
 
+def chunked_draws(sizes: DataFrame, resamples: int, seed: int | str, chunk: int) -> DataFrame:
+    """The same draws by chunk of positions: (_n, _rep, _chunk, _draws), places inside the chunk.
+
+    Slots are drawn in runs of `chunk`, so no cell holds more than one run.
+    """
+    reps = sizes.select("_n").distinct().withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    runs = reps.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"), F.lit(chunk).cast("long"))))
+    slots = runs.withColumn("_slot", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + chunk - 1, F.col("_n").cast("long")))))
+    drawn = slots.withColumn("_at", hash_index(seed, F.col("_n"), F.col("_rep"), F.col("_slot")))
+    place = (F.col("_at") % chunk + 1).cast("int")
+    return drawn.groupBy("_n", "_rep", F.floor(F.col("_at") / chunk).alias("_chunk")).agg(F.collect_list(place).alias("_draws"))
+
+
+def _drawn_sum(values: str) -> Column:
+    return F.aggregate("_draws", F.lit(0.0), lambda acc, i: acc + F.element_at(values, i))
+
+
 def _array_means(groups: DataFrame, keys: Sequence[str], resamples: int, seed: int | str) -> DataFrame:
     """Resampled sum(_s)/sum(_c) per replicate, drawn inside each group's small arrays `_s` and `_c`.
 
@@ -64,8 +81,19 @@ def _array_means(groups: DataFrame, keys: Sequence[str], resamples: int, seed: i
         joined = sized.join(F.broadcast(draws), "_n")
     else:
         joined = sized.join(draws, "_n")
-    total = lambda c: F.aggregate("_draws", F.lit(0.0), lambda acc, i: acc + F.element_at(c, i))
-    return joined.select(*keys, "_rep", F.coalesce(F.try_divide(total("_s"), total("_c")), F.lit(0.0)).alias("_mean"))
+    return joined.select(*keys, "_rep", F.coalesce(F.try_divide(_drawn_sum("_s"), _drawn_sum("_c")), F.lit(0.0)).alias("_mean"))
+
+
+def _chunk_means(rows: DataFrame, keys: Sequence[str], order: str, resamples: int, seed: int | str, chunk: int) -> DataFrame:
+    """The same means for groups of more than one chunk: chunks meet their draws, partial sums meet per replicate."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = join_null_safe(number_by_key(rows, keys, [order], "_pos"), sizes, keys)
+    part = F.struct("_pos", "_s", "_c")
+    chunks = placed.groupBy(*keys, "_n", F.floor((F.col("_pos") - 1) / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    chunks = chunks.select(*keys, "_n", "_chunk", F.transform("_p", lambda p: p["_s"]).alias("_s"), F.transform("_p", lambda p: p["_c"]).alias("_c"))
+    joined = chunks.join(chunked_draws(sizes, resamples, seed, chunk), ["_n", "_chunk"])
+    sums = joined.select(*keys, "_rep", _drawn_sum("_s").alias("_s"), _drawn_sum("_c").alias("_c"))
+    return sums.groupBy(*keys, "_rep").agg(F.coalesce(F.try_divide(F.sum("_s"), F.sum("_c")), F.lit(0.0)).alias("_mean"))
 
 
 def bootstrap_means(
@@ -77,12 +105,12 @@ def bootstrap_means(
     seed: int | str,
     *,
     weight: str | None = None,
-    array_limit: int = ARRAY_LIMIT,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Replicate means per key: (keys, _rep, _mean).
+    """Replicate means per key: (keys, _rep, _mean), by index draws at every group size.
 
-    Groups up to `array_limit` rows resample by index inside one array, no shuffle per draw. Larger
-    groups give each row a Poisson(1) weight per replicate, summed map-side before the shuffle.
+    Groups up to `chunk` rows resample inside one array, no shuffle per draw. Larger groups are the
+    same draws cut by chunk, so that no cell or task holds a whole group.
     """
     keys = list(keys)
     rows = df.select(
@@ -90,7 +118,7 @@ def bootstrap_means(
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_c"),
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > array_limit).select(*keys)
+    large = sizes.filter(F.col("_n") > chunk).select(*keys)
     has_large = not large.isEmpty()
     small = join_null_safe(rows, large, keys, "left_anti") if has_large else rows
     part = F.struct(F.col(order), F.col("_s"), F.col("_c"))
@@ -100,15 +128,8 @@ def bootstrap_means(
     means = _array_means(groups, keys, resamples, seed)
     if not has_large:
         return means
-    drawn = join_null_safe(rows, large, keys, "left_semi").withColumn(
-        "_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))
-    ).withColumn("_w", hash_poisson_one(seed, F.col("_rep"), order))
-    weighted = drawn.groupBy(*keys, "_rep").agg(
-        F.coalesce(
-            F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))), F.lit(0.0)
-        ).alias("_mean")
-    )
-    return means.unionByName(weighted)
+    big = join_null_safe(rows, large, keys, "left_semi")
+    return means.unionByName(_chunk_means(big, keys, order, resamples, seed, chunk))
 
 
 def paired_bootstrap_interval(
@@ -284,24 +305,29 @@ def matched_null_test(statistics: DataFrame, quantile: float = 0.95) -> DataFram
 
 
 def add_array_bounds(
-    df: DataFrame, arrays: Sequence[str], confidence: float = 0.95, repetitions: int = 2000, seed: int | str = 42
+    df: DataFrame, row_id: str, arrays: Sequence[str], confidence: float = 0.95, repetitions: int = 2000, seed: int | str = 42
 ) -> DataFrame:
-    """RES2 for short arrays held in rows: adds `_low_<array>`.
+    """RES2 for arrays held in rows: adds `_low_<array>`.
 
-    The draws per array length form one small table, collected per length and joined by length.
+    The draws of a short length form one cell of a small table, joined by length. Arrays of more than a
+    chunk go through rows, with the same draws.
     """
     lengths = df.select(F.explode(F.array(*[F.size(c) for c in arrays])).alias("_n")).distinct()
     longest = lengths.agg(F.max("_n")).first()[0] or 0
-    if longest > ARRAY_LIMIT:
-        raise ContractError(f"a gate array holds at most {ARRAY_LIMIT} blocks")
-    table = draw_positions(lengths, repetitions, seed).groupBy("_n").agg(F.collect_list("_draws").alias("_all"))
+    table = draw_positions(lengths.filter(F.col("_n") <= CHUNK), repetitions, seed).groupBy("_n").agg(F.collect_list("_draws").alias("_all"))
+
     def mean_of(c: str):
         return lambda draws: F.aggregate(draws, F.lit(0.0), lambda acc, i: acc + F.element_at(c, i)) / F.size(c)
 
     for c in arrays:
-        joined = df.withColumn("_n", F.size(c)).join(table, "_n")
+        joined = df.withColumn("_n", F.size(c)).join(table, "_n", "left")
         bound = nearest_rank(F.transform("_all", mean_of(c)), 1 - confidence)
-        df = joined.withColumn(f"_low_{c}", bound).drop("_n", "_all")
+        short = joined.withColumn(f"_low_{c}", bound).drop("_n", "_all")
+        if longest > CHUNK:
+            values = df.filter(F.size(c) > CHUNK).select(row_id, F.posexplode(c).alias("_at", "_value"))
+            low = block_bootstrap_lower_bound(values, [row_id], "_at", "_value", confidence, repetitions, seed)
+            short = join_null_safe(short, low, [row_id]).withColumn(f"_low_{c}", F.coalesce(f"_low_{c}", "lower")).drop("lower")
+        df = short
     return df
 
 
@@ -312,7 +338,9 @@ GATES = (
 )
 
 
-def structure_gates(evidence: DataFrame, repetitions: int = 2000, null_quantile: float = 0.95, tolerance: float = 0.0) -> DataFrame:
+def structure_gates(
+    evidence: DataFrame, repetitions: int = 2000, null_quantile: float = 0.95, tolerance: float = 0.0, row_id: str = "id"
+) -> DataFrame:
     """Nine gates, a two-axis class and an acceptance level per hypothesis row (RES9).
 
     Columns read: scores m0 (base), m1 (components), m2 (frequency), m3 (memory), m4 (link shuffled);
@@ -320,7 +348,7 @@ def structure_gates(evidence: DataFrame, repetitions: int = 2000, null_quantile:
     null_interactions; known_gain, new_gain; flags fold_safe, adopted, executed, coded, stated.
     """
     blocks = ("uid_free", "identity", "linkage", "construct", "persistence")
-    staged = add_array_bounds(spread_over_tasks(evidence), blocks, repetitions=repetitions).withColumns(
+    staged = add_array_bounds(spread_over_tasks(evidence), row_id, blocks, repetitions=repetitions).withColumns(
         {
             "_null": nearest_rank(F.col("null_gains"), null_quantile),
             "_null_i": nearest_rank(F.col("null_interactions"), null_quantile),

@@ -13,7 +13,9 @@ from foldwright.plans.folds import HASH
 from foldwright.plans.metrics import RANK_AUC
 from foldwright.plans.registry import query, r6
 
-RESAMPLES = 200
+# Resamples of the intervals, and of the lower bounds and gates.
+RESAMPLES = 10_000
+REPETITIONS = 2_000
 
 
 def _vectors(t):
@@ -28,8 +30,8 @@ def boot(source: str, keys: str, order: str, s: str, c: str, reps: int, seed: in
     """CTEs indexing parts 1..n per key and drawing n of them per replicate by hash."""
     return f"""ix AS (SELECT {keys}, {s} AS s, {c} AS c, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS i,
         count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
-      dr AS (SELECT {keys}, rep, {HASH.format(f"'{seed}:' || rep || ':' || i")} % n + 1 AS j FROM ix, range(1, {reps + 1}) r(rep)),
-      bm AS (SELECT {keys}, rep, sum(s) / sum(c) AS m FROM dr JOIN ix USING ({keys}) WHERE dr.j = ix.i GROUP BY {keys}, rep)"""
+      dr AS (SELECT n, rep, {HASH.format(f"'{seed}:' || rep || ':' || i")} % n + 1 AS j FROM (SELECT DISTINCT n, i FROM ix), range(1, {reps + 1}) r(rep)),
+      bm AS (SELECT {keys}, rep, sum(s) / sum(c) AS m FROM dr JOIN ix ON dr.n = ix.n AND dr.j = ix.i GROUP BY {keys}, rep)"""
 
 
 @query("joi3_paired_differences", f"WITH {DIFFERENCES} SELECT left_id, right_id, task_id, {r6('d')} AS difference FROM d")
@@ -56,13 +58,13 @@ def _(t):
 
 @query(
     "res2_block_bootstrap_lower_bound",
-    f"""WITH {DIFFERENCES}, {boot("d", "left_id, right_id", "task_id", "d", "1.0", RESAMPLES, 42)},
+    f"""WITH {DIFFERENCES}, {boot("d", "left_id, right_id", "task_id", "d", "1.0", REPETITIONS, 42)},
       o AS (SELECT left_id, right_id, m, row_number() OVER (PARTITION BY left_id, right_id ORDER BY m) AS k FROM bm)
-    SELECT left_id, right_id, {r6("m")} AS lower FROM o WHERE k = {math.ceil((1 - 0.95) * RESAMPLES)}""",
+    SELECT left_id, right_id, {r6("m")} AS lower FROM o WHERE k = {math.ceil((1 - 0.95) * REPETITIONS)}""",
 )
 def _(t):
     rows = B.paired_differences(_vectors(t), "candidate_id", "task_id", "value", "minimize")
-    made = B.block_bootstrap_lower_bound(rows, ["left_id", "right_id"], "task_id", "difference", 0.95, RESAMPLES)
+    made = B.block_bootstrap_lower_bound(rows, ["left_id", "right_id"], "task_id", "difference", 0.95, REPETITIONS)
     return made.select("left_id", "right_id", rounded("lower").alias("lower"))
 
 
@@ -196,7 +198,7 @@ def _evidence(t):
 
 
 LOW = f"""(SELECT m FROM (SELECT rep, sum(v) / 3 AS m FROM (SELECT rep, [{{0}}][CAST({HASH.format("'42:' || rep || ':' || slot")} % 3 + 1 AS INT)] AS v
-    FROM range(1, 101) a(rep), range(1, 4) b(slot)) GROUP BY rep) ORDER BY m LIMIT 1 OFFSET {math.ceil((1 - 0.95) * 100) - 1})"""
+    FROM range(1, {REPETITIONS + 1}) a(rep), range(1, 4) b(slot)) GROUP BY rep) ORDER BY m LIMIT 1 OFFSET {math.ceil((1 - 0.95) * REPETITIONS) - 1})"""
 # The resample positions do not depend on the row, so the bound of (g+a, g+b, g+c) is g plus that of (a, b, c).
 
 
@@ -211,7 +213,7 @@ LOW = f"""(SELECT m FROM (SELECT rep, sum(v) / 3 AS m FROM (SELECT rep, [{{0}}][
       CASE WHEN g1 AND g2 AND g3 AND g4 AND g5 AND g6 AND g7 AND g8 AND g9 AND g > 0 THEN 1.0 WHEN g2 OR g4 THEN 0.75 WHEN p % 2 = 0 THEN 0.5 WHEN p % 3 = 0 OR p % 5 <> 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS acceptance_level FROM x""",
 )
 def _(t):
-    made = B.structure_gates(_evidence(t), repetitions=100)
+    made = B.structure_gates(_evidence(t), repetitions=REPETITIONS)
     g = B.GATES
     return made.select(
         "id", "structural", F.col(g[1]).alias("g2"), F.col(g[3]).alias("g4"), F.col(g[5]).alias("g6"), F.col(g[6]).alias("g7"),

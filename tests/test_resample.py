@@ -1,11 +1,11 @@
 """Bootstraps, nulls and gates: properties and planted controls."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from foldwright.operators import resample as B
 
@@ -47,14 +47,28 @@ def test_planted_link_is_found_and_its_shuffle_is_not(linked):
     assert verdict(broken)["real_auc"] < verdict(linked)["real_auc"] - 0.1
 
 
-def test_both_bootstrap_paths_bracket_the_mean(spark):
+def test_chunks_give_the_means_of_whole_arrays(spark):
     rng = random.Random(8)
-    rows = spark.createDataFrame([("a", i, rng.gauss(1, 2)) for i in range(400)], "k string, task long, d double")
-    small = B.paired_bootstrap_interval(rows, ["k"], "task", "d", 400).first()
-    means = B.bootstrap_means(rows, ["k"], "task", "d", 400, 0, array_limit=10)
-    large = means.agg(F.percentile("_mean", F.lit(0.025)), F.percentile("_mean", F.lit(0.975))).first()
-    assert small["low"] < small["mean"] < small["high"]
-    assert large[0] == pytest.approx(small["low"], abs=0.08) and large[1] == pytest.approx(small["high"], abs=0.08)
+    rows = spark.createDataFrame([(k, i, rng.gauss(1, 2)) for k, n in (("a", 40), (None, 23), ("c", 7)) for i in range(n)], "k string, task long, d double")
+    read = lambda **o: {(r["k"], r["_rep"]): r["_mean"] for r in B.bootstrap_means(rows, ["k"], "task", "d", 50, 0, **o).collect()}
+    whole = read()
+    assert len(whole) == 150 and read(chunk=39) == pytest.approx(whole) and read(chunk=4) == pytest.approx(whole)
+
+
+def test_a_large_group_is_a_plain_index_bootstrap(spark):
+    n, seed = 5000, 3
+    values = [math.sin(i) for i in range(n)]
+    got = {r["_rep"]: r["_mean"] for r in B.bootstrap_means(spark.createDataFrame([("a", *v) for v in enumerate(values)], "k string, task long, d double"), ["k"], "task", "d", 3, seed).collect()}
+    draw = lambda rep, slot: int(hashlib.md5(f"{seed}:{rep}:{slot}".encode()).hexdigest()[:15], 16) % n
+    assert got == pytest.approx({rep: sum(values[draw(rep, slot)] for slot in range(1, n + 1)) / n for rep in (1, 2, 3)})
+
+
+def test_long_gate_arrays_have_the_bound_of_short_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [0.1, 0.5, 0.2, 0.9]), (2, [0.3]), (3, [0.7, 0.1, 0.4])], "id int, v array<double>")
+    read = lambda: {r["id"]: r["_low_v"] for r in B.add_array_bounds(rows, "id", ["v"], repetitions=60).collect()}
+    short = read()
+    monkeypatch.setattr(B, "CHUNK", 2)
+    assert read() == pytest.approx(short)
 
 
 def test_twelve_tasks_and_two_points_do_not_separate(spark):
