@@ -27,15 +27,3 @@ def hash_index(seed: int | str, n: Column | int, *parts: Column | str) -> Column
 def hash_uniform(seed: int | str, *parts: Column | str) -> Column:
     """A draw from [0, 1)."""
     return hash_key(seed, *parts) / F.lit(_SPAN)
-
-
-def hash_poisson_one(seed: int | str, *parts: Column | str) -> Column:
-    """A Poisson(1) count by inversion; the tail beyond 12 has mass below 1e-10."""
-    mass, cumulative, steps = 0.36787944117144233, 0.0, []
-    for k in range(13):
-        cumulative += mass
-        steps.append(cumulative)
-        mass /= k + 1
-    edges = F.array(*[F.lit(e) for e in steps])
-    u = hash_uniform(seed, *parts)
-    return F.size(F.filter(edges, lambda e: e <= u))

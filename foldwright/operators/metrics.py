@@ -99,13 +99,28 @@ def spearman(
     degenerate: float | None = 0.0,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Average-rank Spearman per key (AGG3); `degenerate` is the value for zero variance."""
-    ranked = average_rank(df, left, keys, "_rl", max_rows=max_rows)
-    ranked = average_rank(ranked, right, keys, "_rr", max_rows=max_rows)
-    otherwise = F.lit(degenerate).cast("double")
-    value = guarded_corr(F.col("_rl"), F.col("_rr"), otherwise)
-    grouped = ranked.groupBy(*keys) if keys else ranked
-    return grouped.agg(F.count(F.lit(1)).alias("n"), value.alias("spearman"))
+    """Average-rank Spearman per key (AGG3); `degenerate` is the value for zero variance.
+
+    Rows fold to weighted points and each side to its distinct values; ranks meet the points, never the rows,
+    and the correlation comes from weighted sums around the known mean rank.
+    """
+    keys = list(keys)
+    points = cut_lineage(df.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_n")))
+    for side, name in ((left, "_rl"), (right, "_rr")):
+        counts = points.groupBy(*keys, side).agg(F.sum("_n").alias("_ties"))
+        ranks = prefix_by_key(counts, keys, [side], {"_below": F.col("_ties")}, max_rows=max_rows).select(
+            *keys, side, (F.col("_below") + (F.col("_ties") + 1) / 2).alias(name)
+        )
+        points = join_null_safe(points, ranks, [*keys, side])
+    n, x, y = F.col("_n"), F.col("_rl"), F.col("_rr")
+    sums = {"n": n, "_x": n * x, "_xx": n * x * x, "_yy": n * y * y, "_xy": n * x * y}
+    grouped = points.groupBy(*keys) if keys else points
+    spread = [F.min("_rl").alias("_x0"), F.max("_rl").alias("_x1"), F.min("_rr").alias("_y0"), F.max("_rr").alias("_y1")]
+    made = grouped.agg(*[F.sum(c).alias(k) for k, c in sums.items()], *spread)
+    square = F.col("n") * ((F.col("n") + 1) / 2) ** 2
+    flat = F.coalesce((F.col("_x0") == F.col("_x1")) | (F.col("_y0") == F.col("_y1")), F.lit(True))
+    value = (F.col("_xy") - square) / F.sqrt((F.col("_xx") - square) * (F.col("_yy") - square))
+    return made.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(flat, F.lit(degenerate).cast("double")).otherwise(value).alias("spearman"))
 
 
 def candidate_pairs(df: DataFrame, candidate: str, on: Sequence[str], values: Sequence[str]) -> DataFrame:

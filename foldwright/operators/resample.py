@@ -215,10 +215,11 @@ def stratified_shuffle(
     """
     # Stratum sizes do not depend on the repetition, so one check on the unrepeated rows is enough.
     small = hot_keys(df, strata, max_rows)[1] == 0
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
     place = ["rep", *strata]
-    by_id = number_by_key(reps, place, [row_id], "_slot", max_rows=max_rows, known_small=small)
-    drawn = reps.select(*place, row_id, F.col(label).alias(name)).withColumn("_h", hash_key(seed, "rep", row_id))
+    repeat = F.explode(F.sequence(F.lit(1), F.lit(repetitions)))
+    # The place by id is the same in every repetition; only the draws are numbered anew.
+    by_id = number_by_key(df, strata, [row_id], "_slot", max_rows=max_rows, known_small=small).withColumn("rep", repeat)
+    drawn = df.select(*strata, row_id, F.col(label).alias(name)).withColumn("rep", repeat).withColumn("_h", hash_key(seed, "rep", row_id))
     by_draw = number_by_key(drawn, place, ["_h", row_id], "_slot", max_rows=max_rows, known_small=small).select(
         *place, "_slot", name
     )

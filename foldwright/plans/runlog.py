@@ -197,7 +197,7 @@ def _(t):
 )
 def _(t):
     events = stream.stream_table(t.spark, t.folder, "events").select("user_id", "event_id", "value")
-    return stream.run_to_completion(stream.stream_latest(events, ["user_id"], "event_id", "value"), "latest", "complete")
+    return stream.run_to_completion(stream.stream_latest(events, ["user_id"], "event_id", "value"), "latest", ["user_id"])
 
 
 STATE = f"""{RUNLOG}, s AS (SELECT run_id, sequence, CASE WHEN sequence = 1 THEN 'RUN_CREATED' WHEN k % 25 = 0 THEN 'VIOLATION_DETECTED' WHEN k % 40 = 7 THEN 'RUN_FINALIZED' WHEN event_type = 'view' THEN 'PHASE_CHANGED'
@@ -233,7 +233,7 @@ def _(t):
     path = scratch_path(t.spark, "typed-log")
     _typed(t.run_log()).repartition(4).write.parquet(path)
     events = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return stream.run_to_completion(stream.stream_run_state(events, "run_id", "sequence"), "run-state", "complete")
+    return stream.run_to_completion(stream.stream_run_state(events, "run_id", "sequence"), "run-state", ["run_id"])
 
 
 @query(

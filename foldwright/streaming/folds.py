@@ -8,29 +8,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldwright.operators.runlog import run_state_fold
 from foldwright.session import scratch_path
 
 
-def run_to_completion(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain the available input into a table in the shared folder and return it."""
+def run_to_completion(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Drain the available input into a table in the shared folder and return it.
+
+    With `keys` the stream is an aggregation: each micro-batch appends the keys it changed under its own
+    number, a repeated batch replaces itself, and the latest row of each key is read.
+    """
     spark = stream.sparkSession
     target, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
     writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
-    if output_mode == "append":
-        query = writer.format("parquet").outputMode("append").start(target)
-    else:
-        # Complete and update modes rewrite the small result table of the batch.
-        query = writer.outputMode(output_mode).foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(target)
-        ).start()
-    query.awaitTermination()
-    return spark.read.parquet(target)
-
-
-def stream_event_dedup(events: DataFrame, event_id: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated event ids (STR1); the watermark is our bound on how long an id is remembered."""
+    if keys is None:
+        writer.format("parquet").outputMode("append").start(target).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(target)
+    writer.outputMode("update").foreachBatch(
+        lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+    ).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    changes = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(target)
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
+    return latest.select(*keys, "_latest.*").select(*stream.columns)
+
+
+def stream_event_dedup(events: DataFrame, event_id: str, event_time: str, delay: str) -> DataFrame:
+    """Drop repeated event ids (STR1); `delay` bounds how long an id is remembered and how late an event may come."""
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([event_id])
 
 

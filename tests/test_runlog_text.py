@@ -153,6 +153,17 @@ def test_spend_decision_order(spark):
     assert K.spend_decision(candidates, spent, 1, "maximize").first().reason == "all_submitted"
 
 
+def test_aggregation_stream_keeps_keys_of_every_batch(spark, tmp_path):
+    from foldwright.streaming import folds
+
+    batches = [[(1, 1, "a"), (2, 2, "b")], [(1, 3, "c")], [(3, 4, "d"), (2, 1, "old")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "e long, s long, v string").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    stream = spark.readStream.schema("e long, s long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    latest = folds.run_to_completion(folds.stream_latest(stream, ["e"], "s", "v"), "latest-test", ["e"])
+    assert sorted(tuple(r) for r in latest.select("e", "v", "s").collect()) == [(1, "c", 3), (2, "b", 2), (3, "d", 4)]
+
+
 def test_streamed_run_state_equals_batch(spark, tmp_path):
     from foldwright.streaming import folds
 
@@ -163,7 +174,7 @@ def test_streamed_run_state_equals_batch(spark, tmp_path):
     batch = sorted(map(str, L.run_state_fold(frame, "run", "sequence").collect()))
     frame.repartition(3).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    made = folds.run_to_completion(folds.stream_run_state(stream, "run", "sequence"), "state", "complete")
+    made = folds.run_to_completion(folds.stream_run_state(stream, "run", "sequence"), "state", ["run"])
     assert sorted(map(str, made.select(*L.run_state_fold(frame, "run", "sequence").columns).collect())) == batch
     state = {r.run: r for r in made.collect()}
     assert state["r"].brief_sequence is None and state["s"].status == "blocked"
