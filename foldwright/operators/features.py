@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.scalars import entity_key, safe_number
-from foldwright.operators.ordering import join_null_safe, prefix_by_key, with_neighbours
+from foldwright.operators.ordering import fold_before, join_null_safe, number_by_key, prefix_by_key, with_neighbours
 
 
 def fold_safe_entity_aggregates(
@@ -202,23 +201,25 @@ def delayed_history_mean(
 
 
 def decayed_history(
-    df: DataFrame, entity: str, value: str, order: Sequence[str], decay: float, tolerance: float = 1e-12,
-    name: str = "decayed", *, max_rows: int | None = None,
+    df: DataFrame, entity: str, value: str, order: Sequence[str], decay: float, name: str = "decayed", *, max_rows: int | None = None,
+    chunk: int = 1000,
 ) -> DataFrame:
-    """d_t = d_(t-1)*decay + x_(t-1) per entity (WIN7).
+    """d_t = d_(t-1)*decay + x_(t-1) per entity (WIN7), over the whole history.
 
-    Terms older than log(tolerance)/log(decay) rows fall below `tolerance` and are left out, so each
-    row reads a frame of fixed length whatever the entity's size.
+    A row moves d to d*a + b; such moves compose, so they are folded by chunks of rows.
     """
     if not 0 < decay < 1:
         raise ValueError("decay must lie in (0, 1)")
-    k = max(1, math.ceil(math.log(tolerance) / math.log(decay)))
+    numbered = number_by_key(df, [entity], order, "_i", max_rows=max_rows)
+    move = F.struct(F.lit(decay).alias("a"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("b"))
+    identity = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
 
-    def build(window: Window) -> dict[str, Column]:
-        recent = F.collect_list(F.col(value).cast("double")).over(window.rowsBetween(-k, -1))
-        return {name: F.aggregate(recent, F.lit(0.0), lambda acc, x: acc * decay + x)}
+    def compose(first: Column, then: Column) -> Column:
+        return F.struct((first["a"] * then["a"]).alias("a"), (first["b"] * then["a"] + then["b"]).alias("b"))
 
-    return with_neighbours(df, [entity], order, build, before=k, max_rows=max_rows)
+    prior = fold_before(numbered.select(entity, "_i", move.alias("_move")), [entity], "_i", identity, "struct<a:double,b:double>", compose, chunk)
+    joined = join_null_safe(numbered, prior, [entity, "_i"])
+    return joined.withColumn(name, F.col("_prior.b")).drop("_i", "_prior")
 
 
 def smoothed_target_encoding(

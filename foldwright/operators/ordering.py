@@ -12,7 +12,7 @@ Two tools carry every ordered operator of the library:
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -331,3 +331,43 @@ def with_neighbours(
     columns = build(window)
     built = spread.select("*", *[c.alias(n) for n, c in columns.items()])
     return built.filter(F.col("_block") == F.col("_home")).select(*df.columns, *columns)
+
+
+def fold_before(
+    moves: DataFrame, keys: Sequence[str], index: str, identity: Column, kind: str, compose: Callable[[Column, Column], Column], chunk: int = 1000
+) -> DataFrame:
+    """Composition `_prior` of all earlier `_move` values of a key, for moves that compose associatively.
+
+    Rows are folded by chunks of their number `index`, the chunks' moves are composed by the same rule one level
+    up, and each chunk is walked from what came before it. `kind` is the type of a move.
+    """
+    keys = list(keys)
+    chunked = moves.withColumn("_chunk", F.floor(F.col(index) / chunk))
+    folded = chunked.groupBy(*keys, "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("_move").alias("m")))).alias("_list")
+    )
+    if (moves.agg(F.max(index)).first()[0] or 0) >= chunk:
+        heads = folded.select(
+            *keys, "_chunk", F.aggregate("_list", identity, lambda acc, e: compose(acc, e["m"])).alias("_move")
+        )
+        # The next level numbers the chunks; its own chunk column must not hide that number.
+        above = heads.withColumnRenamed("_chunk", "_upper")
+        carried = fold_before(above, keys, "_upper", identity, kind, compose, chunk).select(
+            *keys, F.col("_upper").alias("_chunk"), F.col("_prior").alias("_carry")
+        )
+        folded = join_null_safe(folded, carried, [*keys, "_chunk"])
+    else:
+        folded = folded.withColumn("_carry", identity)
+    start = F.struct(F.col("_carry").alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+    walked = F.aggregate(
+        "_list",
+        start,
+        lambda acc, e: F.struct(
+            compose(acc["now"], e["m"]).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+    spread = F.transform("_list", lambda e, i: F.struct(e["i"].alias("i"), F.get("_walk", i).alias("p")))
+    return folded.withColumn("_walk", walked).select(*keys, F.explode(spread).alias("_e")).select(
+        *keys, F.col("_e.i").alias(index), F.col("_e.p").alias("_prior")
+    )

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from foldwright.functions.scalars import BELIEF_RANGE, canonical_fingerprint
 from foldwright.operators.metrics import forecast_calibration
 from foldwright.operators.ordering import (
+    fold_before,
     join_null_safe,
     number_by_key,
     prefix_by_key,
@@ -261,39 +262,11 @@ def _compose(first: Column, then: Column) -> Column:
 
 
 def _moves_before(moves: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
-    """Composition of all earlier moves of a key: fold chunks, recurse over chunks, spread back."""
+    """Composition of all earlier moves of a key."""
     identity = F.struct(
         F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("b"), F.lit(float("inf")).alias("c")
     )
-    chunked = moves.withColumn("_chunk", F.floor(F.col(index) / FOLD_CHUNK))
-    folded = chunked.groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("_move").alias("m")))).alias("_list")
-    )
-    if (moves.agg(F.max(index)).first()[0] or 0) >= FOLD_CHUNK:
-        heads = folded.select(
-            *keys, "_chunk", F.aggregate("_list", identity, lambda acc, e: _compose(acc, e["m"])).alias("_move")
-        )
-        # The next level numbers the chunks; its own chunk column must not hide that number.
-        above = heads.withColumnRenamed("_chunk", "_upper")
-        carried = _moves_before(above, keys, "_upper").select(
-            *keys, F.col("_upper").alias("_chunk"), F.col("_prior").alias("_carry")
-        )
-        folded = folded.join(carried, [*keys, "_chunk"])
-    else:
-        folded = folded.withColumn("_carry", identity)
-    start = F.struct(F.col("_carry").alias("now"), F.array().cast("array<struct<a:double,b:double,c:double>>").alias("out"))
-    walked = F.aggregate(
-        "_list",
-        start,
-        lambda acc, e: F.struct(
-            _compose(acc["now"], e["m"]).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
-    spread = F.transform("_list", lambda e, i: F.struct(e["i"].alias("i"), F.get("_walk", i).alias("p")))
-    return folded.withColumn("_walk", walked).select(*keys, F.explode(spread).alias("_e")).select(
-        *keys, F.col("_e.i").alias(index), F.col("_e.p").alias("_prior")
-    )
+    return fold_before(moves, keys, index, identity, "struct<a:double,b:double,c:double>", _compose, FOLD_CHUNK)
 
 
 def belief_trajectory(
