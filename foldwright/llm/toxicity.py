@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.base import text_bytes, text_slices
+from foldwright.llm.base import stored, text_bytes, text_slices
 from foldwright.llm.labelled import held_out, sample, training_labels, with_texts
 from foldwright.llm.runs import hash_prefixes, hash_runs, word_runs
 
@@ -103,22 +103,18 @@ def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, features
     return w[:-1], w[-1]
 
 
-def choose_slots(rows: list[np.ndarray], positive: np.ndarray, features: int) -> np.ndarray:
-    """Slots whose share among positives exceeds that among unlabelled rows most, in standard errors (two at least)."""
-    size = 1 << _SLOT_BITS
+def choose_slots(rows: DataFrame, features: int) -> list[int]:
+    """Slots whose share among positives exceeds that among unlabelled rows most, in standard errors (two at least).
 
-    def share(of: list[np.ndarray]) -> np.ndarray:
-        counts = np.zeros(size)
-        for r in of:
-            counts[r] += 1
-        return counts
-
-    of_p, of_u = share([r for r, y in zip(rows, positive, strict=True) if y]), share([r for r, y in zip(rows, positive, strict=True) if not y])
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    p, u = (of_p + 0.5) / (n_p + 1), (of_u + 0.5) / (n_u + 1)
-    distance = np.where(of_p + of_u >= 3, (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u), 0)
-    best = np.argsort(-distance, kind="stable")[:features]
-    return best[distance[best] > 2]
+    Counts are one aggregation over (positive, slots); only the chosen slots reach the driver.
+    """
+    sizes = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
+    n_p, n_u = max(1, sizes["p"]), max(1, sizes["u"])
+    counts = rows.select("positive", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count_if("positive").alias("in_p"), F.count_if(~F.col("positive")).alias("in_u"))
+    p, u = (F.col("in_p") + 0.5) / (n_p + 1), (F.col("in_u") + 0.5) / (n_u + 1)
+    distance = (p - u) / F.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
+    ranked = counts.where(F.col("in_p") + F.col("in_u") >= 3).withColumn("distance", F.round(distance, 9)).where("distance > 2")
+    return [r["slot"] for r in ranked.orderBy(F.desc("distance"), "slot").limit(features).collect()]
 
 
 def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +126,7 @@ def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED):
-    """A model from confirmed toxic rows and unlabelled text; only the bounded samples' features reach the driver."""
+    """A model from confirmed toxic rows and unlabelled text; only the chosen features of the bounded samples reach the driver."""
     known = training_labels(labels, "toxic")
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     prior = counts["toxic"] / counts["n"] if counts["n"] else 0.0
@@ -140,17 +136,18 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most_positive: int = M
     texts = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id")
     positive = sample(toxic, most_positive).withColumn("positive", F.lit(True))
     chosen = positive.unionByName(sample(texts, most_unlabelled).withColumn("positive", F.lit(False)))
-    rows = with_texts(chosen, documents).mapInArrow(_sample_slots, "doc_id long, positive boolean, slots array<int>").toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending")])
-    mark = rows.column("positive").to_numpy().astype(bool)
-    lists = [np.asarray(x.values) for x in rows.column("slots")]
+    rows = stored(with_texts(chosen, documents).mapInArrow(_sample_slots, "doc_id long, positive boolean, slots array<int>"), "toxicity-sample")
+    slots = np.array(choose_slots(rows, FEATURES), dtype=np.int64)
+    wanted = F.array(*(F.lit(int(s)) for s in slots)) if len(slots) else F.array().cast("array<int>")
+    got = rows.select("doc_id", "positive", F.array_intersect("slots", wanted).alias("slots")).toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending")])
+    mark = got.column("positive").to_numpy().astype(bool)
+    lists = [np.asarray(x.values, dtype=np.int64) for x in got.column("slots")]
     if not mark.any() or mark.all():
         return ConstantModel(prior)
-    slots = choose_slots(lists, mark, FEATURES)
     index = np.full(1 << _SLOT_BITS, -1, dtype=np.int64)
     index[slots] = np.arange(len(slots))
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     column = index[np.concatenate(lists)]
-    row, column = row[column >= 0], column[column >= 0]
     weights, bias = [], []
     part = np.arange(len(mark)) % MODELS
     for k in range(MODELS):
