@@ -11,6 +11,7 @@ from foldwright.operators.audit import Audited
 from foldwright.operators.metrics import auc, binary_calibration, effective_count, spearman
 from foldwright.operators.ordering import number_by_key
 from foldwright.operators.rates import rate, rate_where, validation_fidelity
+from foldwright.operators.resample import paired_bootstrap_interval
 
 # Preflight thresholds, support share of a seed family, and the measured state dimensions.
 SUPPORT_SHARE = 2 / 3
@@ -278,8 +279,11 @@ def sign_test_p(positive: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(1.0), 2 * added)).otherwise(F.lit(1.0))
 
 
-def paired_arm_statistics(scores: DataFrame, arm: str, seed: str, score: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Differences of arm pairs over shared seeds: centre, extremes, positive share and sign test (AGG29)."""
+def paired_arm_statistics(
+    scores: DataFrame, arm: str, seed: str, score: str, pairs: Sequence[tuple[str, str]], resamples: int = 10_000, draw_seed: int | str = 0
+) -> DataFrame:
+    """Differences of arm pairs over shared seeds: centre, extremes, positive share, sign test and the 95 % bootstrap
+    interval of the mean (AGG29)."""
     wanted = scores.sparkSession.createDataFrame(list(pairs), "treatment string, comparator string")
     left = scores.select(F.col(arm).alias("treatment"), seed, F.col(score).alias("_t"))
     right = scores.select(F.col(arm).alias("comparator"), seed, F.col(score).alias("_c"))
@@ -295,7 +299,9 @@ def paired_arm_statistics(scores: DataFrame, arm: str, seed: str, score: str, pa
         F.count_if(F.col("delta") > 0).alias("_pos"),
         F.count_if(F.col("delta") != 0).alias("_all"),
     )
-    return made.withColumn("sign_p", sign_test_p(F.col("_pos"), F.col("_all"))).drop("_pos", "_all")
+    bounds = paired_bootstrap_interval(rows, ["treatment", "comparator"], seed, "delta", resamples, seed=draw_seed)
+    tested = made.withColumn("sign_p", sign_test_p(F.col("_pos"), F.col("_all"))).drop("_pos", "_all")
+    return tested.join(bounds.select("treatment", "comparator", "low", "high"), ["treatment", "comparator"])
 
 
 def arm_outcomes(scores: DataFrame, arm: str, seed: str, score: str, local: str) -> DataFrame:

@@ -9,6 +9,7 @@ from foldwright.operators import studies as Z
 from foldwright.plans.fixtures import rounded
 from foldwright.plans.metrics import RANK_AUC
 from foldwright.plans.registry import query, r6
+from foldwright.plans.resampling import RESAMPLES, boot
 
 FAMILIES = ("click", "error", "purchase", "signup", "view")
 
@@ -332,12 +333,14 @@ def _arms(t):
 
 @query(
     "agg29_paired_arm_statistics",
-    f"""WITH {ARMS}, d AS (SELECT x.arm AS treatment, y.arm AS comparator, x.score - y.score AS d FROM arms x JOIN arms y USING (seed)
+    f"""WITH {ARMS}, d AS (SELECT x.arm AS treatment, y.arm AS comparator, seed, x.score - y.score AS d FROM arms x JOIN arms y USING (seed)
         WHERE (x.arm, y.arm) IN (('C', 'B'), ('C', 'BP'), ('BP', 'B'))),
       s AS (SELECT treatment, comparator, count(*) AS n, avg(d) AS mean, median(d) AS med, avg(CAST(d > 0 AS INT)) AS pos, min(d) AS lo, max(d) AS hi,
-        count(*) FILTER (d > 0) AS k, count(*) FILTER (d <> 0) AS m FROM d GROUP BY ALL)
-    SELECT treatment, comparator, n AS seeds, {r6("mean")} AS mean, {r6("med")} AS median, {r6("pos")} AS positive_rate, {r6("lo")} AS worst, {r6("hi")} AS best,
-      {r6('''least(1, 2 * list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)) FOR i IN range(least(k, m - k) + 1)]))''')} AS sign_p FROM s""",
+        count(*) FILTER (d > 0) AS k, count(*) FILTER (d <> 0) AS m FROM d GROUP BY treatment, comparator),
+      {boot("d", "treatment, comparator", "seed", "d", "1.0", RESAMPLES, 0)},
+      q AS (SELECT treatment, comparator, {r6("quantile_cont(m, 0.025)")} AS low, {r6("quantile_cont(m, 0.975)")} AS high FROM bm GROUP BY treatment, comparator)
+    SELECT treatment, comparator, low, high, n AS seeds, {r6("mean")} AS mean, {r6("med")} AS median, {r6("pos")} AS positive_rate, {r6("lo")} AS worst, {r6("hi")} AS best,
+      {r6('''least(1, 2 * list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)) FOR i IN range(least(k, m - k) + 1)]))''')} AS sign_p FROM s JOIN q USING (treatment, comparator)""",
 )
 def _(t):
     made = Z.paired_arm_statistics(_arms(t), "arm", "seed", "score", [("C", "B"), ("C", "BP"), ("BP", "B")])
