@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.draws import hash_index, hash_key
@@ -32,8 +33,6 @@ NULL_TAIL, FUTILITY_CONFIDENCE, MINIMUM_NULLS = 0.05, 0.05, 5
 CHUNK = 4096
 # Array entries a broadcast side of the bootstrap join may hold (8 bytes each).
 BROADCAST_VALUES = 4_000_000
-# Candidates a tier walk accepts: its k*k flag table is the only thing that reaches the driver.
-MAX_CANDIDATES = 512
 
 
 def z_value(confidence: float) -> float:
@@ -453,28 +452,40 @@ def compare_pairs(
     )
 
 
+def _tier_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tier of every candidate in best-mean order; the state is the current tier and where it began."""
+    tier, begin = 0, 0
+    for batch in batches:
+        tiers = []
+        for place, unseparated in zip(batch["place"], batch["unseparated"], strict=True):
+            if unseparated < begin or tier == 0:
+                tier, begin = tier + 1, place
+            tiers.append(tier)
+        yield batch[["place"]].assign(tier=tiers)
+
+
 def gated_ranking(
     scores: DataFrame, candidate: str, task: str, value: str, direction: str = "maximize", **options
 ) -> DataFrame:
     """Tiers in best-mean order; a tier opens only when separated from all of the current one (RES12).
 
-    Comparisons run on Spark; the walk reads one mean per candidate and one flag per pair.
+    Of all pairs only one number per candidate is kept: the place of the latest better candidate it is not
+    separated from. A tier opens where that lies before the tier's begin. The ordered pass has one row per
+    candidate and holds two counters.
     """
     better = scores.groupBy(candidate).agg(F.avg(direction_normalised(F.col(value), direction)).alias("mean"))
-    means = [(r[candidate], r["mean"]) for r in better.limit(MAX_CANDIDATES + 1).collect()]
-    if len(means) > MAX_CANDIDATES:
-        raise ContractError(f"a tier walk accepts at most {MAX_CANDIDATES} candidates")
-    verdicts = compare_pairs(scores, candidate, task, value, direction, **options)
-    separated = {frozenset((r["left_id"], r["right_id"])): r["separated"] for r in verdicts.select("left_id", "right_id", "separated").collect()}
-    tiers: list[list[str]] = []
-    for name, _ in sorted(means, key=lambda m: (-m[1], m[0])):
-        if tiers and not all(separated.get(frozenset((name, other)), False) for other in tiers[-1]):
-            tiers[-1].append(name)
-        else:
-            tiers.append([name])
-    table = [(name, number, len(tier)) for number, tier in enumerate(tiers, 1) for name in tier]
-    placed = scores.sparkSession.createDataFrame(table, f"{candidate} string, tier long, tier_size long")
-    return better.join(F.broadcast(placed), candidate)
+    placed = cut_lineage(better.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), candidate)).cast("long")))
+    pairs = compare_pairs(scores, candidate, task, value, direction, **options).filter("separated")
+    side = lambda c, name: placed.select(F.col(candidate).alias(c), F.col("place").alias(name))
+    met = pairs.select("left_id", "right_id").join(side("left_id", "_l"), "left_id").join(side("right_id", "_r"), "right_id")
+    below = met.groupBy(F.greatest("_l", "_r").alias("place")).agg(F.sort_array(F.collect_set(F.least("_l", "_r")), False).alias("_apart"))
+    # Separated places directly before the candidate's own form a run; the place before the run is not separated.
+    run = F.size(F.filter(F.transform("_apart", lambda x, i: x + i), lambda x: x == F.col("place") - 1))
+    latest = F.col("place") - 1 - F.when(F.col("_apart").isNull(), 0).otherwise(run)
+    ordered = placed.select("place").join(below, "place", "left").select("place", latest.alias("unseparated"))
+    walked = cut_lineage(ordered.repartition(1).sortWithinPartitions("place").mapInPandas(_tier_walk, "place long, tier long"))
+    sizes = walked.groupBy("tier").agg(F.count(F.lit(1)).alias("tier_size"))
+    return placed.join(walked.join(sizes, "tier"), "place").select(candidate, "mean", "tier", "tier_size")
 
 
 def total_order(tiers: DataFrame, candidate: str) -> DataFrame:

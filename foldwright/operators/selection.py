@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foldwright.operators.audit import ContractError
 from foldwright.operators.columns import relative_gain
 from foldwright.operators.metrics import kendall_tau_b
-from foldwright.operators.ordering import prefix_by_key
+from foldwright.operators.ordering import join_null_safe, prefix_by_key
 from foldwright.operators.text import proposal_similarity
 from foldwright.session import cut_lineage
 
@@ -200,29 +200,36 @@ def agent_elites(outcomes: DataFrame, agent: str) -> DataFrame:
 def local_novelty(items: DataFrame, agent: str, sequence: str, descriptor: Sequence[str]) -> DataFrame:
     """Smallest share of differing descriptor values to any earlier item of the agent, 1 when none (TOP8).
 
-    Two items differ in d of m values exactly when they agree on some choice of m-d. Each distinct
-    descriptor therefore asks, for every choice of values, whether an earlier one agrees on them: 2^m
-    lookups instead of a comparison with every earlier item.
+    Two items differ in d of m values exactly when they agree on some choice of m-d. Distinct descriptors
+    ask for choices of many values first; those that found an earlier one leave, so long descriptors do
+    not ask for all 2^m choices.
     """
-    m = len(descriptor)
-    if m > 10:
-        raise ContractError("novelty indexes at most ten descriptor values")
-    firsts = items.groupBy(agent, *descriptor).agg(F.min(sequence).alias("_first"))
+    m, keys = len(descriptor), [agent, *descriptor]
+    firsts = cut_lineage(items.groupBy(*keys).agg(F.min(sequence).alias("_first")))
+    begun = firsts.groupBy(agent).agg(F.min("_first").alias("_begin"))
+    waiting = join_null_safe(firsts, begun, [agent]).filter(F.col("_first") > F.col("_begin")).drop("_begin")
     kept = [
-        F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.coalesce(F.col(d).cast("string"), F.lit("<NA>")))
-        for i, d in enumerate(descriptor)
+        F.when(F.getbit(F.col("_mask"), F.lit(i)) == 1, F.coalesce(F.col(d).cast("string"), F.lit("<NA>"))) for i, d in enumerate(descriptor)
     ]
-    spread = firsts.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1)))).withColumn(
-        "_key", F.to_json(F.array(*kept))
-    )
-    earliest = spread.groupBy(agent, "_mask", "_key").agg(F.min("_first").alias("_min"))
-    nearest = (
-        spread.join(earliest, [agent, "_mask", "_key"])
-        .filter(F.col("_min") < F.col("_first"))
-        .groupBy(agent, *descriptor)
-        .agg(F.min((F.lit(m) - F.bit_count("_mask")) / F.lit(float(m))).alias("_near"))
-    )
-    joined = items.join(firsts, [agent, *descriptor]).join(nearest, [agent, *descriptor], "left")
+
+    def asked(df: DataFrame, agreeing: int) -> DataFrame:
+        masks = [sum(1 << i for i in chosen) for chosen in itertools.combinations(range(m), agreeing)]
+        # One text literal keeps the plan small however many choices there are.
+        choices = F.split(F.lit(",".join(map(str, masks))), ",")
+        rows = df.withColumn("_choice", F.explode(choices)).withColumn("_mask", F.col("_choice").cast("long")).drop("_choice")
+        return rows.withColumn("_ask", F.concat_ws(":", "_mask", F.to_json(F.array(*kept))))
+
+    near = None
+    for agreeing in range(m - 1, 0, -1):
+        if waiting.isEmpty():
+            break
+        earliest = asked(firsts, agreeing).groupBy(agent, "_ask").agg(F.min("_first").alias("_min"))
+        met = join_null_safe(asked(waiting, agreeing), earliest, [agent, "_ask"]).filter(F.col("_min") < F.col("_first"))
+        found = cut_lineage(met.select(*keys).distinct().withColumn("_near", F.lit((m - agreeing) / m)))
+        near = found if near is None else near.unionByName(found)
+        waiting = cut_lineage(join_null_safe(waiting, found.drop("_near"), keys, "left_anti"))
+    joined = join_null_safe(items, firsts, keys)
+    joined = join_null_safe(joined, near, keys) if near is not None else joined.withColumn("_near", F.lit(None).cast("double"))
     value = F.when(F.col(sequence) > F.col("_first"), 0.0).otherwise(F.coalesce("_near", F.lit(1.0)))
     return joined.select(*items.columns, value.alias("novelty"))
 

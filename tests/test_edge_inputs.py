@@ -90,3 +90,33 @@ def test_largest_similarity_below_the_threshold(spark):
     for rows in (apart[:2], apart, [(0, [" A b"], ["b"], ["c"], ["d"], ["e"], True, False), (1, ["a_B "], ["b"], ["c"], ["x"], ["y"], True, False), *apart[2:]]):
         made = X.similarity_audit(spark.createDataFrame(rows, SCHEMA), "id").first()
         assert made["max_similarity"] == pytest.approx(max(_similarity(a, b) for a, b in itertools.combinations(rows, 2)))
+
+
+def test_novelty_of_long_descriptors(spark):
+    rng = random.Random(11)
+    names = [f"d{k}" for k in range(12)]
+    rows = [(rng.choice("ab"), k, *[rng.choice([None, "x", "y", "z"]) for _ in names]) for k in range(40)]
+    rows += [("a", 50 + k, *rows[k][2:]) for k in range(4)] + [(None, 60, *["x"] * 12), (None, 61, *["x"] * 11, "q"), ("c", 70, *["x"] * 12)]
+    got = {r["seq"]: r["novelty"] for r in K.local_novelty(spark.createDataFrame(rows, ", ".join(["agent string", "seq int", *(f"{n} string" for n in names)])), "agent", "seq", names).collect()}
+    differ = lambda a, b: sum(x != y for x, y in zip(a[2:], b[2:], strict=True)) / 12
+    assert got == pytest.approx({r[1]: min([differ(r, o) for o in rows if o[0] == r[0] and o[1] < r[1]], default=1.0) for r in rows})
+
+
+def test_tier_walk_against_a_walk_over_pairs(spark, monkeypatch):
+    from foldwright.operators import resample as B
+
+    rng = random.Random(12)
+    names = [f"c{k:03d}" for k in range(30)]
+    apart = {(a, b) for a, b in itertools.combinations(names, 2) if rng.random() < 0.8}
+    pairs = [(a, b, (a, b) in apart) for a, b in itertools.combinations(names, 2) if rng.random() < 0.95]
+    monkeypatch.setattr(B, "compare_pairs", lambda *a, **o: spark.createDataFrame(pairs, "left_id string, right_id string, separated boolean"))
+    scores = spark.createDataFrame([(n, "t", float(rng.randint(0, 20))) for n in names], "c string, task string, v double")
+    known = {frozenset(p[:2]): p[2] for p in pairs}
+    tiers = []
+    for name in [r["c"] for r in scores.orderBy(scores["v"].desc(), "c").collect()]:
+        if tiers and not all(known.get(frozenset((name, o)), False) for o in tiers[-1]):
+            tiers[-1].append(name)
+        else:
+            tiers.append([name])
+    want = {n: (k, len(t)) for k, t in enumerate(tiers, 1) for n in t}
+    assert {r["c"]: (r["tier"], r["tier_size"]) for r in B.gated_ranking(scores, "c", "task", "v").collect()} == want
