@@ -57,7 +57,8 @@ def remove_spread_lines(documents: DataFrame, site: str = "source", least_sites:
     removed = lines.join(spread, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("first_doc").isNotNull())
     removed = stored(removed.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")), "removed-lines")
     removed = removed.withColumnsRenamed({"doc_id": "removed_doc", "text_hash": "removed_hash"})
-    joined = documents.join(removed, F.col("doc_id").eqNullSafe(F.col("removed_doc")) & (F.xxhash64("text") == F.col("removed_hash")), "left")
+    # The planner may not broadcast: a table with a row per changed document grows with the corpus.
+    joined = documents.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("removed_doc")) & (F.xxhash64("text") == F.col("removed_hash")), "left")
     split = F.split(F.col("text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
