@@ -160,3 +160,16 @@ def embedding_groups(
     linked = valid.join(known, "raw").select("vec_id", F.col("links").alias("n_links"), F.col("root").alias("component_id"))
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs, in double precision.
+EMBEDDINGS_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reached(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.c FROM reached r JOIN links l ON l.x = r.id WHERE r.c < l.y),
+named AS (SELECT id, min(c) AS c FROM reached GROUP BY id),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, e.vec_id = coalesce(c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN named ON named.id = e.vec_id LEFT JOIN counted ON counted.x = e.vec_id"""

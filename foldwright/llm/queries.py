@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.base import read_table
 from foldwright.llm.decontaminate import contaminated
-from foldwright.llm.embedding_cells import embedding_groups
+from foldwright.llm.embedding_cells import EMBEDDINGS_SQL, embedding_groups
 from foldwright.llm.line_spread import LINES_SQL, remove_spread_lines
 from foldwright.llm.packing import pack
 from foldwright.llm.quality import quality_scores
@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {
+    "op5_embedding_cells": EMBEDDINGS_SQL,
     "op6_url_lists": URLS_SQL,
     "op7_secret_ledger": SECRETS_SQL,
     "op9_line_spread": LINES_SQL,
