@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldwright.session import scratch_path
 
@@ -29,6 +30,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def row_key() -> Column:
+    """Digest of a document's id and text, whatever type the id has."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def rows_of_keys(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `documents` whose key is in `kept` (kept_row_key). Rows equal in id and text share a key, and one of them stays."""
+    keyed = documents.withColumn("kept_row_key", row_key())
+    return keyed.join(kept, "kept_row_key").dropDuplicates(["kept_row_key"]).select(*documents.columns)
+
+
 def input_partitions(df: DataFrame, bytes_per_task: int = 128 << 20) -> int:
     """Shuffle partitions for `df`: the session's number, or more when the planner's size estimate asks for it."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
