@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.base import stored, text_slices
+from foldwright.llm.base import row_key, rows_of_keys, stored, text_slices
 from foldwright.llm.graph import components
 
 BLOCKS = (21, 21, 22)
@@ -152,7 +152,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grouped(documents: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, row_key (digest of id and text), fp, root (one fingerprint per component) and component_id of every row."""
     text = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row_key"), text.alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text.alias("text"))
     prints = stored(rows.mapInArrow(_fingerprints(words, seed), "doc_id long, row_key long, fp long"), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprint-nodes")
     variants = nodes.select("fp").mapInArrow(_emit, "key long, rest int")
@@ -174,6 +174,4 @@ def first_of_groups(documents: DataFrame, words: int = 3, seed: int = 42) -> Dat
     rows = _grouped(documents, words, seed)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
     kept = stored(first.select(F.col("first.row_key").alias("kept_row_key")), "kept-rows")
-    keyed = documents.withColumn("kept_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    # Rows equal in id and text share a key, and one of them stays.
-    return keyed.join(kept, "kept_row_key").dropDuplicates(["kept_row_key"]).select(*documents.columns)
+    return rows_of_keys(documents, kept)

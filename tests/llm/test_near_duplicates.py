@@ -134,6 +134,14 @@ def test_simhash_null_ids_repeated_rows_and_empty_table(spark):
     assert simhash_groups(empty).count() == 0 and first_of_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_simhash_keeps_rows_of_other_id_types(spark, kind):
+    frame = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "other words here now")], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    kept = first_of_groups(frame)
+    assert kept.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3"]
+
+
 def test_local_labels_follow_paths():
     linked = np.array([[1, 0, 0], [1, 1, 0], [0, 1, 1], [0, 0, 0]], dtype=bool)
     a, b = local_labels(linked, np.array([9, 8, 7, 6]), np.array([5, 4, 3]))
