@@ -54,7 +54,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     intervals = stored(validity_intervals(entries), "list-intervals")
     rows = captures.withColumns({"url_host": F.coalesce(host_of(F.col("url")), F.lit("")), "url_address": F.coalesce(address_of(F.col("url")), F.lit(""))})
     labels = F.split("url_host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = rows.where("url_host <> ''").select("url_host").distinct().select("url_host", F.explode(parents).alias("entry"))
     addresses = rows.where("url_address <> ''").select("url_address").distinct().select("url_address", F.col("url_address").alias("entry"))
     joined = rows.join(_arrays(hosts, "url_host", intervals.where("kind = 'domain'")), "url_host", "left")

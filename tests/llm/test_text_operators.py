@@ -196,6 +196,12 @@ def test_url_lists_without_entries(spark):
     assert filter_captures(captures.limit(0), none).count() == 0
 
 
+def test_top_level_entry_blocks_its_hosts(spark):
+    captures = spark.sql("SELECT id, url, timestamp'2024-01-03' AS fetched_at FROM VALUES (1, 'http://a.b.zip/x'), (2, 'http://zip'), (3, 'http://a.bzip/'), (4, 'http://zip.org/') AS t (id, url)")
+    entries = spark.sql("SELECT 'l' AS list_name, 'domain' AS kind, 'zip' AS entry, date'2024-01-01' AS day, 'add' AS action")
+    assert {r["id"]: r["blocked"] for r in filter_captures(captures, entries).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 def held_out_metrics(scores, labels, label, cut):
     known = {r["doc_id"]: r[label] for r in labels.collect()}
     pairs = [(r["predicted"], known[r["doc_id"]]) for r in scores.collect() if r["held_out"] and r["doc_id"] in known]
