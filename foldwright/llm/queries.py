@@ -8,19 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.base import read_table
+from foldwright.llm.bpe_codec import bpe_round_trip
 from foldwright.llm.decontaminate import contaminated
 from foldwright.llm.embedding_cells import EMBEDDINGS_SQL, embedding_groups
 from foldwright.llm.line_spread import LINES_SQL, remove_spread_lines
+from foldwright.llm.merkle_manifest import MERKLE_SQL, tampered_manifest
 from foldwright.llm.packing import pack
 from foldwright.llm.quality import quality_scores
 from foldwright.llm.secret_ledger import SECRETS_SQL, secret_digest
 from foldwright.llm.simhash import simhash_groups
+from foldwright.llm.token_alignment import alignment_digest
 from foldwright.llm.token_files import token_round_trip
 from foldwright.llm.toxicity import toxicity_scores
 from foldwright.llm.url_lists import URLS_SQL, filtered_pages
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +68,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -74,10 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_line_spread": op9_line_spread,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
+    "op12_merkle": op12_merkle,
+    "op13_bpe": op13_bpe,
 }
 SQL: dict[str, str] = {
     "op5_embedding_cells": EMBEDDINGS_SQL,
     "op6_url_lists": URLS_SQL,
     "op7_secret_ledger": SECRETS_SQL,
     "op9_line_spread": LINES_SQL,
+    "op12_merkle": MERKLE_SQL,
 }
