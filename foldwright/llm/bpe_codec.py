@@ -25,17 +25,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import pre_tokenizers
 
 from foldwright.llm.base import text_slices
+from foldwright.llm.list_store import Lists, ListStore
 from foldwright.llm.runs import spread_index
 
 #: The word pattern of byte-level files, and characters whose classes have not changed between editions of Unicode.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SETTLED = regex.compile(r"[\x00-ԧ‐-‧₠-₹ぁ-ゖァ-ヺ一-鿋가-힣]*")
 _NEVER = np.iinfo(np.int64).max
-#: Bounds of a worker's store: words, and their bytes.
-_STORE_WORDS, _STORE_BYTES = 1 << 20, 64 << 20
+#: Words that a worker keeps.
+_STORE_WORDS = 1 << 17
 _SLICE_BYTES = 1 << 20
 
 
@@ -46,12 +47,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class BpeCodec:
+class TokenBytes:
+    """The bytes of the tokens of a byte-level file, and decoding by them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            self.spec = json.load(file)
+        vocabulary, added = self.spec["model"]["vocab"], self.spec.get("added_tokens", [])
+        letters = byte_letters()
+        self.size = 1 + max([*vocabulary.values(), *(t["id"] for t in added)])
+        self.bytes_of: list[bytes] = [b""] * self.size
+        for token, number in itertools.chain(vocabulary.items(), ((t["content"], t["id"]) for t in added)):
+            self.bytes_of[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.heads = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of `counts` ids."""
+        known = (ids >= 0) & (ids < self.size)
+        place = np.where(known, ids, 0)
+        sizes = np.where(known, self.lengths[place], 0)
+        raw = self.pool[spread_index(self.heads[place], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]
+
+
+class BpeCodec(TokenBytes):
     """Encodes and decodes by one tokenizer file; words seen before are kept, up to a bounded number."""
 
     def __init__(self, path: str, plain: bool = False):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        super().__init__(path)
+        spec = self.spec
+        del self.spec
         model, cutter, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
         if (
             model.get("type") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True)
@@ -59,31 +87,23 @@ class BpeCodec:
             or model.get("end_of_word_suffix") or any(t[f] for t in added for f in ("single_word", "lstrip", "rstrip"))
         ):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
-        self.cutter = Tokenizer.from_file(path).pre_tokenizer
-        letters = byte_letters()
+        self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         vocabulary = model["vocab"]
-        size = 1 + max([*vocabulary.values(), *(t["id"] for t in added)])
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, number in itertools.chain(vocabulary.items(), ((t["content"], t["id"]) for t in added)):
-            self.bytes_of[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.decode_heads = np.cumsum(self.lengths) - self.lengths
-        self.decode_pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.special = {} if plain else {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.special, key=lambda s: (-len(s), s))
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self.byte_ids = [vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self._read_merges(model["merges"], vocabulary, size)
+        self.byte_ids = [vocabulary[c] for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
+        self._read_merges(model["merges"], vocabulary)
         self._build_trie(vocabulary)
-        self._forget()
+        self.store = ListStore(self._learn, {"ids": np.int32}, _STORE_WORDS)
 
-    def _read_merges(self, merges: list, vocabulary: dict[str, int], size: int) -> None:
+    def _read_merges(self, merges: list, vocabulary: dict[str, int]) -> None:
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in merges]
         left = np.array([vocabulary[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([vocabulary[b] for _, b in pairs], dtype=np.int64)
         made = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
         self.merge = {(a, b): (rank, m) for rank, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))}
-        self.size = size
+        size = self.size
         keys = left * size + right
         self.pair_ranks = np.argsort(keys, kind="stable")
         self.pair_keys = keys[self.pair_ranks]
@@ -123,19 +143,16 @@ class BpeCodec:
         self.edge_keys, self.edge_nodes = keys[order], np.array(list(edges.values()), dtype=np.int64)[order]
         self.node_token = np.array(ends, dtype=np.int64)
 
-    def _forget(self) -> None:
-        self.store: dict = {}
-        self.stored_bytes = 0
-        self.heads = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int64)
-        self._keep([(s,) for s in self.special], np.array(list(self.special.values()), dtype=np.int64), np.ones(len(self.special), np.int64))
-
-    def _keep(self, words: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.store.update(zip(words, range(len(self.store), len(self.store) + len(words)), strict=True))
-        self.heads = np.concatenate([self.heads, len(self.pool) + np.cumsum(counts) - counts])
-        self.sizes = np.concatenate([self.sizes, counts])
-        self.pool = np.concatenate([self.pool, ids])
+    def _learn(self, words: list) -> Lists:
+        ordinary = [w for w in words if isinstance(w, str)]
+        ids, counts = self.encode_words([w.encode() for w in ordinary]) if ordinary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        special = [w for w in words if not isinstance(w, str)]
+        if special:
+            # Rows stand in the order of `words`.
+            flat = iter(np.split(ids, np.cumsum(counts)[:-1]) if ordinary else [])
+            lists = [next(flat) if isinstance(w, str) else np.array([self.special[w[0]]]) for w in words]
+            ids, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+        return {"ids": (ids, counts)}
 
     def cut(self, text: str) -> list:
         """The words of a text; an added token is a tuple with its string."""
@@ -152,18 +169,10 @@ class BpeCodec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
         words = [self.cut(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(words)) - self.store.keys())
-        if len(self.store) + len(new) > _STORE_WORDS or self.stored_bytes > _STORE_BYTES:
-            self._forget()
-            new = list(set(itertools.chain.from_iterable(words)) - self.store.keys())
-        if new:
-            self._keep(new, *self.encode_words([w.encode() for w in new]))
-            self.stored_bytes += sum(map(len, new))
-        per_text = np.array([len(w) for w in words], dtype=np.int64)
-        found = np.fromiter(map(self.store.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        sizes = self.sizes[found]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return self.pool[spread_index(self.heads[found], sizes)], np.diff(ends)
+        found = self.store.find(list(itertools.chain.from_iterable(words)))
+        ids, sizes = self.store.take("ids", found)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
+        return ids, np.diff(ends)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words (no further cutting) one after the other, and the number of ids of each; words are not empty."""
@@ -251,15 +260,6 @@ class BpeCodec:
                     heapq.heappush(waiting, (self.merge[ids[x], ids[y]][0], x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The text of each run of `counts` ids."""
-        known = (ids >= 0) & (ids < self.size)
-        place = np.where(known, ids, 0)
-        sizes = np.where(known, self.lengths[place], 0)
-        raw = self.decode_pool[spread_index(self.decode_heads[place], sizes)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]
-
 
 #: One codec per worker process, so that known words stay known from task to task.
 _CODECS: dict[tuple[str, bool], BpeCodec] = {}
@@ -271,6 +271,15 @@ def codec(path: str, plain: bool = False) -> BpeCodec:
     return _CODECS[path, plain]
 
 
+_SPELLINGS: dict[str, TokenBytes] = {}
+
+
+def spelling(path: str) -> TokenBytes:
+    if path not in _SPELLINGS:
+        _SPELLINGS[path] = TokenBytes(path)
+    return _SPELLINGS[path]
+
+
 def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """Runs of `counts` values as a list column."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
@@ -288,7 +297,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, plain: bool = False)
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, tokenizer: str, plain: bool = False) -> DataFrame:
+def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """`encoded` (doc_id, ids) with the text that the ids decode to; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +305,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str, plain: bool = False) ->
             column = batch.column(1)
             counts = np.array([len(x) if x.is_valid else 0 for x in column], dtype=np.int64)
             ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*batch.columns, pa.array(codec(tokenizer, plain).decode(ids, counts), pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.record_batch([*batch.columns, pa.array(spelling(tokenizer).decode(ids, counts), pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.llm.base import stored, text_slices
-from foldwright.llm.bpe_codec import codec, lists_of
+from foldwright.llm.bpe_codec import codec, lists_of, spelling
+from foldwright.llm.list_store import Lists, ListStore
 from foldwright.llm.runs import spread_index
 
 _SEGMENT = re.compile(r"(?<=\S)(?= )")
@@ -38,7 +39,8 @@ _BLANK = "▁"
 #: Fixed: text that a normalising piece model would change.
 _PROBE = "ﬁ① Å  b　\tＡ"
 _BLOCK_BYTES = 4 << 20
-_SEGMENTS, _SEGMENT_BYTES = 1 << 19, 48 << 20
+#: Segments that a worker keeps.
+_SEGMENTS = 1 << 18
 
 
 def cut_at_common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
@@ -49,21 +51,31 @@ def cut_at_common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int],
     return [a_index[end] for end in common], [b_index[end] for end in common]
 
 
-def links_in_groups(a_ends: list[int], b_ends: list[int], a_cuts: list[int], b_cuts: list[int]) -> Iterator[tuple[int, int]]:
-    """Indexes of every two tokens of a group that share a byte."""
-    i = k = 0
-    for a_stop, b_stop in zip(a_cuts, b_cuts, strict=True):
-        if a_stop - i == 1 or b_stop - k == 1:
-            # A token that is a whole side of its group overlaps all of the other side.
-            yield from itertools.product(range(i, a_stop), range(k, b_stop))
-        else:
-            left, right = i, k
-            while left < a_stop and right < b_stop:
-                yield left, right
-                a_end, b_end = a_ends[left], b_ends[right]
-                left += a_end <= b_end
-                right += b_end <= a_end
-        i, k = a_stop, b_stop
+def links_in_groups(a_ends: list[int], b_ends: list[int], a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of every two tokens of a group that share a byte, group by group."""
+    a_first, b_first = (np.concatenate([[0], cuts[:-1]])[: len(cuts)] for cuts in (a_cuts, b_cuts))
+    a_size, b_size = a_cuts - a_first, b_cuts - b_first
+    # A token that is a whole side of its group overlaps all of the other side.
+    plain = np.flatnonzero((a_size == 1) | (b_size == 1))
+    size = np.maximum(a_size, b_size)[plain]
+    step = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(a_first[plain], size) + step * np.repeat(a_size[plain] > 1, size)
+    right = np.repeat(b_first[plain], size) + step * np.repeat(b_size[plain] > 1, size)
+    group = np.repeat(plain, size)
+    more: list[tuple[int, int, int]] = []
+    for g in np.flatnonzero((a_size > 1) & (b_size > 1)).tolist():
+        i, k, a_stop, b_stop = int(a_first[g]), int(b_first[g]), int(a_cuts[g]), int(b_cuts[g])
+        while i < a_stop and k < b_stop:
+            more.append((g, i, k))
+            a_end, b_end = a_ends[i], b_ends[k]
+            i += a_end <= b_end
+            k += b_end <= a_end
+    if more:
+        others = np.array(more, dtype=np.int64).T
+        group, left, right = (np.concatenate([x, y]) for x, y in zip((group, left, right), others, strict=True))
+        order = np.argsort(group, kind="stable")
+        left, right = left[order], right[order]
+    return left, right
 
 
 class PieceModel:
@@ -78,10 +90,32 @@ class PieceModel:
         if spelled != b" " + _PROBE.encode() or any(_BLANK in p.lstrip(_BLANK) for p in pieces):
             raise ValueError(f"{path} normalises texts or has pieces across blanks")
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments that begin with a blank, which the model itself puts in front."""
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each, of segments that begin with a blank, which the model itself puts in front."""
         got = self.model.encode([s[1:] for s in segments], num_threads=1)
-        return [ids if len(s) > 1 else [self.lone_blank] for s, ids in zip(segments, got, strict=True)]
+        got = [ids if len(s) > 1 else [self.lone_blank] for s, ids in zip(segments, got, strict=True)]
+        counts = np.array([len(x) for x in got], dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(got), np.int64, int(counts.sum())), counts
+
+
+class Spelling:
+    """The bytes of token ids as one buffer."""
+
+    def __init__(self, bytes_of: list[bytes]):
+        self.lengths = np.array([len(b) for b in bytes_of], dtype=np.int64)
+        self.heads = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+
+    def spells(self, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each run, joined, are its bytes."""
+        owner = np.repeat(np.arange(len(raw)), counts)
+        wanted = np.array([len(r) for r in raw], dtype=np.int64)
+        equal = np.bincount(owner, weights=self.lengths[ids], minlength=len(raw)).astype(np.int64) == wanted
+        kept = ids[equal[owner]]
+        mine = self.pool[spread_index(self.heads[kept], self.lengths[kept])]
+        theirs = np.frombuffer(b"".join(itertools.compress(raw, equal.tolist())), dtype=np.uint8)
+        equal[np.repeat(np.flatnonzero(equal), wanted[equal])[mine != theirs]] = False
+        return equal
 
 
 class Aligner:
@@ -89,67 +123,47 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = codec(a_path, plain=True), PieceModel(b_path)
-        self.a_lengths = self.a.lengths.tolist()
-        self.b_lengths = [len(x) for x in self.b.bytes_of]
-        self.b_size = len(self.b_lengths)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.store: dict[str, int] = {}
-        self.stored_bytes = 0
-        self.sound = np.zeros(0, bool)
-        # Per list of a segment's results: where it begins in the pool, how long it is, and the pool.
-        self.lists = {name: [np.zeros(0, np.int64)] * 3 for name in ("a_ids", "b_ids", "a_cuts", "b_cuts", "links")}
-
-    def _learn(self, segments: list[str]) -> None:
+        self.a_spelling, self.b_spelling = Spelling(self.a.bytes_of), Spelling(self.b.bytes_of)
+        self.b_size = len(self.b.bytes_of)
+        links = np.int32 if self.a.size * self.b_size < 1 << 31 else np.int64
+        kinds = {"a_ids": np.int32, "b_ids": np.int32, "a_cuts": np.int32, "b_cuts": np.int32, "links": links, "unsound": np.int8}
+        self.store = ListStore(self._learn, kinds, _SEGMENTS)
+
+    def _learn(self, segments: list[str]) -> Lists:
+        raw = [s.encode() for s in segments]
         a_ids, a_counts = self.a.encode(segments)
-        a_flat, stops = a_ids.tolist(), np.cumsum(a_counts).tolist()
-        found: dict[str, list[list[int]]] = {name: [] for name in self.lists}
-        sound = []
-        for start, stop, b, segment in zip([0, *stops], stops, self.b.encode(segments), segments, strict=False):
-            a, raw = a_flat[start:stop], segment.encode()
-            sound.append(b"".join([self.a.bytes_of[i] for i in a]) == raw and b"".join([self.b.bytes_of[i] for i in b]) == raw)
-            a_cuts: list[int] = []
-            b_cuts: list[int] = []
-            links: list[int] = []
-            if sound[-1]:
-                a_ends = list(itertools.accumulate([self.a_lengths[i] for i in a]))
-                b_ends = list(itertools.accumulate([self.b_lengths[i] for i in b]))
-                a_cuts, b_cuts = cut_at_common_ends(a_ends, b_ends)
-                links = [a[i] * self.b_size + b[k] for i, k in links_in_groups(a_ends, b_ends, a_cuts, b_cuts)]
-            for name, values in zip(self.lists, (a, b, a_cuts, b_cuts, links), strict=True):
-                found[name].append(values)
-        self.store.update(zip(segments, range(len(self.store), len(self.store) + len(segments)), strict=True))
-        self.stored_bytes += sum(map(len, segments))
-        self.sound = np.concatenate([self.sound, np.array(sound, dtype=bool)])
-        for name, lists in found.items():
-            heads, sizes, pool = self.lists[name]
-            new = np.array([len(x) for x in lists], dtype=np.int64)
-            values = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(new.sum()))
-            self.lists[name] = [np.concatenate([heads, len(pool) + np.cumsum(new) - new]), np.concatenate([sizes, new]), np.concatenate([pool, values])]
+        b_ids, b_counts = self.b.encode(segments)
+        sound = self.a_spelling.spells(a_ids, a_counts, raw) & self.b_spelling.spells(b_ids, b_counts, raw)
+        # Segments end in both lists, so all sound ones are aligned as one text.
+        a_ids, b_ids = a_ids[np.repeat(sound, a_counts)], b_ids[np.repeat(sound, b_counts)]
+        a_counts, b_counts = a_counts * sound, b_counts * sound
+        a_ends, b_ends = np.cumsum(self.a_spelling.lengths[a_ids]).tolist(), np.cumsum(self.b_spelling.lengths[b_ids]).tolist()
+        a_cuts, b_cuts = (np.array(cuts, dtype=np.int64) for cuts in cut_at_common_ends(a_ends, b_ends))
+        left, right = links_in_groups(a_ends, b_ends, a_cuts, b_cuts)
+        a_stops, b_stops = np.cumsum(a_counts), np.cumsum(b_counts)
+        groups = np.diff(np.searchsorted(a_cuts, a_stops, "right"), prepend=0)
+        return {
+            "a_ids": (a_ids, a_counts), "b_ids": (b_ids, b_counts),
+            "a_cuts": (a_cuts - np.repeat(a_stops - a_counts, groups), groups), "b_cuts": (b_cuts - np.repeat(b_stops - b_counts, groups), groups),
+            "links": (a_ids[left] * self.b_size + b_ids[right], np.diff(np.searchsorted(left, a_stops), prepend=0)),
+            "unsound": (np.ones(int((~sound).sum())), (~sound).astype(np.int64)),
+        }
 
     def align(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """(values, how many per text) of a_ids, b_ids, a_cuts, b_cuts and links for all texts."""
         segments = [_SEGMENT.split(" " + t) if t else [] for t in texts]
-        flat = list(itertools.chain.from_iterable(segments))
-        new = list(set(flat) - self.store.keys())
-        if len(self.store) + len(new) > _SEGMENTS or self.stored_bytes > _SEGMENT_BYTES:
-            self._forget()
-            new = list(set(flat))
-        if new:
-            self._learn(new)
-        found = np.fromiter(map(self.store.__getitem__, flat), np.int64, len(flat))
+        found = self.store.find(list(itertools.chain.from_iterable(segments)))
         text = np.repeat(np.arange(len(texts)), [len(s) for s in segments])
-        spelled = np.bincount(text[~self.sound[found]], minlength=len(texts)) == 0
+        spelled = np.bincount(text[self.store.sizes["unsound"][found] > 0], minlength=len(texts)) == 0
         found, text = found[spelled[text]], text[spelled[text]]
         begins = np.searchsorted(text, np.arange(len(texts) + 1))
         out = {}
-        for name, (heads, sizes, pool) in self.lists.items():
-            values, per_segment = pool[spread_index(heads[found], sizes[found])], sizes[found]
+        for name in ("a_ids", "b_ids", "a_cuts", "b_cuts", "links"):
+            values, per_segment = self.store.take(name, found)
             ends = np.concatenate([[0], np.cumsum(per_segment)])
             if name.endswith("_cuts"):
                 # Cuts count from the document's first token on.
-                ids = self.lists[f"{name[0]}_ids"][1][found]
+                ids = self.store.sizes[f"{name[0]}_ids"][found].astype(np.int64)
                 before = np.cumsum(ids) - ids
                 first = np.concatenate([before, [0]])[np.minimum(begins[:-1], len(before))]
                 values = values + np.repeat(before - first[text], per_segment)
@@ -172,7 +186,7 @@ def align_documents(documents: DataFrame, a_path: str, b_path: str) -> DataFrame
 
     A link is one number, A id * (size of B's vocabulary) + B id. `block` tells the documents that one task held together.
     """
-    small = codec(a_path, plain=True).size * PieceModel(b_path).model.get_piece_size() < 1 << 31
+    small = spelling(a_path).size * PieceModel(b_path).model.get_piece_size() < 1 << 31
     kinds = {"a_ids": "int", "b_ids": "int", "a_cuts": "int", "b_cuts": "int", "links": "int" if small else "long"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

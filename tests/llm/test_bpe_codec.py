@@ -117,7 +117,7 @@ def test_the_store_is_bounded(monkeypatch):
     codec = BpeCodec(PATH)
     texts = [f"word{k} and w{k * 7} <|endoftext|>" for k in range(60)]
     assert [x for t in texts for x in own([t], codec)] == library(texts)
-    assert len(codec.store) <= 20
+    assert len(codec.store.rows) <= 20
 
 
 def test_other_kinds_of_files_are_refused():
