@@ -2,8 +2,10 @@
 
 A tokenizer that drops white space encodes every white-space separated piece on its own. Pieces of plain Latin text
 are cut further into the words of its pre-tokenizer (letters, single digits, punctuation). Words are hashed in numpy,
-distinct ones go through the library's BPE model once, and ids are gathered by index. Pieces with other characters go
-through the whole tokenizer. Files of another kind are encoded text by text.
+distinct ones go through the library's BPE model once, and ids are gathered by index; the bytes of every word are
+compared with those of the word found. Words of plain pieces are looked up in lower case. Pieces with other characters
+or the beginning of an added token go through the whole tokenizer as they stand. Files of another kind are encoded text
+by text.
 """
 
 from __future__ import annotations
@@ -76,6 +78,9 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.word_heads = np.zeros(0, np.int64)
+        self.word_sizes = np.zeros(0, np.int64)
+        self.word_pool = np.zeros(0, np.uint8)
         self.heads = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -87,18 +92,30 @@ class TextEncoder:
             texts = [raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())]
             ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
-        starts, sizes = _cut(data, offsets)
+        starts, sizes, exact = _cut(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        found = self._look_up(data, starts, sizes)
-        lengths = self.sizes[found]
-        ids = self.pool[spread_index(self.heads[found], lengths)]
+        folded = _LOWER[data]
+        folded[exact] = data[exact]
+        found = self._look_up(folded, starts, sizes)
+        if self._are(folded, starts, sizes, found):
+            lengths = self.sizes[found]
+            ids = self.pool[spread_index(self.heads[found], lengths)]
+        else:
+            # Two words with one hash: this buffer goes without the store.
+            ids, lengths = self._encode_words(_texts(folded, starts, sizes))
         text = np.searchsorted(offsets[1:], starts, "right")
         return ids, np.bincount(text, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
 
-    def _look_up(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Positions of the words in the store, after unknown ones were added."""
-        distinct, example, which = np.unique(hash_runs(_LOWER[data], starts, sizes), return_index=True, return_inverse=True)
+    def _are(self, folded: np.ndarray, starts: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> bool:
+        """Whether every word has the bytes of the word found."""
+        if not np.array_equal(self.word_sizes[found], sizes):
+            return False
+        return np.array_equal(folded[spread_index(starts, sizes)], self.word_pool[spread_index(self.word_heads[found], sizes)])
+
+    def _look_up(self, folded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Positions of the words in the store by their hash, after unknown ones were added."""
+        distinct, example, which = np.unique(hash_runs(folded, starts, sizes), return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > _CACHE_WORDS:
             self._forget()
         at = np.searchsorted(self.keys, distinct)
@@ -106,14 +123,15 @@ class TextEncoder:
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == distinct[at < len(self.keys)]
         if not known.all():
             new = example[~known]
-            raw = data.tobytes()
-            words = [raw[a : a + n].decode() for a, n in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)]
-            ids, lengths = self._encode_words(words)
+            ids, lengths = self._encode_words(_texts(folded, starts[new], sizes[new]))
             place = at[~known]
             self.keys = np.insert(self.keys, place, distinct[~known])
             self.heads = np.insert(self.heads, place, len(self.pool) + np.cumsum(lengths) - lengths)
             self.sizes = np.insert(self.sizes, place, lengths)
             self.pool = np.concatenate([self.pool, ids])
+            self.word_heads = np.insert(self.word_heads, place, len(self.word_pool) + np.cumsum(sizes[new]) - sizes[new])
+            self.word_sizes = np.insert(self.word_sizes, place, sizes[new])
+            self.word_pool = np.concatenate([self.word_pool, folded[spread_index(starts[new], sizes[new])]])
             at = np.searchsorted(self.keys, distinct)
         return at[which]
 
@@ -139,6 +157,11 @@ class TextEncoder:
         return np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
 
 
+def _texts(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[a : a + n].decode() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 
 
@@ -146,11 +169,12 @@ def _is_plain(word: str) -> bool:
     return "<|" not in word and _PLAIN.fullmatch(word) is not None
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of every word; a piece with characters outside the plain set stays whole."""
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of every word, and the bytes of pieces with characters outside the plain set, which stay whole."""
     n = len(data)
+    exact = np.zeros(n, dtype=bool)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), exact
     kind = _KIND[data]
     lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
     if len(lead):
@@ -176,8 +200,9 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         number = np.cumsum(piece)
         whole = np.zeros(int(number[-1]) + 1, dtype=bool)
         whole[number[odd]] = whole[number[special]] = True
-        start = np.where(whole[number] & filled, piece, start)
+        exact = whole[number] & filled
+        start = np.where(exact, piece, start)
     starts = np.flatnonzero(start)
     stop = np.ones(n, dtype=bool)
     stop[:-1] = start[1:] | ~filled[1:] | head[1:]
-    return starts, np.flatnonzero(stop & filled) + 1 - starts
+    return starts, np.flatnonzero(stop & filled) + 1 - starts, exact

@@ -1,5 +1,6 @@
 """Word-wise encoding against the library; token files and packing as exact round trips."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -9,10 +10,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from foldwright.llm import word_tokens
 from foldwright.llm.base import text_bytes, text_slices
 from foldwright.llm.packing import best_pattern, cutting_stock, fullest_pattern, pack
 from foldwright.llm.queries import END_ID, TOKENIZER
 from foldwright.llm.token_files import SequenceFile, encoder, token_round_trip, write_token_files
+from foldwright.llm.word_tokens import TextEncoder
 from foldwright.session import scratch_path
 
 LIBRARY = Tokenizer.from_file(TOKENIZER)
@@ -46,6 +49,30 @@ def test_any_text_encodes_like_the_library(texts):
     assert own(texts) == library(texts)
 
 
+VARIANTS = [
+    ["<|endoftext|>", "<|ENDOFTEXT|>"], ["a<|startoftext|>b", "A<|STARTOFTEXT|>B", "a<|StartOfText|>b"], ["t\u0308", "T\u0308"], ["e\u0301x", "E\u0301x", "e\u0301X"],
+    ["\u01c5", "\u01c4", "\u01c6"], ["straße", "STRASSE", "STRAßE"], ["日A", "日a"], ["K", "\u212a", "k"],
+]
+
+
+@pytest.mark.parametrize("variants", VARIANTS)
+def test_case_variants_in_any_order_in_one_encoder(variants):
+    for order in itertools.permutations(variants):
+        fresh = TextEncoder(TOKENIZER)
+        for text in (*order, " ".join(order)):
+            ids, _ = fresh.encode(*text_bytes(pa.array([text], pa.large_string())))
+            assert ids.tolist() == library([text])[0]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(word_tokens, "hash_runs", lambda data, starts, sizes: (sizes % 3).astype(np.uint64))
+    fresh = TextEncoder(TOKENIZER)
+    texts = ["one two six", "ten one", "two", "日本 abc"]
+    for text in texts:
+        ids, _ = fresh.encode(*text_bytes(pa.array([text], pa.large_string())))
+        assert ids.tolist() == library([text])[0]
+
+
 def test_other_tokenizer_files_encode_whole_texts():
     import public_tokenizers
 
