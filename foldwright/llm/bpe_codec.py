@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ _SETTLED = regex.compile(r"[\x00-ԧ‐-‧₠-₹ぁ-ゖァ-ヺ一-鿋가-힣]*"
 _NEVER = np.iinfo(np.int64).max
 #: Words that a worker keeps.
 _STORE_WORDS = 1 << 17
-_SLICE_BYTES = 1 << 20
+#: Bytes of a word up to which the next merge is found by a scan.
+_SHORT = 48
+_SLICE_BYTES, _SLICE_IDS = 1 << 20, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -242,6 +245,24 @@ class BpeCodec(TokenBytes):
     def merge_exactly(self, word: bytes) -> list[int]:
         """All merges of a word in rising rank, of one rank from left to right."""
         ids = [self.byte_ids[b] for b in word]
+        return self._merge_short(ids) if len(ids) <= _SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The least rank is looked for anew after each merge."""
+        merge, none = self.merge, (_NEVER, 0)
+        ranks = [merge.get(p, none)[0] for p in itertools.pairwise(ids)]
+        while ranks and (least := min(ranks)) != _NEVER:
+            k = ranks.index(least)
+            ids[k : k + 2] = [merge[ids[k], ids[k + 1]][1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = merge.get((ids[k - 1], ids[k]), none)[0]
+            if k < len(ranks):
+                ranks[k] = merge.get((ids[k], ids[k + 1]), none)[0]
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """Ranks wait in a heap, so that the work is in proportion to the length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = [(self.merge[p][0], k, *p) for k, p in enumerate(itertools.pairwise(ids)) if p in self.merge]
@@ -285,33 +306,43 @@ def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def encode_documents(documents: DataFrame, tokenizer: str, plain: bool = False) -> DataFrame:
-    """The ids of every whole text: doc_id, ids."""
+def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, plain: bool) -> Iterator[pa.RecordBatch]:
+    for rows in text_slices(batches, most_bytes=_SLICE_BYTES):
+        ids, counts = codec(tokenizer, plain).encode(rows.column(1).to_pylist())
+        yield pa.record_batch([rows.column(0), lists_of(ids, counts, pa.int32())], names=["doc_id", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, most_bytes=_SLICE_BYTES):
-            ids, counts = codec(tokenizer, plain).encode(rows.column(1).to_pylist())
-            yield pa.record_batch([rows.column(0), lists_of(ids, counts, pa.int32())], names=["doc_id", "ids"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+def decoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(counts), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _SLICE_IDS, "right")))
+            rows = batch.slice(first, last - first)
+            ids = rows.column(1).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            texts = spelling(tokenizer).decode(ids, counts[first:last])
+            yield pa.record_batch([*rows.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            first = last
 
 
-def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """`encoded` (doc_id, ids) with the text that the ids decode to; null ids count as none."""
+def _texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode_documents(documents: DataFrame, tokenizer: str, plain: bool = False) -> DataFrame:
+    """The ids of every whole text: doc_id, ids."""
+    return _texts_of(documents).mapInArrow(lambda batches: encoded_batches(batches, tokenizer, plain), "doc_id long, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            counts = np.array([len(x) if x.is_valid else 0 for x in column], dtype=np.int64)
-            ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*batch.columns, pa.array(spelling(tokenizer).decode(ids, counts), pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """`encoded` (doc_id, ids) with the text that the ids decode to; null ids count as none."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: decoded_batches(batches, tokenizer), "doc_id long, ids array<int>, text string")
 
 
 def bpe_round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Digests of the ids of every document and of what they decode to."""
-    both = decode_documents(encode_documents(documents, tokenizer), tokenizer)
+    """Digests of the ids of every document and of what they decode to; one worker encodes and decodes batch by batch."""
+    both = _texts_of(documents).mapInArrow(
+        lambda batches: decoded_batches(encoded_batches(batches, tokenizer, False), tokenizer), "doc_id long, ids array<int>, text string"
+    )
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

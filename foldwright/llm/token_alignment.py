@@ -181,24 +181,32 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
+def _kinds(a_path: str, b_path: str) -> dict[str, str]:
+    small = spelling(a_path).size * PieceModel(b_path).model.get_piece_size() < 1 << 31
+    return {"a_ids": "int", "b_ids": "int", "a_cuts": "int", "b_cuts": "int", "links": "int" if small else "long"}
+
+
+def aligned_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kinds: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 32
+    for number, rows in enumerate(text_slices(batches, most_bytes=_BLOCK_BYTES)):
+        lists = aligner(a_path, b_path).align(rows.column(1).to_pylist())
+        columns = [lists_of(*lists[name], pa.int32() if kind == "int" else pa.int64()) for name, kind in kinds.items()]
+        block = pa.array(np.full(rows.num_rows, first + number), pa.int64())
+        yield pa.record_batch([rows.column(0), block, *columns], names=["doc_id", "block", *kinds])
+
+
+def _texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def align_documents(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document: its ids by both tokenizers, where its groups end in either list, and its links.
 
     A link is one number, A id * (size of B's vocabulary) + B id. `block` tells the documents that one task held together.
     """
-    small = spelling(a_path).size * PieceModel(b_path).model.get_piece_size() < 1 << 31
-    kinds = {"a_ids": "int", "b_ids": "int", "a_cuts": "int", "b_cuts": "int", "links": "int" if small else "long"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for number, rows in enumerate(text_slices(batches, most_bytes=_BLOCK_BYTES)):
-            lists = aligner(a_path, b_path).align(rows.column(1).to_pylist())
-            columns = [lists_of(*lists[name], pa.int32() if kind == "int" else pa.int64()) for name, kind in kinds.items()]
-            block = pa.array(np.full(rows.num_rows, first + number), pa.int64())
-            yield pa.record_batch([rows.column(0), block, *columns], names=["doc_id", "block", *kinds])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, block long, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items()))
+    kinds = _kinds(a_path, b_path)
+    schema = "doc_id long, block long, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
+    return _texts_of(documents).mapInArrow(lambda batches: aligned_batches(batches, a_path, b_path, kinds), schema)
 
 
 def with_pair_counts(rows: DataFrame, b_size: int) -> DataFrame:
@@ -231,32 +239,34 @@ def with_pair_counts(rows: DataFrame, b_size: int) -> DataFrame:
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def group_digests(aligned: DataFrame) -> DataFrame:
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, block, links, n_a, n_b, n_groups, groups_sha256 of aligned documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = []
-            for row in range(batch.num_rows):
-                a, b, i, k = (batch.column(name)[row].values.to_pylist() for name in ("a_ids", "b_ids", "a_cuts", "b_cuts"))
-                a, b = list(map(str, a)), list(map(str, b))
-                groups = [
-                    f"{a[p]}|{b[q]}" if s - p == 1 == t - q else ",".join(a[p:s]) + "|" + ",".join(b[q:t])
-                    for p, s, q, t in zip([0, *i], i, [0, *k], k, strict=False)
-                ]
-                digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if a else "")
-            counts = [pa.array(np.diff(batch.column(name).offsets.to_numpy()), pa.int64()) for name in ("a_ids", "b_ids", "a_cuts")]
-            yield pa.record_batch(
-                [*(batch.column(n) for n in ("doc_id", "block", "links")), *counts, pa.array(digests, pa.string())],
-                names=["doc_id", "block", "links", "n_a", "n_b", "n_groups", "groups_sha256"],
-            )
-
-    links = aligned.schema["links"].dataType.simpleString()
-    return aligned.mapInArrow(run, f"doc_id long, block long, links {links}, n_a long, n_b long, n_groups long, groups_sha256 string")
+    for batch in batches:
+        columns = [batch.column(name) for name in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
+        values = [c.values.to_numpy().tolist() for c in columns]
+        ends = [c.offsets.to_numpy().tolist() for c in columns]
+        digests = []
+        for row in range(batch.num_rows):
+            a, b, i, k = (v[e[row] : e[row + 1]] for v, e in zip(values, ends, strict=True))
+            a, b = list(map(str, a)), list(map(str, b))
+            groups = [
+                f"{a[p]}|{b[q]}" if s - p == 1 == t - q else ",".join(a[p:s]) + "|" + ",".join(b[q:t])
+                for p, s, q, t in zip([0, *i], i, [0, *k], k, strict=False)
+            ]
+            digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if a else "")
+        counts = [pa.array(np.diff(e), pa.int64()) for e in ends[:3]]
+        yield pa.record_batch(
+            [*(batch.column(n) for n in ("doc_id", "block", "links")), *counts, pa.array(digests, pa.string())],
+            names=["doc_id", "block", "links", "n_a", "n_b", "n_groups", "groups_sha256"],
+        )
 
 
 def alignment_digest(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row per document: sizes, a digest of its groups, and how its links stand in the corpus."""
-    b_size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
-    counted = with_pair_counts(group_digests(align_documents(documents, a_path, b_path)), b_size)
+    """One row per document: sizes, a digest of its groups, and how its links stand in the corpus; one worker aligns and digests batch by batch."""
+    kinds = _kinds(a_path, b_path)
+    digests = _texts_of(documents).mapInArrow(
+        lambda batches: digest_batches(aligned_batches(batches, a_path, b_path, kinds)),
+        f"doc_id long, block long, links array<{kinds['links']}>, n_a long, n_b long, n_groups long, groups_sha256 string",
+    )
+    counted = with_pair_counts(digests, sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size())
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

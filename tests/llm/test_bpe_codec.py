@@ -85,6 +85,14 @@ def test_border_test_equals_merging_the_joined_bytes():
     assert clash.tolist() == merged and 0 < clash.sum() < len(clash)
 
 
+def test_both_ways_of_exact_merging_agree():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeinrst hoAé=-"), rng.integers(1, 80))).encode() for _ in range(500)] + [b"a" * k for k in range(1, 120)]
+    for word in words:
+        ids = [CODEC.byte_ids[b] for b in word]
+        assert CODEC._merge_short(list(ids)) == CODEC._merge_long(list(ids))
+
+
 def small_file(tmp_path, merges):
     spec = json.loads(LIBRARY.to_str())
     letters = sorted(bpe_codec.byte_letters())
