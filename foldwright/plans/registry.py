@@ -22,6 +22,7 @@ _MODULES = (
     "resampling",
     "text",
     "runlog",
+    "runstate",
     "selection",
     "fits",
     "files",
