@@ -8,6 +8,9 @@ from foldwright.operators import runstate as R
 from foldwright.operators.runlog import budget_running_totals
 from foldwright.plans.fixtures import RUNLOG, rounded
 from foldwright.plans.registry import query, r6
+from foldwright.plans.runlog import GATE, _queries
+from foldwright.session import scratch_path
+from foldwright.streaming import folds, gates
 
 _TYPES = (
     "HYPOTHESIS_PROPOSED", "HYPOTHESIS_PROPOSED", "HYPOTHESIS_REVISED", "BELIEF_UPDATED", "BELIEF_UPDATED", "EXPERIMENT_PROPOSED", "EXPERIMENT_PROPOSED",
@@ -157,3 +160,28 @@ def _(t):
     log = _raw_log(t)
     made = R.entity_tables(log.unionByName(log.withColumn("sequence", F.col("sequence") + 1_000_000)))
     return made.select("entity", "id", "run_id", "label", "status", "phase", rounded("number").alias("number"), "version", "evidence")
+
+
+@query(
+    "str6_query_gate_stream",
+    f"WITH {GATE} SELECT run_id, sequence, refusal, refusal IS NULL AS accepted, CASE WHEN refusal IS NULL THEN score >= threshold END AS passed FROM g",
+)
+def _(t):
+    path = scratch_path(t.spark, "gate-queries")
+    # The files hold places of every part of a run, so that most queries arrive before their turn.
+    rows = _queries(t).withColumn("part", F.col("sequence") * 7 % 4)
+    rows.repartition("part").write.partitionBy("part").parquet(path)
+    queries = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return gates.run_with_keyed_state(gates.stream_query_gate(queries, "run_id", "sequence", "gated_binary", 10), "query-verdicts").drop("revealed_score")
+
+
+@query(
+    "str1_admission_stream",
+    "SELECT user_id % 50 AS run_id, event_id // 3 AS sequence, count(DISTINCT event_type) AS ids, count(DISTINCT event_type) - 1 AS violations FROM events GROUP BY ALL",
+)
+def _(t):
+    events = folds.stream_table(t.spark, t.folder, "events").select(
+        (F.col("user_id") % 50).alias("run_id"), F.floor(F.col("event_id") / 3).alias("sequence"), F.col("event_type").alias("event_id")
+    )
+    made = gates.run_with_keyed_state(gates.stream_admission(events, "run_id", "sequence", "event_id"), "admitted")
+    return made.groupBy("run_id", "sequence").agg(F.count(F.lit(1)).alias("ids"), F.count("violation").alias("violations"))
