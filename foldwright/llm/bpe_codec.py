@@ -37,7 +37,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 _SETTLED = regex.compile(r"[\x00-ԧ‐-‧₠-₹ぁ-ゖァ-ヺ一-鿋가-힣]*")
 _NEVER = np.iinfo(np.int64).max
 #: Words that a worker keeps.
-_STORE_WORDS = 1 << 17
+_STORE_WORDS = 1 << 18
 #: Bytes of a word up to which the next merge is found by a scan.
 _SHORT = 48
 _SLICE_BYTES, _SLICE_IDS = 1 << 20, 1 << 20

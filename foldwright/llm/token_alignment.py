@@ -40,7 +40,7 @@ _BLANK = "▁"
 _PROBE = "ﬁ① Å  b　\tＡ"
 _BLOCK_BYTES = 4 << 20
 #: Segments that a worker keeps.
-_SEGMENTS = 1 << 18
+_SEGMENTS = 1 << 19
 
 
 def cut_at_common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
