@@ -38,9 +38,9 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _BLANK = "▁"
 #: Fixed: text that a normalising piece model would change.
 _PROBE = "ﬁ① Å  b　\tＡ"
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 2 << 20
 #: Segments that a worker keeps.
-_SEGMENTS = 1 << 19
+_SEGMENTS = 1 << 18
 
 
 def cut_at_common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
@@ -243,11 +243,11 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """doc_id, block, links, n_a, n_b, n_groups, groups_sha256 of aligned documents."""
     for batch in batches:
         columns = [batch.column(name) for name in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
-        values = [c.values.to_numpy().tolist() for c in columns]
+        values = [c.values.to_numpy() for c in columns]
         ends = [c.offsets.to_numpy().tolist() for c in columns]
         digests = []
         for row in range(batch.num_rows):
-            a, b, i, k = (v[e[row] : e[row + 1]] for v, e in zip(values, ends, strict=True))
+            a, b, i, k = (v[e[row] : e[row + 1]].tolist() for v, e in zip(values, ends, strict=True))
             a, b = list(map(str, a)), list(map(str, b))
             groups = [
                 f"{a[p]}|{b[q]}" if s - p == 1 == t - q else ",".join(a[p:s]) + "|" + ",".join(b[q:t])
