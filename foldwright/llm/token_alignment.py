@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,9 +28,10 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foldwright.llm.base import stored, text_slices
-from foldwright.llm.bpe_codec import codec, lists_of, spelling
+from foldwright.llm.bpe_codec import lists_of, spelling
 from foldwright.llm.list_store import Lists, ListStore
 from foldwright.llm.runs import spread_index
 
@@ -98,6 +100,22 @@ class PieceModel:
         return np.fromiter(itertools.chain.from_iterable(got), np.int64, int(counts.sum())), counts
 
 
+class ByteModel:
+    """A byte-level file of the tokenizers library that takes strings of special tokens as plain text, and the bytes of its tokens."""
+
+    def __init__(self, path: str):
+        # A task is one of many on its machine and keeps to its own core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.bytes_of = spelling(path).bytes_of
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.model.encode_batch_fast(segments, add_special_tokens=False)]
+        counts = np.array([len(x) for x in got], dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(got), np.int64, int(counts.sum())), counts
+
+
 class Spelling:
     """The bytes of token ids as one buffer."""
 
@@ -122,10 +140,10 @@ class Aligner:
     """Aligns texts; results of distinct segments are kept, up to a bounded number."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = codec(a_path, plain=True), PieceModel(b_path)
+        self.a, self.b = ByteModel(a_path), PieceModel(b_path)
         self.a_spelling, self.b_spelling = Spelling(self.a.bytes_of), Spelling(self.b.bytes_of)
         self.b_size = len(self.b.bytes_of)
-        links = np.int32 if self.a.size * self.b_size < 1 << 31 else np.int64
+        links = np.int32 if len(self.a.bytes_of) * self.b_size < 1 << 31 else np.int64
         kinds = {"a_ids": np.int32, "b_ids": np.int32, "a_cuts": np.int32, "b_cuts": np.int32, "links": links, "unsound": np.int8}
         self.store = ListStore(self._learn, kinds, _SEGMENTS)
 
