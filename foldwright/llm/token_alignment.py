@@ -42,7 +42,7 @@ _BLANK = "▁"
 _PROBE = "ﬁ① Å  b　\tＡ"
 _BLOCK_BYTES = 2 << 20
 #: Segments that a worker keeps.
-_SEGMENTS = 1 << 18
+_SEGMENTS = 3 << 17
 
 
 def cut_at_common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
