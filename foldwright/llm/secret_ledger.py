@@ -9,7 +9,8 @@ Only DataFrame functions are used. Spans count characters (code points); the end
 the lengths of the pieces between matches and of the matches before it, summed by a window over one text's matches.
 
 Defined results: null text is empty; texts without findings have none and still enter the ledger; repeated rows keep a
-row each and share a blob; other columns are ignored; an empty table gives no rows.
+row each and share a blob; other columns are ignored; an empty table gives no rows. A finding keeps the version of its
+rule; per kind, what the newest version scanned over a blob found is what counts, also when it found nothing.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ class Rule:
     least: int
 
     @property
-    def key(self) -> str:
-        return f"{self.kind}:{self.version}"
+    def key(self) -> Column:
+        return F.struct(F.lit(self.kind).alias("kind"), F.lit(self.version).alias("version"))
 
 
 # The three kinds of secrets in the order in which they are listed.
@@ -46,7 +47,8 @@ RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", 1, "[0-9a-f]{24,}", 0, 24),
 )
-LEDGER = "blob binary, rules array<string>, findings array<struct<kind:string,first:int,last:int>>"
+_RULES, _FINDINGS = "array<struct<kind:string,version:int>>", "array<struct<kind:string,version:int,first:int,last:int>>"
+LEDGER = f"blob binary, rules {_RULES}, findings {_FINDINGS}"
 
 
 def blob_of(text: Column) -> Column:
@@ -68,52 +70,63 @@ def _hits(rule: Rule, pending: Column) -> Column:
     # The last piece has no match after it.
     shaped = F.transform(
         F.filter(zipped, lambda x: x["size"].isNotNull()),
-        lambda x, i: F.struct(F.lit(rule.kind).alias("kind"), i.alias("nth"), x["gap"].alias("gap"), x["size"].alias("size"), x["measured"].alias("measured")),
+        lambda x, i: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), i.alias("nth"), x["gap"].alias("gap"), x["size"].alias("size"), x["measured"].alias("measured")),
     )
-    empty = F.array().cast("array<struct<kind:string,nth:int,gap:int,size:int,measured:int>>")
+    empty = F.array().cast("array<struct<kind:string,version:int,nth:int,gap:int,size:int,measured:int>>")
     return F.when(pending & text.rlike(rule.pattern), shaped).otherwise(empty)
 
 
-def read_ledger(spark: SparkSession, ledger: str | None) -> DataFrame:
-    """One row per blob: all rules scanned and all findings."""
-    rows = spark.read.schema(LEDGER).parquet(ledger) if ledger else spark.createDataFrame([], LEDGER)
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """One row per blob: all rule versions scanned and all their findings."""
+    rows = spark.read.schema(LEDGER).parquet(ledger)
     return rows.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("findings")).alias("findings"))
 
 
 def scan_new_blobs(versions: DataFrame, known: str | None, target: str, rules: tuple[Rule, ...] = RULES) -> None:
     """Scan what the ledger at `known` (None: nothing yet) lacks and append it to the ledger at `target`."""
     spark = versions.sparkSession
-    keys = F.array(*(F.lit(r.key) for r in rules))
+    keys = F.array(*(r.key for r in rules))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blobs = versions.select(blob_of(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if known:
         done = read_ledger(spark, known).select("blob", "rules")
         blobs = blobs.join(done, "blob", "left")
-        blobs = blobs.withColumn("rules", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))).where(F.size("rules") > 0)
+        blobs = blobs.withColumn("rules", F.array_except(keys, F.coalesce("rules", F.array().cast(_RULES)))).where(F.size("rules") > 0)
     else:
         blobs = blobs.withColumn("rules", keys)
     hits = F.concat(*(_hits(r, F.array_contains("rules", r.key)) for r in rules))
     scanned = stored(blobs.select("blob", "rules", hits.alias("hits")), "scanned")
-    before = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("blob", "kind", "version").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matches = scanned.select("blob", F.inline("hits")).withColumn("last", F.sum(F.col("gap") + F.col("size")).over(before))
-    least = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.least))))
-    found = matches.where(F.col("measured") >= least[F.col("kind")]).groupBy("blob").agg(
-        F.collect_list(F.struct("kind", (F.col("last") - F.col("size")).cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("findings")
+    least = F.create_map(*(x for r in rules for x in (r.key, F.lit(r.least))))
+    found = matches.where(F.col("measured") >= least[F.struct("kind", "version")]).groupBy("blob").agg(
+        F.collect_list(F.struct("kind", "version", (F.col("last") - F.col("size")).cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("findings")
     )
-    none = F.array().cast("array<struct<kind:string,first:int,last:int>>")
+    none = F.array().cast(_FINDINGS)
     scanned.select("blob", "rules").join(found, "blob", "left").select("blob", "rules", F.coalesce("findings", none).alias("findings")).write.mode("append").parquet(target)
 
 
+def current_findings() -> Column:
+    """Of a ledger row's findings, those of the newest version of their kind that the blob was scanned with."""
+    newer = lambda f: F.exists("rules", lambda r: (r["kind"] == f["kind"]) & (r["version"] > f["version"]))
+    return F.filter("findings", lambda f: ~newer(f))
+
+
 def findings_by_path(versions: DataFrame, ledger: str, path: list[str]) -> DataFrame:
     """`path` columns of every version with its blob and the findings of that blob (null: none)."""
-    found = stored(read_ledger(versions.sparkSession, ledger).where(F.size("findings") > 0).select("blob", "findings"), "findings")
+    now = read_ledger(versions.sparkSession, ledger).select("blob", current_findings().alias("findings"))
+    found = stored(now.where(F.size("findings") > 0), "findings")
     return versions.select(*path, blob_of(F.col("text").cast("string")).alias("blob")).join(found, "blob", "left")
 
 
 def secret_digest(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A first run over `documents` (doc_id, text): counts per kind, all spans, and the checksum of the base spans."""
+    """Counts per kind, all spans, and the checksum of the base spans of `documents` (doc_id, text).
+
+    Two runs over the whole table: the first knows one rule only, the second adds what the first's ledger lacks.
+    """
     ledger = scratch_path(documents.sparkSession, "secret-ledger")
-    scan_new_blobs(documents, None, ledger, rules)
+    scan_new_blobs(documents, None, ledger, rules[:1])
+    scan_new_blobs(documents, ledger, ledger, rules)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     ordered = F.array_sort(F.transform("findings", lambda x: F.struct(x["first"].alias("first"), F.array_position(kinds, x["kind"]).alias("place"), x["kind"].alias("kind"), x["last"].alias("last"))))
     spans = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["first"], x["last"])), ",")
