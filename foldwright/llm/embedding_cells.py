@@ -1,7 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products inside them, one representative a group.
 
 Equal vectors fold to one row with a weight first. Centroids are fitted on a bounded sample (`most_sample` rows in
-digest order); every vector is indexed: it is a member of its nearest cell and a visitor of each cell with a smaller
+digest order), for each vector length apart; every vector is indexed: it is a member of its nearest cell and a visitor of each cell with a smaller
 number whose centroid is nearly as close (within `margin` of the best cosine). Pairs are members with members and
 members with visitors, so a pair meets in one cell at most. A pair at the threshold whose halves lie in two cells is
 missed only when the later half is further than the margin from the earlier half's centroid; the tests measure recall.
@@ -10,8 +10,10 @@ Cells are cut into blocks of `block` rows by digest, and block pairs are the gro
 cell, a task holds two blocks. Products are taken in double precision. A task returns, per vector, the weight of its
 links and the smallest vector of its component inside the task; never pairs. Components join these labels.
 
-Defined results: a vector that is null, zero, of another length than most of the sample, or with null or non-finite
-components links with nothing; equal vectors link; repeated rows keep a row each; a row without vec_id links with
+Vectors of a length that the sample lacks are few; they share one cell, cut into blocks like any other.
+
+Defined results: a vector that is null, zero, or with null or non-finite components links with nothing; vectors of
+different lengths never link; equal vectors link; repeated rows keep a row each; a row without vec_id links with
 nothing; other columns are ignored; an empty table gives no rows.
 """
 
@@ -49,34 +51,35 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def fit_cells(distinct: DataFrame, most_sample: int, cell_rows: int) -> np.ndarray | None:
-    """Centroids from a bounded sample; their number grows with the table until the sample has 4 rows a cell."""
+def fit_cells(distinct: DataFrame, most_sample: int, cell_rows: int) -> dict[int, np.ndarray]:
+    """Centroids per vector length from a bounded sample; their number grows with the table until the sample has 4 rows a cell."""
     n = distinct.count()
-    if not n:
-        return None
     rows = distinct.orderBy(F.xxhash64("vec")).limit(most_sample).select("vec").toArrow().column("vec").to_pylist()
-    lengths = [len(r) for r in rows]
-    size = max(set(lengths), key=lambda v: (lengths.count(v), v))
-    x = unit_rows([r for r in rows if len(r) == size])
-    return spherical_kmeans(x, max(1, min(-(-n // cell_rows), -(-len(x) // 4))))
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r), []).append(r)
+    cells = lambda x: max(1, min(-(-n * len(x) // (len(rows) * cell_rows)), -(-len(x) // 4)))
+    return {size: spherical_kmeans(unit_rows(x), cells(x)) for size, x in by_size.items()}
 
 
 def _assign(shared, margin: float):
     def run(batches):
-        centroids = shared.value
         for batch in batches:
-            vec = batch.column("vec")
-            fits = np.flatnonzero(np.diff(vec.offsets.to_numpy()) == centroids.shape[1])
-            if not len(fits):
-                continue
-            batch = batch.take(pa.array(fits))
-            cosines = unit_rows(batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(fits), -1)) @ centroids.T
-            home = cosines.argmax(axis=1)
-            near = cosines >= cosines.max(axis=1, keepdims=True) - margin
-            near &= np.arange(cosines.shape[1]) <= home[:, None]
-            row, cell = np.nonzero(near)
-            out = batch.select(["vid", "weight", "vec"]).take(pa.array(row))
-            yield pa.record_batch([*out.columns, pa.array(cell, pa.int32()), pa.array(cell == home[row])], names=["vid", "weight", "vec", "cell", "member"])
+            sizes = np.diff(batch.column("vec").offsets.to_numpy())
+            for size in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                centroids = shared.value.get(int(size))
+                if centroids is None:
+                    row, cell, home = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                else:
+                    cosines = unit_rows(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)) @ centroids.T
+                    home = cosines.argmax(axis=1)
+                    near = cosines >= cosines.max(axis=1, keepdims=True) - margin
+                    near &= np.arange(cosines.shape[1]) <= home[:, None]
+                    row, cell = np.nonzero(near)
+                out = part.select(["vid", "weight", "vec"]).take(pa.array(row))
+                length = pa.array(np.full(len(row), size), pa.int32())
+                yield pa.record_batch([*out.columns, length, pa.array(cell, pa.int32()), pa.array(cell == home[row])], names=["vid", "weight", "vec", "size", "cell", "member"])
 
     return run
 
@@ -116,16 +119,16 @@ def _compare(threshold: float):
 
 
 def _block_pairs(assigned: DataFrame, block: int) -> DataFrame:
-    """Rows of every group (cell, i, j): members of block i against members of block j >= i, or visitors of block j."""
-    counts = assigned.groupBy("cell").agg(F.ceil(F.count_if("member") / block).cast("int").alias("m"), F.ceil(F.count_if(~F.col("member")) / block).cast("int").alias("v"))
-    rows = assigned.join(counts, "cell").where("m > 0")
+    """Rows of every group (size, cell, i, j): members of block i against members of block j >= i, or visitors of block j."""
+    counts = assigned.groupBy("size", "cell").agg(F.ceil(F.count_if("member") / block).cast("int").alias("m"), F.ceil(F.count_if(~F.col("member")) / block).cast("int").alias("v"))
+    rows = assigned.join(counts, ["size", "cell"]).where("m > 0")
     rows = rows.withColumn("b", F.when(F.col("member"), F.pmod(F.xxhash64("vid"), "m")).otherwise(F.pmod(F.xxhash64("vid"), "v") + F.col("m")).cast("int"))
     last = F.when(F.col("member"), F.col("m") + F.col("v") - 1).otherwise(F.col("m") - 1)
     # A member's block is the left side from its own number on and the right side below it; visitors are right sides only.
     others = F.explode(F.sequence(F.lit(0), last)).alias("o")
-    spread = rows.select("vid", "weight", "vec", "cell", "member", "b", others)
+    spread = rows.select("vid", "weight", "vec", "size", "cell", "member", "b", others)
     return spread.select(
-        "vid", "weight", "vec", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
+        "vid", "weight", "vec", "size", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
         (F.col("member") & (F.col("b") <= F.col("o"))).alias("is_left"), (F.col("b") >= F.col("o")).alias("is_right"),
     )
 
@@ -147,11 +150,11 @@ def embedding_groups(
     valid = stored(rows.where(usable).select("vec_id", F.col("vec").alias("raw"), scaled.alias("vec")), "vectors")
     distinct = stored(valid.groupBy("raw").agg(F.min("vec_id").alias("vid"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "distinct-vectors")
     centroids = fit_cells(distinct, most_sample, cell_rows)
-    if centroids is None:
+    if not centroids:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared = spark.sparkContext.broadcast(centroids)
-    assigned = stored(distinct.select("vid", "weight", "vec").mapInArrow(_assign(shared, margin), "vid long, weight long, vec array<double>, cell int, member boolean"), "cells")
-    found = _block_pairs(assigned, block).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "vid long, links long, label long")
+    assigned = stored(distinct.select("vid", "weight", "vec").mapInArrow(_assign(shared, margin), "vid long, weight long, vec array<double>, size int, cell int, member boolean"), "cells")
+    found = _block_pairs(assigned, block).groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "vid long, links long, label long")
     found = stored(found, "cell-links")
     roots = components(found.where("vid <> label").select(F.col("vid").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "vid")
     totals = found.groupBy("vid").agg(F.sum("links").alias("links"))

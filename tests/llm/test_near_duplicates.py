@@ -176,5 +176,16 @@ def test_embedding_links_against_all_pairs(spark, cell_rows, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(k, [1.0, float(k % 3)]) for k in range(12)] + [(20, [1.0, 2.0, 3.0]), (21, [1.0, 2.0, 3.1]), (22, [-1.0, 2.0, 0.0]), (30, [5.0]), (31, [7.0]), (32, [-7.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for most_sample in (20_000, 2):  # with two sampled rows most lengths have no centroids
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_groups(frame, most_sample=most_sample).collect()}
+        assert [got[k] for k in (20, 21, 22, 30, 31, 32)] == [(1, 20), (1, 20), (0, 22), (1, 30), (1, 30), (0, 32)]
+        cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+        for k in range(12):
+            assert got[k][0] == sum(cosine(rows[k][1], rows[j][1]) >= 0.9 for j in range(12) if j != k)
+
+
 def test_embeddings_empty_table(spark):
     assert embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
