@@ -30,6 +30,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores after it where `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key() -> Column:
     """Digest of a document's id and text, whatever type the id has."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -37,8 +45,9 @@ def row_key() -> Column:
 
 def rows_of_keys(documents: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of `documents` whose key is in `kept` (kept_row_key). Rows equal in id and text share a key, and one of them stays."""
-    keyed = documents.withColumn("kept_row_key", row_key())
-    return keyed.join(kept, "kept_row_key").dropDuplicates(["kept_row_key"]).select(*documents.columns)
+    key = free_name(documents, "kept_row_key")
+    keyed = documents.withColumn(key, row_key())
+    return keyed.join(kept.withColumnRenamed("kept_row_key", key), key).dropDuplicates([key]).select(*documents.columns)
 
 
 def input_partitions(df: DataFrame, bytes_per_task: int = 128 << 20) -> int:
