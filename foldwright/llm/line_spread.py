@@ -8,7 +8,8 @@ smallest id, so no text is lost altogether. Line numbers to remove go back to th
 
 Defined results: null text is empty and stays null where nothing is removed; null sites count as one site; documents
 with nothing left keep their row with an empty text; repeated rows are treated alike; a line whose smallest document
-is null stays everywhere; other columns pass through; an empty table gives no rows.
+is null stays everywhere; other columns pass through, but one named `n_removed_lines` is replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.base import stored
+from foldwright.llm.base import free_name, stored
 
 LEAST_SITES = 10
 #: Relative width around the limit within which an estimate is replaced by an exact count: over four standard errors.
@@ -56,13 +57,15 @@ def remove_spread_lines(documents: DataFrame, site: str = "source", least_sites:
     spread = stored(spread_lines(lines, least_sites), "spread-lines")
     removed = lines.join(spread, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("first_doc").isNotNull())
     removed = stored(removed.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")), "removed-lines")
-    removed = removed.withColumnsRenamed({"doc_id": "removed_doc", "text_hash": "removed_hash"})
+    doc, digest, gone = (free_name(documents, c) for c in ("removed_doc", "removed_hash", "gone"))
+    removed = removed.withColumnsRenamed({"doc_id": doc, "text_hash": digest, "gone": gone})
     # The planner may not broadcast: a table with a row per changed document grows with the corpus.
-    joined = documents.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("removed_doc")) & (F.xxhash64("text") == F.col("removed_hash")), "left")
+    joined = documents.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(digest)), "left")
     split = F.split(F.col("text"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    return joined.select(*(cleaned.alias("text") if c == "text" else F.col(c) for c in documents.columns), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    cleaned = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
+    names = [c for c in documents.columns if c.lower() != "n_removed_lines"]
+    return joined.select(*(cleaned.alias("text") if c == "text" else F.col(c) for c in names), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed_lines"))
 
 
 LINES_SQL = f"""

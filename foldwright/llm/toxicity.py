@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.base import stored, text_bytes, text_slices
+from foldwright.llm.base import free_name, stored, text_bytes, text_slices
 from foldwright.llm.labelled import held_out, sample, training_labels, with_texts
 from foldwright.llm.runs import hash_prefixes, hash_runs, word_runs
 
@@ -176,10 +176,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _keep(shared, names: list[str]):
+def _keep(shared, lowered: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, "lower_case_text"):
-            scores = shared.value.scores(rows.column(rows.schema.get_field_index("lower_case_text")))
+        for rows in text_slices(batches, lowered):
+            scores = shared.value.scores(rows.column(rows.schema.get_field_index(lowered)))
             yield rows.filter(pa.array(scores < 0.5)).select(names)
 
     return run
@@ -188,5 +188,6 @@ def _keep(shared, names: list[str]):
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """`documents` without those predicted toxic; all columns stay, nothing is shuffled."""
     shared = documents.sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels))
-    marked = documents.withColumn("lower_case_text", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.mapInArrow(_keep(shared, documents.columns), documents.schema)
+    lowered = free_name(documents, "lower_case_text")
+    marked = documents.withColumn(lowered, F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return marked.mapInArrow(_keep(shared, lowered, documents.columns), documents.schema)

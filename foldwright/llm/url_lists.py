@@ -50,9 +50,12 @@ def _arrays(keys: DataFrame, key: str, intervals: DataFrame) -> DataFrame:
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """`captures` (url, fetched_at) with `blocked` and the entries active at the fetch time, `list:kind:entry:since` sorted."""
+    """`captures` (url, fetched_at) with `blocked` and the entries active at the fetch time, `list:kind:entry:since` sorted. Input columns with an output's name are replaced."""
     intervals = stored(validity_intervals(entries), "list-intervals")
-    rows = captures.withColumns({"url_host": F.coalesce(host_of(F.col("url")), F.lit("")), "url_address": F.coalesce(address_of(F.col("url")), F.lit(""))})
+    # The capture travels as one column, so that none of its names meets an inner one.
+    rows = captures.select(
+        F.struct("*").alias("capture"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("url_host"), F.coalesce(address_of(F.col("url")), F.lit("")).alias("url_address")
+    )
     labels = F.split("url_host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = rows.where("url_host <> ''").select("url_host").distinct().select("url_host", F.explode(parents).alias("entry"))
@@ -60,13 +63,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     joined = rows.join(_arrays(hosts, "url_host", intervals.where("kind = 'domain'")), "url_host", "left")
     joined = joined.join(_arrays(addresses, "url_address", intervals.where("kind = 'url'")), "url_address", "left")
     none = F.array().cast(_INTERVALS)
-    day = F.col("fetched_at").cast("date")
+    day = F.col("capture")["fetched_at"].cast("date")
     active = F.filter(
         F.concat(F.coalesce("url_host_rules", none), F.coalesce("url_address_rules", none)),
         lambda x: (x["active_from"] <= day) & (x["active_to"].isNull() | (day < x["active_to"])),
     )
     named = F.array_join(F.array_sort(F.transform(active, lambda x: F.concat_ws(":", x["list_name"], x["kind"], x["entry"], x["active_from"]))), ",")
-    return joined.select(*(F.col(c) for c in captures.columns), "url_host", (F.size(active) > 0).alias("blocked"), named.alias("matched"))
+    own = [c for c in captures.columns if c.lower() not in ("url_host", "blocked", "matched")]
+    return joined.select(*(F.col("capture")[c].alias(c) for c in own), "url_host", (F.size(active) > 0).alias("blocked"), named.alias("matched"))
 
 
 # The captures and lists of the registered query, derived from `pages`. The first day, and when a host
