@@ -16,6 +16,7 @@ from foldwright.functions.draws import hash_index
 from foldwright.operators.features import smoothed_target_encoding
 from foldwright.operators.folds import TRAIN, VALIDATION, block_within
 from foldwright.operators.metrics import auc, between_group_share, correlation_shift, spearman
+from foldwright.operators.ordering import exact_quantile
 from foldwright.operators.resample import context_shuffle
 from foldwright.session import cut_lineage
 
@@ -126,7 +127,7 @@ def independent_implication(rows: DataFrame, operator: str) -> float:
     if operator == "repeated_unit_history":
         return between_group_share(rows, "unit", "held_out").first()[0] or 0.0
     if operator == "temporal_state":
-        median = rows.agg(F.percentile("time", F.lit(0.5))).first()[0]
+        median = exact_quantile(rows, "time", 0.5, rule="linear").first()[0]
         rows = rows.withColumn("_route", F.col("time") < F.lit(median))
     else:
         rows = rows.withColumn("_route", F.col("missing_pattern" if operator == "observation_regime" else "route"))

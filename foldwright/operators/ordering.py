@@ -294,7 +294,23 @@ def exact_quantile(
         F.max(F.when(holds(high), F.col(value))).alias("_hi"),
         F.max(weight).alias("_w"),
     )
-    return picked.select(*keys, (F.col("_lo") * (1 - F.col("_w")) + F.col("_hi") * F.col("_w")).alias(name))
+    between = F.col("_lo") * (1 - F.col("_w")) + F.col("_hi") * F.col("_w")
+    # Between equal values nothing is computed: an infinite one stays.
+    return picked.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(name))
+
+
+def with_medians(made: DataFrame, df: DataFrame, keys: Sequence[str], values: dict[str, Column], *, max_rows: int | None = None) -> DataFrame:
+    """`made` (one row per key, or one row) with the exact median of each of `values` over the key's rows of `df`.
+
+    Values are folded to counts and ordered together, so no group's values meet in one buffer. A key without values has null.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()))))
+    found = exact_quantile(rows, "_v", 0.5, [*keys, "_name"], rule="linear", name="_median", max_rows=max_rows)
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values))
+    if keys:
+        return join_null_safe(made, wide, keys, "left")
+    return made.withColumn("_one", F.lit(1)).join(wide.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def with_neighbours(

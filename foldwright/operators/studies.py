@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwright.operators.audit import Audited
 from foldwright.operators.metrics import auc, binary_calibration, effective_count, spearman
-from foldwright.operators.ordering import number_by_key
+from foldwright.operators.ordering import number_by_key, with_medians
 from foldwright.operators.rates import rate, rate_where, validation_fidelity
 from foldwright.operators.resample import paired_bootstrap_interval
 
@@ -241,9 +241,9 @@ def grid_violations(expected: DataFrame, actual: DataFrame, keys: Sequence[str])
 def population_rollup(agents: DataFrame, blocks: DataFrame) -> DataFrame:
     """Medians over agents, worst cases and block minima, one row (AGG27)."""
     a = agents.agg(
-        F.count(F.lit(1)).alias("agents"), F.median("tsdr").alias("median_tsdr"), F.median("tsrr").alias("median_tsrr"),
-        F.max("fspr").alias("worst_fspr"), F.median("ustr").alias("median_ustr"),
+        F.count(F.lit(1)).alias("agents"), F.max("fspr").alias("worst_fspr"),
     )
+    a = with_medians(a, agents, [], {f"median_{m}": F.col(m) for m in ("tsdr", "tsrr", "ustr")})
     b = blocks.agg(
         F.min("leave_one_out_tsrr").alias("minimum_leave_one_out_tsrr"), F.avg("blind_spot").alias("mean_blind_spot")
     )
@@ -258,10 +258,10 @@ def failure_stage_counts(packs: DataFrame) -> DataFrame:
 
 def arm_summary(cards: DataFrame, arm: str, metrics: Sequence[str] = ("tsdr", "tsrr", "fspr")) -> DataFrame:
     """Mean, median and maximum of run rates per arm (AGG28)."""
-    return cards.groupBy(arm).agg(
-        F.count(F.lit(1)).alias("runs"),
-        *[f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))],
+    made = cards.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("runs"), *[f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("max", F.max))]
     )
+    return with_medians(made, cards, [arm], {f"median_{m}": F.col(m) for m in metrics})
 
 
 def sign_test_p(positive: Column, total: Column) -> Column:
@@ -292,13 +292,13 @@ def paired_arm_statistics(
     made = rows.groupBy("treatment", "comparator").agg(
         F.count(F.lit(1)).alias("seeds"),
         F.avg("delta").alias("mean"),
-        F.median("delta").alias("median"),
         rate(F.col("delta") > 0).alias("positive_rate"),
         F.min("delta").alias("worst"),
         F.max("delta").alias("best"),
         F.count_if(F.col("delta") > 0).alias("_pos"),
         F.count_if(F.col("delta") != 0).alias("_all"),
     )
+    made = with_medians(made, rows, ["treatment", "comparator"], {"median": F.col("delta")})
     bounds = paired_bootstrap_interval(rows, ["treatment", "comparator"], seed, "delta", resamples, seed=draw_seed)
     tested = made.withColumn("sign_p", sign_test_p(F.col("_pos"), F.col("_all"))).drop("_pos", "_all")
     return tested.join(bounds.select("treatment", "comparator", "low", "high"), ["treatment", "comparator"])
@@ -309,9 +309,9 @@ def arm_outcomes(scores: DataFrame, arm: str, seed: str, score: str, local: str)
     top = scores.groupBy(seed).agg(F.max(score).alias("_top"))
     made = scores.join(top, seed).groupBy(arm).agg(
         F.avg(score).alias("mean_score"),
-        F.median(score).alias("median_score"),
         rate(F.col(score) == F.col("_top")).alias("win_rate"),
     )
+    made = with_medians(made, scores.filter(F.col(seed).isNotNull()), [arm], {"median_score": F.col(score)})
     ranks = spearman(scores, local, score, [arm], degenerate=None).select(arm, "spearman")
     return made.join(ranks, arm)
 
@@ -399,14 +399,14 @@ def preflight(df: DataFrame, pack: str, context: str, segment: str, target: str,
         scored = spearman(long, target, "score", [*keys, "side"], degenerate=0.0).withColumnRenamed("spearman", "_v")
     signed = F.when(F.col("side") == "oracle", F.col("_v")).otherwise(-F.col("_v"))
     gains = scored.groupBy(*keys).agg(F.sum(signed).alias("_gain"))
-    medians = gains.groupBy(pack).agg(
-        *[F.median(F.when(F.col(segment) == s, F.col("_gain"))).alias(s) for s in ("research", "confirmation", "transfer")]
+    medians = with_medians(
+        gains.select(pack).distinct(), gains, [pack], {s: F.when(F.col(segment) == s, F.col("_gain")) for s in ("research", "confirmation", "transfer")}
     )
-    design = df.groupBy(pack, context).agg(
+    contexts = df.groupBy(pack, context).agg(
         F.max("structure_present").alias("_s"), F.max("predictive_utility").alias("_u"), F.max("independent").alias("_i")
-    ).groupBy(pack).agg(
-        F.max("_s").alias("structure_present"), F.max("_u").alias("predictive_utility"), F.median("_i").alias("independent")
     )
+    design = contexts.groupBy(pack).agg(F.max("_s").alias("structure_present"), F.max("_u").alias("predictive_utility"))
+    design = with_medians(design, contexts, [pack], {"independent": F.col("_i")})
     s, u, i = F.col("structure_present"), F.col("predictive_utility"), F.col("independent")
     verdict = (
         F.when(
@@ -584,9 +584,9 @@ def submission_diagnostics(predictions: DataFrame, labels: DataFrame, calls: Dat
     result = auc(scored, "target", "prediction", [run], degenerate="half").select(run, "n", "auc")
     history = calls.groupBy(run).agg(
         F.count(F.lit(1)).alias("calls"),
-        F.median("call_auc").alias("median_call_auc"),
         (F.max_by("call_auc", "call_index") > F.min_by("call_auc", "call_index")).alias("_up"),
     )
+    history = with_medians(history, calls, [run], {"median_call_auc": F.col("call_auc")})
     joined = result.join(history, run, "left")
     return joined.select(
         run, "n", "auc", (F.col("auc") > baseline).alias("beats_baseline"),

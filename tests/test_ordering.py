@@ -69,3 +69,22 @@ def test_neighbours_cross_block_edges(rows, max_rows):
             recent = line[max(0, i - 3) : i]
             expected = round(sum(o.v for o in recent), 9) if recent else None
             assert got[r.id] == (expected, line[i + 1].id if i + 1 < len(line) else None)
+
+
+@pytest.mark.parametrize("max_rows", [20, 10_000])
+def test_medians_of_heavy_groups_and_groups_without_values(spark, rows, max_rows):
+    from statistics import median
+
+    lone = spark.createDataFrame([(None, 1, 1000, 2.5), ("empty", 1, 1001, None)], "k string, t long, id long, v double")
+    data = rows.unionByName(lone)
+    made = data.groupBy("k").agg(F.count("*").alias("n"))
+    got = {r.k: (r.n, r.mv, r.mt) for r in O.with_medians(made, data, ["k"], {"mv": F.col("v"), "mt": F.when(F.col("t") > 3, F.col("t"))}, max_rows=max_rows).collect()}
+    by_key = {}
+    for r in data.collect():
+        by_key.setdefault(r.k, []).append(r)
+    middle = lambda values: median(values) if values else None
+    for k, group in by_key.items():
+        want = middle([r.v for r in group if r.v is not None]), middle([r.t for r in group if r.t > 3])
+        assert got[k][0] == len(group) and got[k][1] == pytest.approx(want[0]) and got[k][2] == want[1]
+    whole = O.with_medians(data.agg(F.count("*").alias("n")), data, [], {"mv": F.col("v")}, max_rows=max_rows).collect()
+    assert [(r.n, r.mv) for r in whole] == [(602, pytest.approx(median([r.v for r in data.collect() if r.v is not None])))]
