@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from foldwright.functions.draws import hash_index, hash_key
 from foldwright.functions.scalars import direction_normalised
@@ -29,10 +33,11 @@ SCALE_CONSTANT = 32.0
 Z95 = 1.959963984540054
 MINIMUM_TASKS = 2
 NULL_TAIL, FUTILITY_CONFIDENCE, MINIMUM_NULLS = 0.05, 0.05, 5
-# Values one bootstrap array holds; larger groups are cut into chunks of that many positions.
+# Values one bootstrap array holds; larger groups are cut into pieces of that many positions.
 CHUNK = 4096
-# Array entries a broadcast side of the bootstrap join may hold (8 bytes each).
-BROADCAST_VALUES = 4_000_000
+# Replicates that a task draws at a time, and pieces that share one drawing of them.
+REPLICATES_PER_BLOCK = 128
+PIECES_PER_DRAWING = 256
 
 
 def z_value(confidence: float) -> float:
@@ -46,53 +51,84 @@ def draw_positions(sizes: DataFrame, resamples: int, seed: int | str) -> DataFra
     return reps.withColumn("_draws", F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), draw))
 
 
-def chunked_draws(sizes: DataFrame, resamples: int, seed: int | str, chunk: int) -> DataFrame:
-    """The same draws by chunk of positions: (_n, _rep, _chunk, _draws), places inside the chunk.
-
-    Slots are drawn in runs of `chunk`, so no cell holds more than one run.
-    """
-    reps = sizes.select("_n").distinct().withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    runs = reps.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"), F.lit(chunk).cast("long"))))
-    slots = runs.withColumn("_slot", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + chunk - 1, F.col("_n").cast("long")))))
-    drawn = slots.withColumn("_at", hash_index(seed, F.col("_n"), F.col("_rep"), F.col("_slot")))
-    place = (F.col("_at") % chunk + 1).cast("int")
-    return drawn.groupBy("_n", "_rep", F.floor(F.col("_at") / chunk).alias("_chunk")).agg(F.collect_list(place).alias("_draws"))
+def index_draws(seed: int | str, first: int, replicates: int, slots: int) -> np.ndarray:
+    """`functions.draws.hash_key(seed, replicate, slot)` for slots 1.. of the replicates from `first`, one row each."""
+    names = [str(slot).encode() for slot in range(1, slots + 1)]
+    digests = (hashlib.md5(f"{seed}:{replicate}:".encode() + name).digest() for replicate in range(first, first + replicates) for name in names)
+    words = np.frombuffer(b"".join(digests), ">u8")[::2]
+    return (words >> np.uint64(4)).astype(np.int64).reshape(replicates, slots)
 
 
-def _drawn_sum(values: str) -> Column:
-    return F.aggregate("_draws", F.lit(0.0), lambda acc, i: acc + F.element_at(values, i))
+def _generator(*parts: object) -> np.random.Generator:
+    """A generator that depends on nothing but `parts`, so a repeated task draws the same."""
+    digest = hashlib.md5(":".join(map(str, parts)).encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(digest, "big")))
 
 
-def _array_means(groups: DataFrame, keys: Sequence[str], resamples: int, seed: int | str) -> DataFrame:
-    """Resampled sum(_s)/sum(_c) per replicate, drawn inside each group's small arrays `_s` and `_c`.
+def piece_counts(seed: int | str, n: int, chunk: int, piece: int, first: int, replicates: int) -> np.ndarray:
+    """How many of a replicate's n draws fall on piece `piece`, for the replicates from `first`.
 
-    Positions depend on the group size and the replicate only, so they are drawn once per size. The
-    smaller of the two tables is broadcast while its size, checked here, stays below
-    BROADCAST_VALUES; few groups then spread over tasks by replicate.
+    A tree halves the pieces; at each node the draws of the left half are binomial. Every piece walks from the
+    root to its own leaf, so the counts of all pieces agree without being exchanged.
     """
-    sized = groups.withColumn("_n", F.size("_s"))
-    held, drawn = sized.agg(F.sum("_n"), F.sum_distinct(F.col("_n"))).first()
-    draws = draw_positions(sized, resamples, seed)
-    if (held or 0) <= BROADCAST_VALUES:
-        tasks = groups.sparkSession.sparkContext.defaultParallelism
-        joined = draws.repartition(tasks, "_n", "_rep").join(F.broadcast(sized), "_n")
-    elif (drawn or 0) * resamples <= BROADCAST_VALUES:
-        joined = sized.join(F.broadcast(draws), "_n")
-    else:
-        joined = sized.join(draws, "_n")
-    return joined.select(*keys, "_rep", F.coalesce(F.try_divide(_drawn_sum("_s"), _drawn_sum("_c")), F.lit(0.0)).alias("_mean"))
-
-
-def _chunk_means(rows: DataFrame, keys: Sequence[str], order: str, resamples: int, seed: int | str, chunk: int) -> DataFrame:
-    """The same means for groups of more than one chunk: chunks meet their draws, partial sums meet per replicate."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = join_null_safe(number_by_key(rows, keys, [order], "_pos"), sizes, keys)
-    part = F.struct("_pos", "_s", "_c")
-    chunks = placed.groupBy(*keys, "_n", F.floor((F.col("_pos") - 1) / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(part)).alias("_p"))
-    chunks = chunks.select(*keys, "_n", "_chunk", F.transform("_p", lambda p: p["_s"]).alias("_s"), F.transform("_p", lambda p: p["_c"]).alias("_c"))
-    joined = chunks.join(chunked_draws(sizes, resamples, seed, chunk), ["_n", "_chunk"])
-    sums = joined.select(*keys, "_rep", _drawn_sum("_s").alias("_s"), _drawn_sum("_c").alias("_c"))
-    return sums.groupBy(*keys, "_rep").agg(F.coalesce(F.try_divide(F.sum("_s"), F.sum("_c")), F.lit(0.0)).alias("_mean"))
+    counts = np.full(replicates, n, np.int64)
+    low, high = 0, -(-n // chunk)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * chunk / (min(high * chunk, n) - low * chunk)
+        left = _generator("split", seed, n, first, low, high).binomial(counts, share)
+        if piece < middle:
+            counts, high = left, middle
+        else:
+            counts, low = counts - left, middle
+    return counts
+
+
+def _drawn_sums(seed: int | str, resamples: int, chunk: int):
+    """Per piece and block of replicates: sums of the drawn `_s` and `_c`, null where a drawn one is null."""
+
+    def sums_of(values: np.ndarray, missing: np.ndarray, at: np.ndarray, of: np.ndarray | None, replicates: int) -> pa.Array:
+        if of is None:
+            made, gone = values[at].sum(axis=1), missing[at].any(axis=1) if missing.any() else None
+        else:
+            made = np.bincount(of, values[at], replicates)
+            gone = np.bincount(of, missing[at], replicates) > 0 if missing.any() else None
+        return pa.array(made, pa.float64(), mask=gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, draws = -1, np.zeros((0, 0), np.int64)
+        for batch in batches:
+            lists = {}
+            for name in ("_s", "_c"):
+                column = batch.column(name)
+                values = column.values.to_numpy(zero_copy_only=False)
+                lists[name] = column.offsets.to_numpy(), values, column.values.is_null().to_numpy(zero_copy_only=False)
+            places = zip(*(batch.column(c).to_numpy() for c in ("_n", "_piece", "_block")))
+            out = {"_s": [], "_c": []}
+            for row, (n, piece, wanted) in enumerate(places):
+                n, piece, wanted = int(n), int(piece), int(wanted)
+                first = wanted * REPLICATES_PER_BLOCK + 1
+                replicates = min(REPLICATES_PER_BLOCK, resamples - first + 1)
+                if n <= chunk:
+                    if wanted != block or draws.shape[1] < n:
+                        block, draws = wanted, index_draws(seed, first, replicates, n)
+                    at, of = draws[:, :n] % n, None
+                else:
+                    counts = piece_counts(seed, n, chunk, piece, first, replicates)
+                    size = min(chunk, n - piece * chunk)
+                    at = _generator("draw", seed, n, first, piece).integers(0, size, int(counts.sum()))
+                    of = np.repeat(np.arange(replicates), counts)
+                for name, (offsets, values, missing) in lists.items():
+                    held = slice(offsets[row], offsets[row + 1])
+                    out[name].append(sums_of(values[held], missing[held], at, of, replicates))
+            made = [
+                pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.concat_arrays(parts) if parts else pa.array([], pa.float64()))
+                for parts in out.values()
+            ]
+            names = [c for c in batch.schema.names if c not in lists]
+            yield pa.record_batch([*(batch.column(c) for c in names), *made], names=[*names, *lists])
+
+    return run
 
 
 def bootstrap_means(
@@ -108,8 +144,10 @@ def bootstrap_means(
 ) -> DataFrame:
     """Replicate means per key: (keys, _rep, _mean), by index draws at every group size.
 
-    Groups up to `chunk` rows resample inside one array, no shuffle per draw. Larger groups are the
-    same draws cut by chunk, so that no cell or task holds a whole group.
+    A group is held in pieces of `chunk` positions. Blocks of replicates meet the pieces, and a task gathers
+    whole blocks at once. A group of one piece takes hashed index draws, which SQL can repeat. Of a larger
+    group, each piece takes its binomial share of every replicate's draws (`piece_counts`) and draws them
+    inside itself; what is shuffled then is one sum per replicate and piece, never a draw.
     """
     keys = list(keys)
     rows = df.select(
@@ -117,18 +155,37 @@ def bootstrap_means(
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_c"),
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > chunk).select(*keys)
-    has_large = not large.isEmpty()
-    small = join_null_safe(rows, large, keys, "left_anti") if has_large else rows
-    part = F.struct(F.col(order), F.col("_s"), F.col("_c"))
-    groups = small.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("_p")).select(
-        *keys, F.transform("_p", lambda p: p["_s"]).alias("_s"), F.transform("_p", lambda p: p["_c"]).alias("_c")
+    pieces, longest = sizes.agg(F.sum(F.ceil(F.col("_n") / chunk)), F.max("_n")).first()
+    if (longest or 0) <= chunk:
+        placed, place = rows.withColumn("_piece", F.lit(0).cast("long")), order
+    else:
+        placed, place = number_by_key(rows, keys, [order], "_pos"), "_pos"
+        placed = placed.withColumn("_piece", F.floor((F.col("_pos") - 1) / chunk))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), "_s", "_c")))
+    held = placed.groupBy(*keys, "_piece").agg(listed.alias("_p"))
+    if place == order:
+        held = held.withColumn("_n", F.size("_p").cast("long"))
+    else:
+        held = join_null_safe(held, sizes, keys)
+    blocks = -(-resamples // REPLICATES_PER_BLOCK)
+    # Pieces are salted, so that a block of replicates is not one task's work; a drawing serves many pieces.
+    salt = F.pmod(F.xxhash64(*keys, "_piece"), F.lit(max(1, (pieces or 0) // PIECES_PER_DRAWING)))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    spread = held.select(
+        *keys, "_n", "_piece", F.transform("_p", lambda p: p["_s"]).alias("_s"), F.transform("_p", lambda p: p["_c"]).alias("_c"),
+        salt.alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    ).repartition(tasks, "_block", "_salt").sortWithinPartitions("_block", F.desc("_n"))
+    kept = spread.drop("_salt", "_s", "_c")
+    kind = StructType([*kept.schema.fields, *(StructField(c, ArrayType(DoubleType())) for c in ("_s", "_c"))])
+    drawn = spread.drop("_salt").mapInArrow(_drawn_sums(seed, resamples, chunk), kind)
+    sums = drawn.select(*keys, "_block", F.posexplode(F.arrays_zip("_s", "_c")).alias("_at", "_sum")).select(
+        *keys, (F.col("_block") * REPLICATES_PER_BLOCK + F.col("_at") + 1).alias("_rep"), "_sum.*"
     )
-    means = _array_means(groups, keys, resamples, seed)
-    if not has_large:
-        return means
-    big = join_null_safe(rows, large, keys, "left_semi")
-    return means.unionByName(_chunk_means(big, keys, order, resamples, seed, chunk))
+    if place != order:
+        # A null value drawn in any piece makes the replicate's sum null, as in a group of one piece.
+        whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)).alias(c)
+        sums = sums.groupBy(*keys, "_rep").agg(whole("_s"), whole("_c"))
+    return sums.select(*keys, "_rep", F.coalesce(F.try_divide("_s", "_c"), F.lit(0.0)).alias("_mean"))
 
 
 def paired_bootstrap_interval(

@@ -5,7 +5,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright.operators import resample as B
 
@@ -47,20 +49,74 @@ def test_planted_link_is_found_and_its_shuffle_is_not(linked):
     assert verdict(broken)["real_auc"] < verdict(linked)["real_auc"] - 0.1
 
 
-def test_chunks_give_the_means_of_whole_arrays(spark):
+def _means(rows, n_reps, seed, **options):
+    return {(r["k"], r["_rep"]): r["_mean"] for r in B.bootstrap_means(rows, ["k"], "task", "d", n_reps, seed, **options).collect()}
+
+
+def _plain_means(values, reps, seed, chunk):
+    """Replicate means of one group by the stated rule: hashed index draws up to `chunk` rows, a walk of the whole tree beyond."""
+    n, made = len(values), {}
+    if n <= chunk:
+        draw = lambda rep, slot: int(hashlib.md5(f"{seed}:{rep}:{slot}".encode()).hexdigest()[:15], 16) % n
+        return {rep: sum(values[draw(rep, slot)] for slot in range(1, n + 1)) / n for rep in range(1, reps + 1)}
+    generator = lambda *parts: np.random.Generator(np.random.Philox(key=int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest(), 16)))
+    for first in range(1, reps + 1, 128):
+        width = min(128, reps - first + 1)
+        sums, held = [0.0] * width, [0] * width
+
+        def walk(low, high, counts):
+            if high - low > 1:
+                middle = (low + high) // 2
+                left = [x for k in range(low, middle) for x in range(k * chunk, min(n, (k + 1) * chunk))]
+                all_rows = [x for k in range(low, high) for x in range(k * chunk, min(n, (k + 1) * chunk))]
+                taken = generator("split", seed, n, first, low, high).binomial(counts, len(left) / len(all_rows))
+                walk(low, middle, taken)
+                walk(middle, high, counts - taken)
+                return
+            part = values[low * chunk : (low + 1) * chunk]
+            at = iter(generator("draw", seed, n, first, low).integers(0, len(part), int(counts.sum())).tolist())
+            for i, count in enumerate(counts.tolist()):
+                held[i] += count
+                sums[i] += sum(part[next(at)] for _ in range(count))
+
+        walk(0, -(-n // chunk), np.full(width, n))
+        assert held == [n] * width
+        made.update({first + i: sums[i] / n for i in range(width)})
+    return made
+
+
+@pytest.mark.parametrize("chunk", [4096, 39, 4])
+def test_pieces_of_a_group_follow_the_plain_walk(spark, chunk):
     rng = random.Random(8)
-    rows = spark.createDataFrame([(k, i, rng.gauss(1, 2)) for k, n in (("a", 40), (None, 23), ("c", 7)) for i in range(n)], "k string, task long, d double")
-    read = lambda **o: {(r["k"], r["_rep"]): r["_mean"] for r in B.bootstrap_means(rows, ["k"], "task", "d", 50, 0, **o).collect()}
-    whole = read()
-    assert len(whole) == 150 and read(chunk=39) == pytest.approx(whole) and read(chunk=4) == pytest.approx(whole)
+    groups = {k: [rng.gauss(1, 2) for _ in range(n)] for k, n in (("a", 40), (None, 23), ("c", 7), ("d", 1))}
+    rows = spark.createDataFrame([(k, i, v) for k, values in groups.items() for i, v in enumerate(values)], "k string, task long, d double")
+    expected = {(k, rep): m for k, values in groups.items() for rep, m in _plain_means(values, 150, 7, chunk).items()}
+    assert _means(rows, 150, 7, chunk=chunk) == pytest.approx(expected)
 
 
-def test_a_large_group_is_a_plain_index_bootstrap(spark):
-    n, seed = 5000, 3
+def test_a_group_of_a_hundred_thousand_rows(spark):
+    n, seed = 100_000, 3
+    values = [math.sin(i) + (i % 1000 == 0) for i in range(n)]
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("task"), (F.sin("id") + (F.col("id") % 1000 == 0).cast("int")).alias("d"))
+    got = _means(rows, 3, seed)
+    assert {rep: m for (_, rep), m in got.items()} == pytest.approx(_plain_means(values, 3, seed, B.CHUNK))
+
+
+def test_replicates_of_a_large_group_spread_as_an_index_bootstrap_does(spark):
+    n = 9000
     values = [math.sin(i) for i in range(n)]
-    got = {r["_rep"]: r["_mean"] for r in B.bootstrap_means(spark.createDataFrame([("a", *v) for v in enumerate(values)], "k string, task long, d double"), ["k"], "task", "d", 3, seed).collect()}
-    draw = lambda rep, slot: int(hashlib.md5(f"{seed}:{rep}:{slot}".encode()).hexdigest()[:15], 16) % n
-    assert got == pytest.approx({rep: sum(values[draw(rep, slot)] for slot in range(1, n + 1)) / n for rep in (1, 2, 3)})
+    rows = spark.createDataFrame([("a", *v) for v in enumerate(values)], "k string, task long, d double")
+    means = np.array(list(_means(rows, 2000, 5, chunk=1000).values()))
+    error = np.std(values) / math.sqrt(n)
+    assert abs(means.mean() - np.mean(values)) < 5 * error / math.sqrt(2000)
+    assert means.std() == pytest.approx(error, rel=0.08)
+
+
+def test_a_null_value_drawn_makes_the_replicate_zero_at_every_size(spark):
+    values = [1.0, None, 3.0, 5.0, 7.0]
+    rows = spark.createDataFrame([("a", *v) for v in enumerate(values)], "k string, task long, d double")
+    for chunk in (10, 2):
+        assert {m == 0 for m in _means(rows, 60, 1, chunk=chunk).values()} == {True, False}
 
 
 def test_long_gate_arrays_have_the_bound_of_short_ones(spark, monkeypatch):
