@@ -54,8 +54,8 @@ def draw_positions(sizes: DataFrame, resamples: int, seed: int | str) -> DataFra
 def index_draws(seed: int | str, first: int, replicates: int, slots: int) -> np.ndarray:
     """`functions.draws.hash_key(seed, replicate, slot)` for slots 1.. of the replicates from `first`, one row each."""
     names = [str(slot).encode() for slot in range(1, slots + 1)]
-    digests = (hashlib.md5(f"{seed}:{replicate}:".encode() + name).digest() for replicate in range(first, first + replicates) for name in names)
-    words = np.frombuffer(b"".join(digests), ">u8")[::2]
+    starts = [f"{seed}:{replicate}:".encode() for replicate in range(first, first + replicates)]
+    words = np.frombuffer(b"".join([hashlib.md5(start + name).digest() for start in starts for name in names]), ">u8")[::2]
     return (words >> np.uint64(4)).astype(np.int64).reshape(replicates, slots)
 
 

@@ -13,7 +13,7 @@ from foldwright.operators.columns import relative_gain
 from foldwright.operators.metrics import kendall_tau_b
 from foldwright.operators.ordering import join_null_safe, prefix_by_key
 from foldwright.operators.text import proposal_similarity
-from foldwright.session import cut_lineage
+from foldwright.session import cut_lineage, scratch_path
 
 # Resource scales, gain penalties, quality and final-choice weights, decision impacts.
 COST_SCALES = {"cpu_hours": 10.0, "gpu_hours": 5.0, "wall_hours": 10.0, "llm_tokens": 100_000.0, "monetary_cost": 25.0}
@@ -326,24 +326,84 @@ def falsification_targets(hypotheses: DataFrame, run: str) -> DataFrame:
     )
 
 
+def _end_of_chains(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, depends_on, weight, floor) moved to the end of their chain by doubling.
+
+    A pointer states level = max(floor, level of depends_on + weight); two of them in a row compose to one. The
+    round count is the logarithm of the longest chain; pointers that still move after as many doublings as the
+    table can need form a cycle.
+    """
+    limit = pointers.count().bit_length() + 1
+    for _ in range(limit):
+        further = pointers.select(
+            F.col("node").alias("depends_on"), F.col("depends_on").alias("_next"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor")
+        )
+        joined = pointers.join(further, "depends_on", "left")
+        moved = cut_lineage(joined.select(
+            "node", F.coalesce("_next", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
+            F.greatest("floor", F.col("_floor") + F.col("weight")).alias("floor"), F.col("_next").isNotNull().alias("moved"),
+        ))
+        pointers = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return pointers
+    raise ContractError("the dependency graph has a cycle")
+
+
 def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Topological level of every node of `depends_on` edges (JOI21).
 
-    Levels are peeled: a node is placed once all it depends on is. A round that places nothing while
-    nodes remain means a cycle. Each round is cut to the shared folder.
+    A round places the nodes that wait for nothing. Rounds 0, 1, 3, 7 and so on also contract all chains: a node that
+    waits for one other is replaced by a weighted edge to the end of its chain, found by pointer doubling. So a
+    chain takes a logarithmic number of joins, and only nodes that wait for two or more ends cost rounds of their own.
+    Contracted nodes get their levels from their ends, latest first. Every table is written to the shared folder,
+    the levels and the contracted nodes each to one table with a folder per round. Nothing to place means a cycle.
     """
-    pending = cut_lineage(edges.select("node", "depends_on").distinct())
-    waiting = cut_lineage(nodes.select("node").distinct())
-    placed = None
-    for level in itertools.count():
-        if waiting.isEmpty():
-            break
-        ready = waiting.join(pending.select("node").distinct(), "node", "left_anti")
-        ready = cut_lineage(ready)
+    spark = nodes.sparkSession
+    kind = nodes.select("node").schema["node"].dataType.simpleString()
+    placed, held = scratch_path(spark, "levels"), scratch_path(spark, "contracted")
+    levels = lambda: spark.read.schema(f"node {kind}, level long").option("recursiveFileLookup", "true").parquet(placed)
+    waiting = nodes.select("node", F.lit(0).cast("long").alias("floor")).distinct()
+    links = edges.select("node", "depends_on").distinct().join(waiting.select("node"), "node", "left_semi")
+    links = cut_lineage(links.withColumn("weight", F.lit(1).cast("long")))
+    if not links.join(waiting.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti").isEmpty():
+        raise ContractError("a dependency is not a node")
+    waits = links.groupBy("node").agg(F.count(F.lit(1)).alias("waits"))
+    waiting = cut_lineage(waiting.join(waits, "node", "left").fillna(0, ["waits"]))
+    if waiting.isEmpty():
+        return waiting.select("node", F.col("floor").alias("level"))
+    contracted = 0
+    for number in itertools.count():
+        ready = waiting.filter("waits = 0").select("node", F.col("floor").alias("level"))
         if ready.isEmpty():
             raise ContractError("the dependency graph has a cycle")
-        layer = ready.withColumn("level", F.lit(level).cast("long"))
-        placed = layer if placed is None else placed.unionByName(layer)
-        waiting = cut_lineage(waiting.join(ready, "node", "left_anti"))
-        pending = cut_lineage(pending.join(ready.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti"))
-    return placed if placed is not None else nodes.select("node", F.lit(0).cast("long").alias("level")).limit(0)
+        ready.write.parquet(f"{placed}/{number}")
+        waiting = waiting.filter("waits > 0")
+        if waiting.isEmpty():
+            break
+        # Edges to what is placed become floors.
+        reached = links.join(ready.withColumnRenamed("node", "depends_on"), "depends_on", "left")
+        reached = cut_lineage(reached.withColumn("least", F.col("level") + F.col("weight")))
+        floors = reached.groupBy("node").agg(F.max("least").alias("least"), F.count_if(F.col("least").isNull()).alias("waits"))
+        waiting = cut_lineage(waiting.drop("waits").join(floors, "node").select("node", F.greatest("floor", "least").alias("floor"), "waits"))
+        links = reached.filter(F.col("least").isNull()).select("node", "depends_on", "weight")
+        single = waiting.filter("waits = 1").select("node", "floor")
+        if number & (number + 1) or single.isEmpty():
+            continue
+        ends = _end_of_chains(links.join(single, "node").select("node", "depends_on", "weight", "floor"))
+        ends.write.parquet(f"{held}/{contracted}")
+        contracted += 1
+        via = ends.select(F.col("node").alias("depends_on"), F.col("depends_on").alias("_end"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor"))
+        others = links.join(single, "node", "left_anti").join(via, "depends_on", "left").select(
+            "node", F.coalesce("_end", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
+            (F.col("_floor") + F.col("weight")).alias("least"),
+        )
+        links = cut_lineage(others.groupBy("node", "depends_on").agg(F.max("weight").alias("weight"), F.max("least").alias("least")))
+        floors = links.groupBy("node").agg(F.max("least").alias("least"), F.count(F.lit(1)).alias("waits"))
+        waiting = waiting.filter("waits <> 1").drop("waits").join(floors, "node", "left")
+        waiting = cut_lineage(waiting.select("node", F.greatest("floor", "least").alias("floor"), F.coalesce("waits", F.lit(0)).alias("waits")))
+        links = links.drop("least")
+    for number in reversed(range(contracted)):
+        ends = spark.read.parquet(f"{held}/{number}")
+        known = ends.join(levels().withColumnRenamed("node", "depends_on"), "depends_on")
+        known.select("node", F.greatest("floor", F.col("level") + F.col("weight")).alias("level")).write.parquet(f"{placed}/end-{number}")
+    return levels()

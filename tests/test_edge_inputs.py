@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright.operators import metrics as M
 from foldwright.operators import oof as O
@@ -45,6 +46,44 @@ def test_dependency_levels_follow_a_chain_to_its_end(spark):
         K.dependency_levels(chain.union(spark.createDataFrame([(0, 11)], "node int, depends_on int")), nodes)
 
 
+def _plain_levels(count, edges):
+    level = {}
+    for node in range(count):  # dependencies have smaller numbers
+        level[node] = max((level[d] + 1 for n, d in edges if n == node), default=0)
+    return level
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_dependency_levels_of_chains_that_fork_and_meet(spark, seed):
+    rng = random.Random(seed)
+    edges = {(k, rng.randrange(max(0, k - 4), k)) for k in range(1, 120) for _ in range(1 if rng.random() < 0.8 else 3)}
+    made = K.dependency_levels(spark.createDataFrame(sorted(edges), "node int, depends_on int"), spark.range(120).select(F.col("id").cast("int").alias("node")))
+    assert sorted(tuple(r) for r in made.collect()) == sorted(_plain_levels(120, edges).items())
+
+
+def test_a_chain_of_ten_thousand_nodes_takes_a_logarithmic_number_of_rounds(spark, monkeypatch):
+    count, cuts, cut = 10_000, [], K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    nodes = spark.range(count).select(F.col("id").alias("node"))
+    chain = nodes.filter("node > 0").select("node", (F.col("node") - 1).alias("depends_on"))
+    made = K.dependency_levels(chain, nodes)
+    assert made.count() == count and made.filter("node <> level").isEmpty()
+    assert len(cuts) < 30
+
+
+def test_dependency_edges_at_the_border(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (1,)], "node int")
+    edges = lambda rows: spark.createDataFrame(rows, "node int, depends_on int")
+    read = lambda e: sorted(tuple(r) for r in K.dependency_levels(e, nodes).collect())
+    assert read(edges([])) == [(1, 0), (2, 0)]
+    # A repeated edge counts once; edges of what is no node do not count.
+    assert read(edges([(2, 1), (2, 1), (9, 8)])) == [(1, 0), (2, 1)]
+    assert K.dependency_levels(edges([(2, 1)]), nodes.limit(0)).count() == 0
+    for wrong in ([(1, 1)], [(2, 7)]):
+        with pytest.raises(ContractError):
+            K.dependency_levels(edges(wrong), nodes)
+
+
 def test_the_later_row_of_one_append_is_the_latest(spark):
     path = scratch_path(spark, "scores-test")
     row = lambda v: ("A", "t", "candidate", {"m": v})
