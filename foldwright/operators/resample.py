@@ -51,6 +51,11 @@ def draw_positions(sizes: DataFrame, resamples: int, seed: int | str) -> DataFra
     return reps.withColumn("_draws", F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), draw))
 
 
+def distinct_draws(sizes: DataFrame, resamples: int, seed: int | str) -> DataFrame:
+    """`draw_positions` with equal draws folded: (_n, _draws, _times)."""
+    return draw_positions(sizes, resamples, seed).groupBy("_n", "_draws").agg(F.count(F.lit(1)).alias("_times"))
+
+
 def index_draws(seed: int | str, first: int, replicates: int, slots: int) -> np.ndarray:
     """`functions.draws.hash_key(seed, replicate, slot)` for slots 1.. of the replicates from `first`, one row each."""
     names = [str(slot).encode() for slot in range(1, slots + 1)]
@@ -366,19 +371,33 @@ def add_array_bounds(
 ) -> DataFrame:
     """RES2 for arrays held in rows: adds `_low_<array>`.
 
-    The draws of a short length form one cell of a small table, joined by length. Arrays of more than a
-    chunk go through rows, with the same draws.
+    The draws of a short length form one cell of a small table, joined by length. Equal draws of a length stand there once
+    with their count, so a short array costs as many means as it has different draws. Arrays of more than a chunk go
+    through rows, with the same draws.
     """
     lengths = df.select(F.explode(F.array(*[F.size(c) for c in arrays])).alias("_n")).distinct()
     longest = lengths.agg(F.max("_n")).first()[0] or 0
-    table = draw_positions(lengths.filter(F.col("_n") <= CHUNK), repetitions, seed).groupBy("_n").agg(F.collect_list("_draws").alias("_all"))
+    drawn = distinct_draws(lengths.filter(F.col("_n") <= CHUNK), repetitions, seed)
+    table = drawn.groupBy("_n").agg(F.collect_list(F.struct("_draws", "_times")).alias("_all"))
+    rank = max(1, min(repetitions, math.ceil((1 - confidence) * repetitions)))
 
     def mean_of(c: str):
-        return lambda draws: F.aggregate(draws, F.lit(0.0), lambda acc, i: acc + F.element_at(c, i)) / F.size(c)
+        def of(e: Column) -> Column:
+            mean = F.aggregate(e["_draws"], F.lit(0.0), lambda acc, i: acc + F.element_at(c, i)) / F.size(c)
+            # Nulls sort last, as in an array of plain means.
+            return F.struct(mean.isNull().alias("gone"), mean.alias("mean"), e["_times"].alias("times"))
+
+        return of
+
+    def ranked(means: Column) -> Column:
+        """The mean at which the counts of the sorted means reach the rank."""
+        start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("at"))
+        step = lambda acc, e: F.struct((acc["below"] + e["times"]).alias("below"), F.when(acc["below"] < rank, e["mean"]).otherwise(acc["at"]).alias("at"))
+        return F.aggregate(F.array_sort(means), start, step, lambda acc: acc["at"])
 
     for c in arrays:
         joined = df.withColumn("_n", F.size(c)).join(table, "_n", "left")
-        bound = nearest_rank(F.transform("_all", mean_of(c)), 1 - confidence)
+        bound = ranked(F.transform("_all", mean_of(c)))
         short = joined.withColumn(f"_low_{c}", bound).drop("_n", "_all")
         if longest > CHUNK:
             values = df.filter(F.size(c) > CHUNK).select(row_id, F.posexplode(c).alias("_at", "_value"))

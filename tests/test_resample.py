@@ -127,6 +127,23 @@ def test_long_gate_arrays_have_the_bound_of_short_ones(spark, monkeypatch):
     assert read() == pytest.approx(short)
 
 
+def test_short_gate_arrays_cost_as_many_means_as_they_have_different_draws(spark):
+    sizes = spark.createDataFrame([(1,), (2,), (3,)], "_n long")
+    folded = {}
+    for r in B.distinct_draws(sizes, 2000, 42).collect():
+        folded.setdefault(r["_n"], []).append(r["_times"])
+    assert {n: sum(times) for n, times in folded.items()} == {1: 2000, 2: 2000, 3: 2000}
+    assert all(len(times) <= n**n for n, times in folded.items())
+    arrays = [[0.1, -0.2, 0.4], [0.3], [0.1, None, 0.2], [0.5, 0.7]]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "id long, v array<double>")
+    made = {r["id"]: r["_low_v"] for r in B.add_array_bounds(rows, "id", ["v"], 0.5, 200).collect()}
+    for i, values in enumerate(arrays):
+        n = len(values)
+        drawn = [[values[at % n] for at in row] for row in B.index_draws(42, 1, 200, n)]
+        means = [None if None in d else sum(d) / n for d in drawn]
+        assert made[i] == sorted(means, key=lambda m: (m is None, m or 0.0))[99]
+
+
 def test_twelve_tasks_and_two_points_do_not_separate(spark):
     noise = [math.sin(i * 2.399) * 20 for i in range(12)]
     rows = [("x", f"t{i}", 50 + n) for i, n in enumerate(noise)] + [("y", f"t{i}", 52 + math.cos(i * 1.7) * 20 + n) for i, n in enumerate(noise)]
