@@ -14,6 +14,7 @@ from foldwright.functions.scalars import BELIEF_RANGE, canonical_fingerprint
 from foldwright.operators.metrics import forecast_calibration
 from foldwright.operators.ordering import (
     fold_before,
+    hot_keys,
     join_null_safe,
     number_by_key,
     prefix_by_key,
@@ -239,10 +240,12 @@ def budget_running_totals(
     A sum held at zero equals the plain running sum plus its deepest shortfall so far, so two
     prefix passes replace the sequential fold.
     """
-    summed = prefix_by_key(deltas, [run], [sequence], {f"_s_{f}": F.col(f) for f in fields}, max_rows=max_rows)
+    # Both passes order the same rows, so one check of their sizes is enough.
+    small = hot_keys(deltas, [run], max_rows)[1] == 0
+    summed = prefix_by_key(deltas, [run], [sequence], {f"_s_{f}": F.col(f) for f in fields}, max_rows=max_rows, known_small=small)
     summed = summed.withColumns({f"_s_{f}": F.col(f"_s_{f}") + F.col(f) for f in fields})
     floored = prefix_by_key(
-        summed, [run], [sequence], maxima={f"_m_{f}": -F.col(f"_s_{f}") for f in fields}, max_rows=max_rows
+        summed, [run], [sequence], maxima={f"_m_{f}": -F.col(f"_s_{f}") for f in fields}, max_rows=max_rows, known_small=small
     )
     return floored.select(
         run, sequence,

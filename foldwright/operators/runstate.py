@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from foldwright.operators.ordering import join_null_safe, number_by_key, prefix_by_key
 from foldwright.operators.runlog import budget_running_totals
+from foldwright.session import cut_lineage
 
 _COST = "struct<cpu_hours:double,gpu_hours:double,wall_hours:double,llm_tokens:double,monetary_cost:double>"
 #: The payload fields that the folds read.
@@ -61,11 +62,15 @@ def _of_each(ids: Column, make) -> Column:
     return F.coalesce(F.transform(ids, make), F.array().cast(f"array<{_PATCH}>"))
 
 
-def _spread(events: DataFrame, rules: Mapping[tuple[str, ...], list[Column]]) -> DataFrame:
-    """One row per patch; a rule gives arrays of patches for its event types."""
+def _patches_of(rules: Mapping[tuple[str, ...], list[Column]]) -> Column:
+    """The array of an event's patches; a rule gives arrays of patches for its event types."""
     none = F.array().cast(f"array<{_PATCH}>")
-    chosen = reduce(lambda rest, rule: F.when(F.col("event_type").isin(*rule[0]), F.concat(*rule[1])).otherwise(rest), rules.items(), none)
-    return events.select("run_id", "sequence", F.explode(chosen).alias("x")).select("run_id", "sequence", "x.*")
+    return reduce(lambda rest, rule: F.when(F.col("event_type").isin(*rule[0]), F.concat(*rule[1])).otherwise(rest), rules.items(), none)
+
+
+def _spread(events: DataFrame, rules: Mapping[tuple[str, ...], list[Column]]) -> DataFrame:
+    """One row per patch."""
+    return events.select("run_id", "sequence", F.explode(_patches_of(rules)).alias("x")).select("run_id", "sequence", "x.*")
 
 
 def state_patches(events: DataFrame) -> DataFrame:
@@ -172,24 +177,27 @@ def usage_deltas(events: DataFrame, *, max_rows: int | None = None) -> DataFrame
         "EXPERIMENT_RETRY_SCHEDULED": cost(p["charged_cost"]),
         "RESOURCE_RECONCILED": {f: F.coalesce(given[f], zero) - F.coalesce(taken[f], zero) for f in given},
     }
-    plain = events.filter(kind.isin(*direct)).select(
-        "run_id", "sequence",
-        *[F.coalesce(reduce(lambda rest, e: F.when(kind == e[0], e[1].get(f, zero)).otherwise(rest), direct.items(), zero), zero).alias(f) for f in USAGE],
+    proposal = {"experiments": F.lit(1.0), **cost(p["estimated_cost"])}
+    amounts = {**direct, "EXPERIMENT_PROPOSED": proposal}
+    # The payloads are read once; every step below reads this narrow table.
+    read = cut_lineage(events.filter(kind.isin(*amounts, "EXPERIMENT_SELECTED")).select(
+        "run_id", "sequence", "event_type",
+        *[F.coalesce(reduce(lambda rest, e: F.when(kind == e[0], e[1].get(f, zero)).otherwise(rest), amounts.items(), zero), zero).alias(f) for f in USAGE],
+        F.when(kind == "EXPERIMENT_PROPOSED", p["id"]).alias("id"), F.when(kind == "EXPERIMENT_SELECTED", p["selected_experiment_ids"]).alias("selected"),
+    ))
+    plain = read.filter(kind.isin(*direct)).select("run_id", "sequence", *USAGE)
+    proposed = read.filter(kind == "EXPERIMENT_PROPOSED").select(
+        "run_id", "id", "sequence", F.lit(0).cast("long").alias("place"), F.col("sequence").alias("_proposed")
     )
-    proposed = events.filter(kind == "EXPERIMENT_PROPOSED").select(
-        "run_id", F.col("p.id").alias("id"), "sequence", F.lit(0).cast("long").alias("place"), F.col("sequence").alias("_proposed")
-    )
-    chosen = events.filter(kind == "EXPERIMENT_SELECTED").select("run_id", "sequence", F.posexplode("p.selected_experiment_ids").alias("place", "id"))
+    chosen = read.filter(kind == "EXPERIMENT_SELECTED").select("run_id", "sequence", F.posexplode("selected").alias("place", "id"))
     chosen = chosen.select("run_id", "id", "sequence", F.col("place").cast("long").alias("place"), F.lit(None).cast("long").alias("_proposed"))
     met = prefix_by_key(proposed.unionByName(chosen), ["run_id", "id"], ["sequence", "place"], maxima={"_latest": F.col("_proposed")}, max_rows=max_rows)
     charged = met.filter(F.col("_proposed").isNull() & F.col("_latest").isNotNull()).select("run_id", "sequence", F.col("_latest").alias("_at"))
-    estimates = events.filter(kind == "EXPERIMENT_PROPOSED").select(
-        "run_id", F.col("sequence").alias("_at"), F.lit(1.0).alias("experiments"), *[F.coalesce(c, zero).alias(f) for f, c in cost(p["estimated_cost"]).items()]
-    )
+    estimates = read.filter(kind == "EXPERIMENT_PROPOSED").select("run_id", F.col("sequence").alias("_at"), *USAGE)
     selections = join_null_safe(charged, estimates, ["run_id", "_at"], "inner").select("run_id", "sequence", *USAGE)
     summed = plain.unionByName(selections).groupBy("run_id", "sequence").agg(*[F.sum(f).alias(f) for f in USAGE])
-    begun = events.filter(kind == "RUN_CREATED").groupBy("run_id").agg(F.max("sequence").alias("_from"))
-    return join_null_safe(summed, begun, ["run_id"], "inner").filter(F.col("sequence") >= F.col("_from")).drop("_from")
+    begun = read.filter(kind == "RUN_CREATED").groupBy("run_id").agg(F.max("sequence").alias("_from"))
+    return cut_lineage(join_null_safe(summed, begun, ["run_id"], "inner").filter(F.col("sequence") >= F.col("_from")).drop("_from"))
 
 
 def run_state(events: DataFrame, *, max_rows: int | None = None) -> DataFrame:
@@ -199,8 +207,9 @@ def run_state(events: DataFrame, *, max_rows: int | None = None) -> DataFrame:
     A run without a creation event has one row, the field `error`.
     """
     log = parsed(events)
-    patches = state_patches(log)
-    created = log.groupBy("run_id").agg(F.max(F.col("event_type") == "RUN_CREATED").alias("_created"))
+    # Three folds read the patches; the payloads are parsed once for all of them.
+    patches = cut_lineage(state_patches(log))
+    created = cut_lineage(events.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.max(F.col("event_type") == "RUN_CREATED").alias("_created")))
     totals = budget_running_totals(usage_deltas(log, max_rows=max_rows), "run_id", "sequence", USAGE, max_rows=max_rows)
     final = totals.groupBy("run_id").agg(F.max_by(F.struct(*USAGE), "sequence").alias("u"))
     none, run = F.lit(None).cast("string"), F.col("run_id")
@@ -228,8 +237,8 @@ _KINDS = {
 }
 
 
-def entity_patches(events: DataFrame) -> DataFrame:
-    """The patches of the twelve entity tables and the violations (STR2) of parsed events."""
+def entity_patches() -> Column:
+    """The patches of a parsed event for the twelve entity tables and the violations (STR2)."""
     p, run = F.col("p"), F.col("run_id")
 
     def row(entity: str, id: Column, label: Column, number: Column) -> Column:
@@ -265,7 +274,7 @@ def entity_patches(events: DataFrame) -> DataFrame:
         ("RUN_FINALIZED",): [F.array(_patch("runs", run, "phase", "change", F.lit("finalized")), _patch("runs", run, "status", "change", F.lit("completed")))],
         ("VIOLATION_DETECTED",): [row("violations", F.col("event_id"), none, F.lit(None).cast("double")), change("runs", F.array(run), "status", "blocked")],
     }
-    return _spread(events, rules)
+    return _patches_of(rules)
 
 
 def entity_tables(events: DataFrame) -> DataFrame:
@@ -273,9 +282,11 @@ def entity_tables(events: DataFrame) -> DataFrame:
 
     Later rows of one id replace earlier ones; changes reach only rows that exist; the first event of an id counts.
     """
-    log = parsed(events)
-    log = log.groupBy("event_id").agg(F.min_by(F.struct("run_id", "sequence", "event_type", "occurred_at", "p"), F.struct("run_id", "sequence")).alias("e")).select("event_id", "e.*")
-    folded = fold_patches(entity_patches(log), ["run_id", "entity", "id", "field"])
+    # Repeats are settled by what an event does, which is far less than its payload.
+    done = parsed(events).select("event_id", F.struct("run_id", "sequence", entity_patches().alias("patches")).alias("e"))
+    first = done.groupBy("event_id").agg(F.min_by("e", F.struct("e.run_id", "e.sequence")).alias("e"))
+    patches = cut_lineage(first.select("e.run_id", "e.sequence", F.explode("e.patches").alias("x")).select("run_id", "sequence", "x.*"))
+    folded = fold_patches(patches, ["run_id", "entity", "id", "field"])
     texts, numbers = ("label", "status", "phase"), ("number", "version", "evidence")
     pick = lambda c, f: F.max(F.when(F.col("field") == f, F.col(c))).alias(f)
     return folded.groupBy("entity", "id", "run_id").agg(*[pick("text", f) for f in texts], *[pick("number", f) for f in numbers])

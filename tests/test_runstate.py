@@ -167,6 +167,14 @@ def test_entity_tables_replace_change_and_ignore_repeats(spark):
     assert {(r.entity, r.id, r.label, r.status) for r in made} == {("experiments", "x", "e", "failed"), ("violations", "v", None, None)}
 
 
+def test_payloads_are_parsed_once_and_repeats_shuffle_no_payload(spark):
+    log = random_log(random.Random(3), "r", 40, created=True)
+    frame = spark.createDataFrame([(*e[:5], json.dumps(e[5])) for e in log], EVENTS)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for made in (R.usage_deltas(R.parsed(frame)), R.run_state(frame), R.entity_tables(frame)):
+        assert "from_json" not in plan(made)
+
+
 def parts(spark, tmp_path, name, batches, schema):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}{k}"))
