@@ -338,7 +338,7 @@ def _end_of_chains(pointers: DataFrame) -> DataFrame:
         further = pointers.select(
             F.col("node").alias("depends_on"), F.col("depends_on").alias("_next"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor")
         )
-        joined = pointers.join(further, "depends_on", "left")
+        joined = pointers.join(further.hint("merge"), "depends_on", "left")
         moved = cut_lineage(joined.select(
             "node", F.coalesce("_next", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
             F.greatest("floor", F.col("_floor") + F.col("weight")).alias("floor"), F.col("_next").isNotNull().alias("moved"),
@@ -355,7 +355,8 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     A round places the nodes that wait for nothing. Rounds 0, 1, 3, 7 and so on also contract all chains: a node that
     waits for one other is replaced by a weighted edge to the end of its chain, found by pointer doubling. So a
     chain takes a logarithmic number of joins, and only nodes that wait for two or more ends cost rounds of their own.
-    Contracted nodes get their levels from their ends, latest first. Every table is written to the shared folder,
+    Contracted nodes get their levels from their ends, latest first. All joins sort: dozens of small broadcasts would
+    gather in the driver, each a hash table of a round's nodes. Every table is written to the shared folder,
     the levels and the contracted nodes each to one table with a folder per round. Nothing to place means a cycle.
     """
     spark = nodes.sparkSession
@@ -363,12 +364,12 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     placed, held = scratch_path(spark, "levels"), scratch_path(spark, "contracted")
     levels = lambda: spark.read.schema(f"node {kind}, level long").option("recursiveFileLookup", "true").parquet(placed)
     waiting = nodes.select("node", F.lit(0).cast("long").alias("floor")).distinct()
-    links = edges.select("node", "depends_on").distinct().join(waiting.select("node"), "node", "left_semi")
+    links = edges.select("node", "depends_on").distinct().join(waiting.select("node").hint("merge"), "node", "left_semi")
     links = cut_lineage(links.withColumn("weight", F.lit(1).cast("long")))
-    if not links.join(waiting.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti").isEmpty():
+    if not links.join(waiting.withColumnRenamed("node", "depends_on").hint("merge"), "depends_on", "left_anti").isEmpty():
         raise ContractError("a dependency is not a node")
     waits = links.groupBy("node").agg(F.count(F.lit(1)).alias("waits"))
-    waiting = cut_lineage(waiting.join(waits, "node", "left").fillna(0, ["waits"]))
+    waiting = cut_lineage(waiting.join(waits.hint("merge"), "node", "left").fillna(0, ["waits"]))
     if waiting.isEmpty():
         return waiting.select("node", F.col("floor").alias("level"))
     contracted = 0
@@ -381,29 +382,29 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if waiting.isEmpty():
             break
         # Edges to what is placed become floors.
-        reached = links.join(ready.withColumnRenamed("node", "depends_on"), "depends_on", "left")
+        reached = links.join(ready.withColumnRenamed("node", "depends_on").hint("merge"), "depends_on", "left")
         reached = cut_lineage(reached.withColumn("least", F.col("level") + F.col("weight")))
         floors = reached.groupBy("node").agg(F.max("least").alias("least"), F.count_if(F.col("least").isNull()).alias("waits"))
-        waiting = cut_lineage(waiting.drop("waits").join(floors, "node").select("node", F.greatest("floor", "least").alias("floor"), "waits"))
+        waiting = cut_lineage(waiting.drop("waits").join(floors.hint("merge"), "node").select("node", F.greatest("floor", "least").alias("floor"), "waits"))
         links = reached.filter(F.col("least").isNull()).select("node", "depends_on", "weight")
         single = waiting.filter("waits = 1").select("node", "floor")
         if number & (number + 1) or single.isEmpty():
             continue
-        ends = _end_of_chains(links.join(single, "node").select("node", "depends_on", "weight", "floor"))
+        ends = _end_of_chains(links.join(single.hint("merge"), "node").select("node", "depends_on", "weight", "floor"))
         ends.write.parquet(f"{held}/{contracted}")
         contracted += 1
         via = ends.select(F.col("node").alias("depends_on"), F.col("depends_on").alias("_end"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor"))
-        others = links.join(single, "node", "left_anti").join(via, "depends_on", "left").select(
+        others = links.join(single.hint("merge"), "node", "left_anti").join(via.hint("merge"), "depends_on", "left").select(
             "node", F.coalesce("_end", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
             (F.col("_floor") + F.col("weight")).alias("least"),
         )
         links = cut_lineage(others.groupBy("node", "depends_on").agg(F.max("weight").alias("weight"), F.max("least").alias("least")))
         floors = links.groupBy("node").agg(F.max("least").alias("least"), F.count(F.lit(1)).alias("waits"))
-        waiting = waiting.filter("waits <> 1").drop("waits").join(floors, "node", "left")
+        waiting = waiting.filter("waits <> 1").drop("waits").join(floors.hint("merge"), "node", "left")
         waiting = cut_lineage(waiting.select("node", F.greatest("floor", "least").alias("floor"), F.coalesce("waits", F.lit(0)).alias("waits")))
         links = links.drop("least")
     for number in reversed(range(contracted)):
         ends = spark.read.parquet(f"{held}/{number}")
-        known = ends.join(levels().withColumnRenamed("node", "depends_on"), "depends_on")
+        known = ends.join(levels().withColumnRenamed("node", "depends_on").hint("merge"), "depends_on")
         known.select("node", F.greatest("floor", F.col("level") + F.col("weight")).alias("level")).write.parquet(f"{placed}/end-{number}")
     return levels()

@@ -71,6 +71,20 @@ def test_a_chain_of_ten_thousand_nodes_takes_a_logarithmic_number_of_rounds(spar
     assert len(cuts) < 30
 
 
+def test_dependency_rounds_broadcast_nothing(spark, monkeypatch):
+    joins, cut = [], K.cut_lineage
+
+    def noted(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.extend(line for line in plan.splitlines() if "Join " in line)
+        return cut(df)
+
+    monkeypatch.setattr(K, "cut_lineage", noted)
+    edges = spark.createDataFrame([(k, k // d) for k in range(1, 40) for d in (2, 3)], "node long, depends_on long")
+    K.dependency_levels(edges, spark.range(40).withColumnRenamed("id", "node"))
+    assert joins and all("strategy=merge" in line for line in joins)
+
+
 def test_dependency_edges_at_the_border(spark):
     nodes = spark.createDataFrame([(1,), (2,), (1,)], "node int")
     edges = lambda rows: spark.createDataFrame(rows, "node int, depends_on int")
