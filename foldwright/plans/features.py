@@ -301,18 +301,16 @@ def _(t):
     return _belief(t).select("event_id", rounded(posterior).alias("posterior"), rounded(strength).alias("strength"))
 
 
-def _gain_term(w: str, p: str) -> str:
-    return f"CASE WHEN {w} * {p} > 0 THEN {w} * {p} * log2({p} / (q * a + (1 - q) * b)) ELSE 0 END"
+def _gain_term(w: str, p: str, mixed: str) -> str:
+    return f"CASE WHEN {w} * {p} > 0 AND {mixed} > 0 THEN {w} * {p} * (ln({p} / {mixed}) / ln(2)) ELSE 0 END"
 
 
 @query(
     "sca3_information_gain",
-    f"""WITH o AS (SELECT event_id, user_id / 150.0::DOUBLE AS q, unnest([
-          {{'a': (event_id % 9) / 10.0::DOUBLE, 'b': (event_id % 4) / 5.0::DOUBLE}},
-          {{'a': 1 - (event_id % 9) / 10.0::DOUBLE, 'b': 1 - (event_id % 4) / 5.0::DOUBLE}}]) AS s FROM events),
-      e AS (SELECT event_id, q, s.a AS a, s.b AS b FROM o)
-    SELECT event_id, {r6(f"greatest(0, sum({_gain_term('q', 'a')} + {_gain_term('(1 - q)', 'b')}))")} AS gain
-    FROM e GROUP BY event_id""",
+    # Terms are added in the operator's order, and only where the mixed probability is positive, as the operator says.
+    f"""WITH e AS (SELECT event_id, user_id / 150.0::DOUBLE AS q, (event_id % 9) / 10.0::DOUBLE AS a, (event_id % 4) / 5.0::DOUBLE AS b FROM events),
+      m AS (SELECT *, q * a + (1 - q) * b AS m1, q * (1 - a) + (1 - q) * (1 - b) AS m2 FROM e)
+    SELECT event_id, {r6(f"greatest(0, {_gain_term('q', 'a', 'm1')} + {_gain_term('(1 - q)', 'b', 'm1')} + {_gain_term('q', '(1 - a)', 'm2')} + {_gain_term('(1 - q)', '(1 - b)', 'm2')})")} AS gain FROM m""",
 )
 def _(t):
     outcomes = F.array(
