@@ -384,7 +384,7 @@ def _(t):
     f"""WITH {TWO_PART}, s AS (SELECT round(pm * pn, 2) AS s, n0 + n1 + n2 AS n, CASE WHEN state = 3 THEN n0 ELSE 0 END AS k FROM m),
       b AS (SELECT s, sum(n) AS n FROM s GROUP BY s), x AS (SELECT s, sum(n) OVER (ORDER BY s DESC) AS upto FROM b),
       q AS (SELECT sum(k) AS minus, sum(n) AS rows FROM s)
-    SELECT CAST(minus AS BIGINT) AS true_minus, {r6("CASE WHEN 2 * minus >= rows THEN 0 ELSE (SELECT min(s) FROM x WHERE upto <= 2 * minus) END")} AS threshold FROM q""",
+    SELECT CAST(minus AS BIGINT) AS true_minus, {r6("CASE WHEN minus = 0 THEN 'inf'::DOUBLE WHEN 2 * minus >= rows THEN 0 ELSE coalesce((SELECT min(s) FROM x WHERE upto <= 2 * minus), 'inf'::DOUBLE) END")} AS threshold FROM q""",
 )
 def _(t):
     model = R.two_part_model(_cells(t), "state", ["c0", "c1"], "label")
