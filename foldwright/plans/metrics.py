@@ -72,9 +72,10 @@ def _(t):
     )
 
 
-PAIRS_SQL = """s AS (SELECT p_partkey AS id, avg(l_quantity) AS x, avg(l_discount) AS y
+# Means are rounded half up from exact sums of hundredths, so no order of adding and no engine's own rounding of doubles decides a tie.
+PAIRS_SQL = """s AS (SELECT p_partkey AS id, sum(CAST(round(l_quantity * 100) AS BIGINT)) AS x, sum(CAST(round(l_discount * 100) AS BIGINT)) AS y, count(*) AS n
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey),
-      q AS (SELECT round(x, 2) AS x, round(y, 3) AS y, id FROM s),
+      q AS (SELECT CAST((2 * x + n) // (2 * n) AS BIGINT) AS x, CAST((20 * y + n) // (2 * n) AS BIGINT) AS y, id FROM s),
       pairs AS (SELECT sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM q a JOIN q b ON a.id < b.id),
       c AS (SELECT count(*) FILTER (sx * sy > 0) AS con, count(*) FILTER (sx * sy < 0) AS dis,
         count(*) FILTER (sx = 0 AND sy <> 0) AS tl, count(*) FILTER (sy = 0 AND sx <> 0) AS tr FROM pairs)"""
@@ -83,9 +84,9 @@ PAIRS_SQL = """s AS (SELECT p_partkey AS id, avg(l_quantity) AS x, avg(l_discoun
 def _part_scores(t):
     lines = t.lineitem.select("l_partkey", "l_quantity", "l_discount")
     joined = lines.join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy("p_partkey").agg(
-        F.round(F.avg("l_quantity"), 2).alias("x"), F.round(F.avg("l_discount"), 3).alias("y")
-    )
+    hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    sums = joined.groupBy("p_partkey").agg(hundredths("l_quantity").alias("x"), hundredths("l_discount").alias("y"), F.count(F.lit(1)).alias("n"))
+    return sums.select("p_partkey", F.expr("(2 * x + n) div (2 * n)").alias("x"), F.expr("(20 * y + n) div (2 * n)").alias("y"))
 
 
 @query(
