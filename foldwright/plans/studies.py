@@ -321,13 +321,14 @@ def _(t):
     return made.select("arm", "runs", *[rounded(c).alias(c) for c in made.columns[2:]])
 
 
-ARMS = "arms AS (SELECT ['B', 'BP', 'C'][user_id % 3 + 1] AS arm, user_id // 3 AS seed, avg(value) AS score, max(value) AS local FROM events GROUP BY ALL)"
+# Scores are means of exact sums: a sum of doubles depends on its order, and equal scores would no longer tie.
+ARMS = "arms AS (SELECT ['B', 'BP', 'C'][user_id % 3 + 1] AS arm, user_id // 3 AS seed, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(value) AS score, max(value) AS local FROM events GROUP BY ALL)"
 
 
 def _arms(t):
     arm = F.element_at(F.array(F.lit("B"), F.lit("BP"), F.lit("C")), (F.col("user_id") % 3 + 1).cast("int"))
     return t.events.groupBy(arm.alias("arm"), F.floor(F.col("user_id") / 3).alias("seed")).agg(
-        F.avg("value").alias("score"), F.max("value").alias("local")
+        (F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count("value")).alias("score"), F.max("value").alias("local")
     )
 
 
