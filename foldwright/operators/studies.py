@@ -267,14 +267,14 @@ def arm_summary(cards: DataFrame, arm: str, metrics: Sequence[str] = ("tsdr", "t
 def sign_test_p(positive: Column, total: Column) -> Column:
     """Exact two-sided sign test from the smaller tail (AGG29); 1 when nothing differs."""
     tail = F.least(positive, total - positive)
-    start = F.struct(F.lit(0.0).alias("sum"), F.exp(-total * F.log(F.lit(2.0))).alias("term"))
+    # The sum is kept in units of its latest term and that term as a logarithm: 2 ** -total leaves the range of doubles.
+    start = F.struct(F.lit(1.0).alias("sum"), (-total * F.log(F.lit(2.0))).alias("log"))
+    ratio = lambda i: (total - i + 1) / i
     added = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), tail.cast("long")),
+        F.filter(F.sequence(F.lit(0).cast("long"), tail.cast("long")), lambda i: i > 0),
         start,
-        lambda acc, i: F.struct(
-            (acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * (total - i) / (i + 1)).alias("term")
-        ),
-        lambda acc: acc["sum"],
+        lambda acc, i: F.struct((acc["sum"] / ratio(i) + 1).alias("sum"), (acc["log"] + F.log(ratio(i))).alias("log")),
+        lambda acc: F.exp(acc["log"] + F.log(acc["sum"])),
     )
     return F.when(total > 0, F.least(F.lit(1.0), 2 * added)).otherwise(F.lit(1.0))
 
