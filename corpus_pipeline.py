@@ -15,6 +15,7 @@ from foldwright.llm.line_spread import remove_spread_lines
 from foldwright.llm.near_copies import first_of_near_copies
 from foldwright.llm.packing import pack
 from foldwright.llm.queries import END_ID, TOKENIZER
+from foldwright.llm.simhash import first_of_groups
 from foldwright.llm.toxicity import without_toxic
 
 
@@ -31,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles at a similarity of 0.8 or more."""
-    return first_of_near_copies(docs)
+    """One document of each group of near copies: by SimHash, at 3 differing bits or fewer, then, of what is left, by
+    five-word shingles at a similarity of 0.8 or more, which finds copies whose fingerprints lie further apart."""
+    return first_of_near_copies(stored(first_of_groups(docs), "simhash-kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

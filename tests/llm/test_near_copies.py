@@ -98,3 +98,12 @@ def test_ids_of_other_types_null_ids_and_empty_table(spark):
         got = sorted((str(r["doc_id"]), r["text"]) for r in first_of_near_copies(frame).collect())
         assert got == sorted([("7", text), ("9", "other words here now"), ("None", "alone in the text")])
     assert first_of_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_stage_links_by_simhash_first(spark, documents):
+    """Equal fingerprints although the shingle sets share little: the repeated words decide every bit."""
+    often = "alpha beta gamma " * 200
+    texts = [often, often + " ".join(f"word{k}" for k in range(20)), " ".join(f"other{k}" for k in range(60))]
+    assert not similar(shingle_set(texts[0]), shingle_set(texts[1]))
+    kept = corpus_pipeline.simhash_dedup(spark, documents(texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
