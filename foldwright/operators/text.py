@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CLAIM_THRESHOLD = 0.8
 SIGNATURE_THRESHOLD = 0.85
 SIGNATURE_FIELDS = ("target_hypotheses", "data_slice", "operation", "observable", "decision_affected")
 TOKEN_PATTERN = r"[a-z0-9_]+"
+# Most tokens of a part of a set, rows that token frequencies are counted in, tokens handled at once, pairs that go to every task.
+PART_TOKENS, CODE_BUCKETS, BLOCK_TOKENS, BROADCAST_PAIRS = 64, 1 << 16, 1 << 18, 200_000
 
 
 def token_leak_scan(
@@ -102,47 +106,127 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(shared / union)
 
 
-def _rare_first(sets: DataFrame, keys: Sequence[str], tokens: str) -> DataFrame:
-    """Replace a token array by the tokens in rising document frequency (ties by text)."""
-    exploded = sets.select(*keys, F.explode(tokens).alias("_t"))
-    frequency = exploded.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    return (
-        exploded.join(frequency, "_t")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
-        .select(*keys, F.transform("_o", lambda o: o["_t"]).alias(tokens))
-    )
+def _token_codes(tokens: str) -> Column:
+    """The distinct 32-bit codes of a token array, sorted. Equal tokens have one code, so no set distance grows."""
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda x: F.hash(x))))
 
 
-def similar_set_pairs(sets: DataFrame, block: Sequence[str], item: str, tokens: str, threshold: float) -> DataFrame:
-    """All pairs of items in a block with set Jaccard of at least `threshold`: (item_l, item_r, similarity).
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each unsigned value."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _part_numbers(threshold: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set size up to `longest` the two numbers of parts in which sets of that size are compared.
 
-    Sets must be distinct (fold copies first) and not empty. Two sets at the threshold share a token
-    among the first n - ceil(t*n) + 1 of each in any fixed order. With rare tokens first, these
-    prefixes meet seldom; size and position bounds cut the rest before the exact check.
+    Two sizes whose ratio is at least `threshold` have a number in common. Parts hold about 25 to 64 tokens.
     """
-    ordered = cut_lineage(_rare_first(sets, [*block, item], tokens).withColumn("_n", F.size(tokens)))
-    reach = (F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1).cast("int")
-    prefix = ordered.select(
-        *block, item, "_n", F.posexplode(F.slice(tokens, F.lit(1), reach)).alias("_pos", "_t")
-    )
-    left = prefix.select(*block, "_t", F.col(item).alias("_l"), F.col("_n").alias("_ln"), F.col("_pos").alias("_lp"))
-    right = prefix.select(*block, "_t", F.col(item).alias("_r"), F.col("_n").alias("_rn"), F.col("_pos").alias("_rp"))
-    # Overlap both sets need: t/(1+t) of their summed sizes. Tokens before a shared one are lost.
-    needed = F.lit(threshold / (1 + threshold)) * (F.col("_ln") + F.col("_rn")) - 1e-9
-    possible = 1 + F.least(F.col("_ln") - F.col("_lp"), F.col("_rn") - F.col("_rp")) - 1
-    candidates = (
-        left.join(right, [*block, "_t"])
-        .filter(
-            (F.col("_l") < F.col("_r"))
-            & (F.col("_ln") >= threshold * F.col("_rn") - 1e-9)
-            & (F.col("_rn") >= threshold * F.col("_ln") - 1e-9)
+    sizes = np.arange(longest + 1)
+    if threshold < 0.6:
+        return np.ones_like(sizes), np.ones_like(sizes)
+    edges = [1]
+    while edges[-1] <= longest:
+        edges.append(max(edges[-1] + 1, int(edges[-1] / threshold**3)))
+    edges = np.array(edges)
+    # A window begins at an edge and holds all partners of the sizes up to the next edge.
+    tops = np.floor((edges - 1) / threshold + 1e-6).astype(np.int64)
+    home = np.maximum(np.searchsorted(edges, sizes, "right") - 1, 0)
+    parts = np.maximum(1, tops[1:] // PART_TOKENS)
+    own = parts[np.minimum(home, len(parts) - 1)]
+    reaches_back = (home > 0) & (sizes <= tops[home])
+    return own, np.where(reaches_back, parts[np.maximum(home - 1, 0)], own)
+
+
+def _part_prefixes(counts: np.ndarray, threshold: float):
+    """Rows (key, item, sizes, place, bits) of the rarest tokens of every part of a set, by blocks of sets."""
+
+    def block(item: pa.Array, group: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        own, other = (numbers[size] for numbers in _part_numbers(threshold, int(size.max())))
+        twice = np.flatnonzero(own != other)
+        which = np.concatenate([np.arange(len(size)), twice])
+        parts = np.concatenate([own, other[twice]]).astype(np.uint64)
+        lengths = (ends - starts)[which]
+        owner = np.repeat(np.arange(len(which)), lengths)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[which], lengths)
+        code = codes[at].astype(np.int64) & 0xFFFFFFFF
+        mixed = _mixed(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        place = (owner.astype(np.int64) << 32) | ((mixed >> np.uint64(32)) % parts[owner]).astype(np.int64)
+        order = np.lexsort((counts[code % len(counts)] << 32 | code, place))
+        place, owner, code, mixed = place[order], owner[order], code[order], mixed[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        held = np.diff(np.append(first, len(place)))
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), first)
+        position = np.arange(len(place)) - np.repeat(first, held)
+        reach = held - np.ceil(threshold * held - 1e-9).astype(np.int64) + 1
+        kept = np.flatnonzero(position < np.repeat(reach, held))
+        part = np.repeat(np.arange(len(first)), held)[kept]
+        owner = owner[kept]
+        key = _mixed(_mixed(group[which[owner]].astype(np.uint64) + parts[owner]) + code[kept].astype(np.uint64))
+        sets = which[owner]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(key.view(np.int64)), item.take(pa.array(sets)), pa.array(size[sets].astype(np.int32)), pa.array(held[part].astype(np.int32)),
+                pa.array(position[kept].astype(np.int32)), pa.array(bits[part].view(np.int64)),
+            ],
+            names=["_key", "_item", "_n", "_held", "_pos", "_bits"],
         )
-        .groupBy("_l", "_r")
-        .agg(F.max(possible - needed).alias("_room"))
-        .filter(F.col("_room") >= 0)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            item, codes = batch.column(0), lists.values.to_numpy(zero_copy_only=False)
+            group, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = 0
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_TOKENS, "right")) - 1)
+                yield block(item.slice(begin, end - begin), group[begin:end], size[begin:end], offsets[begin:end], offsets[begin + 1 : end + 1], codes)
+                begin = end
+
+    return rows
+
+
+def _set_candidates(coded: DataFrame, block: Sequence[str], item: str, threshold: float) -> DataFrame:
+    """Pairs (_l, _r) of a block that hold all pairs of sets with Jaccard of at least `threshold`.
+
+    Columns read: `_n`, the true size of a set, and `_codes`. The tokens are dealt by their code to parts. The set
+    distances of the parts add up to that of the sets, and so do the sizes, so at least one part of a similar pair is itself
+    similar at the threshold. Such parts share a token among the first n - ceil(t*n) + 1 of each in any fixed order; the
+    rarest come first here. Sizes, positions and one parity bit per 64th of a part's tokens, whose differences never outnumber the
+    tokens that differ, cut the rest inside the join, before anything is written.
+    """
+    buckets = coded.select(F.explode("_codes").alias("_c")).groupBy(F.pmod("_c", F.lit(CODE_BUCKETS)).alias("_c")).agg(F.count(F.lit(1)).alias("_f"))
+    counts = np.zeros(CODE_BUCKETS, dtype=np.int64)
+    for row in buckets.collect():  # at most CODE_BUCKETS rows
+        counts[row["_c"]] = min(row["_f"], (1 << 31) - 1)
+    kind = coded.schema[item].dataType.simpleString()
+    rows = coded.select(item, F.xxhash64(*block).alias("_g"), F.col("_n").cast("int").alias("_n"), "_codes").mapInArrow(
+        _part_prefixes(counts, threshold), f"_key long, _item {kind}, _n int, _held int, _pos int, _bits long"
     )
-    arrays = ordered.select(item, tokens)
+    left, right = (rows.select("_key", *[F.col(f"_{c}").alias(f"_{side}{c}") for c in ("item", "n", "held", "pos", "bits")]) for side in "lr")
+    compatible = lambda c: (F.col(f"_l{c}") >= threshold * F.col(f"_r{c}") - 1e-9) & (F.col(f"_r{c}") >= threshold * F.col(f"_l{c}") - 1e-9)
+    both = F.col("_lheld") + F.col("_rheld")
+    # Overlap both parts need: t/(1+t) of their summed sizes. Tokens before a shared one are lost.
+    needed = F.lit(threshold / (1 + threshold)) * both - 1e-9
+    possible = F.least(F.col("_lheld") - F.col("_lpos"), F.col("_rheld") - F.col("_rpos"))
+    differ = F.bit_count(F.col("_lbits").bitwiseXOR(F.col("_rbits")))
+    met = left.join(right, "_key").filter(
+        (F.col("_litem") < F.col("_ritem")) & compatible("n") & compatible("held") & (possible >= needed) & (differ <= both - 2 * needed)
+    )
+    return cut_lineage(met.select(F.col("_litem").alias("_l"), F.col("_ritem").alias("_r")).distinct())
+
+
+def _only(rows: DataFrame, item: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose item stands in a pair; few items go to every task."""
+    wanted = pairs.select(F.explode(F.array("_l", "_r")).alias(item)).distinct()
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    return rows.join(F.broadcast(wanted) if few else wanted, item, "left_semi")
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, item: str, tokens: str, threshold: float) -> DataFrame:
+    arrays = cut_lineage(sets.select(item, tokens))
     verified = (
         candidates.join(arrays.select(F.col(item).alias("_l"), F.col(tokens).alias("_lt")), "_l")
         .join(arrays.select(F.col(item).alias("_r"), F.col(tokens).alias("_rt")), "_r")
@@ -153,22 +237,39 @@ def similar_set_pairs(sets: DataFrame, block: Sequence[str], item: str, tokens:
     )
 
 
+def similar_set_pairs(sets: DataFrame, block: Sequence[str], item: str, tokens: str, threshold: float) -> DataFrame:
+    """All pairs of items in a block with set Jaccard of at least `threshold`: (item_l, item_r, similarity).
+
+    Sets must be distinct (fold copies first) and not empty. Candidates come from compact codes; only the sets of candidates
+    are moved as tokens and compared exactly.
+    """
+    coded = cut_lineage(sets.select(*block, item, F.size(tokens).alias("_n"), _token_codes(tokens).alias("_codes")))
+    candidates = _set_candidates(coded, block, item, threshold)
+    return _verified(candidates, _only(sets, item, candidates), item, tokens, threshold)
+
+
 def merge_candidates(claims: DataFrame, claim_id: str, kind: str, text: str, threshold: float = CLAIM_THRESHOLD) -> DataFrame:
     """Best earlier claim of the same type at Jaccard 0.8 or more, the earliest on ties (JOI16).
 
     Claims with one token set fold to their first member: later copies point to it with similarity 1
-    and never form pairs. Only first members are compared with each other.
+    and never form pairs. Only first members are compared with each other. The tokens of a claim stay in its task: codes
+    are kept instead, and the texts of candidates are cut into tokens again.
     """
-    rows = spread_over_tasks(claims.select(claim_id, kind, text))
-    tokens = rows.select(claim_id, kind, F.array_sort(claim_tokens(F.col(text))).alias("_tokens"))
-    hashed = cut_lineage(tokens.withColumn("_set", F.sha2(F.array_join("_tokens", " "), 256)))
+    rows = spread_over_tasks(claims.select(claim_id, kind, text).filter(F.col(kind).isNotNull() & F.col(text).isNotNull()))
+    tokens = lambda part: part.select(claim_id, kind, F.array_sort(claim_tokens(F.col(text))).alias("_tokens"))
+    hashed = cut_lineage(
+        tokens(rows).select(
+            claim_id, kind, F.sha2(F.array_join("_tokens", " "), 256).alias("_set"), F.size("_tokens").alias("_n"), _token_codes("_tokens").alias("_codes")
+        )
+    )
     firsts = hashed.groupBy(kind, "_set").agg(F.min(claim_id).alias("_first"))
-    marked = hashed.join(firsts, [kind, "_set"])
-    copies = marked.filter(F.col(claim_id) != F.col("_first")).select(
+    copies = hashed.select(claim_id, kind, "_set").join(firsts, [kind, "_set"]).filter(F.col(claim_id) != F.col("_first")).select(
         claim_id, F.col("_first").alias("match_id"), F.lit(1.0).alias("similarity")
     )
-    leaders = marked.filter((F.col(claim_id) == F.col("_first")) & (F.size("_tokens") > 0)).select(kind, claim_id, "_tokens")
-    pairs = similar_set_pairs(leaders, [kind], claim_id, "_tokens", threshold)
+    # Copies have the same size and codes.
+    leaders = hashed.filter("_n > 0").groupBy(kind, "_set").agg(F.min(claim_id).alias(claim_id), F.first("_n").alias("_n"), F.first("_codes").alias("_codes"))
+    candidates = _set_candidates(leaders, [kind], claim_id, threshold)
+    pairs = _verified(candidates, tokens(_only(rows, claim_id, candidates)), claim_id, "_tokens", threshold)
     best = pairs.groupBy(F.col(f"{claim_id}_r").alias(claim_id)).agg(
         F.max_by(F.struct(F.col(f"{claim_id}_l").alias("m"), "similarity"), F.struct("similarity", -F.col(f"{claim_id}_l"))).alias("_b")
     )

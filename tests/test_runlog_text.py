@@ -89,6 +89,20 @@ def test_set_pairs_match_brute_force(spark):
     assert got == expected and expected
 
 
+def test_set_candidates_stay_few_in_a_fixed_vocabulary(spark):
+    rng = random.Random(12)
+    sets = {i: set(rng.sample(range(1500), rng.choice((20, 90, 400)))) for i in range(240)}
+    for i in range(240, 280):
+        kept = set(rng.sample(sorted(sets[i - 240]), int(0.9 * len(sets[i - 240]))))
+        sets[i] = kept | set(range(2000 + i, 2000 + i + rng.randrange(1, 12)))
+    rows = spark.createDataFrame([("x", i, [f"w{t}" for t in s]) for i, s in sets.items()], "g string, id long, tokens array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {(r.id_l, r.id_r) for r in X.similar_set_pairs(rows, ["g"], "id", "tokens", 0.8).collect()} == want and len(want) > 20
+    coded = rows.withColumn("_n", F.size("tokens")).withColumn("_codes", X._token_codes("tokens"))
+    # Thousands of pairs share one of the rarest tokens; nearly none of them may leave the join.
+    assert X._set_candidates(coded, ["g"], "id", 0.8).count() <= 2 * len(want)
+
+
 def test_merge_prefers_the_earliest_best(spark):
     rows = [(1, "h", "one two three four five"), (2, "h", "One two, three four five!"), (3, "h", "one two three four five six"), (4, "g", "one two three four five"), (5, "h", ""), (6, "h", "!!")]
     made = X.merge_candidates(spark.createDataFrame(rows, "id long, k string, t string"), "id", "k", "t")
