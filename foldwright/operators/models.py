@@ -144,22 +144,31 @@ def operator_feature_probe(
     held_out, target.
     """
     train, validation = cut_lineage(train), cut_lineage(block_within(validation.withColumn("_g", F.lit(1)), ["_g"], ["time", row_id], 3).drop("_g"))
+    # One order of draws permutes every context, so the contexts are moved together, once.
+    contexts = list(dict.fromkeys(CONTEXT_COLUMNS[o] for o in operators))
+    moved = train.withColumn("_context", F.struct(*contexts))
+    shuffled = cut_lineage(context_shuffle(moved, row_id, "_context", seed))
 
     def score(operator: str, rows: DataFrame) -> DataFrame:
         fitted, scored, features = probe_features(rows, validation, operator)
-        return cut_lineage(fit_predict(fitted, scored, features, "target", logistic()()).select(row_id, "target", "block", "prediction"))
+        # A fit reads its rows many times; the encoding's join is done once.
+        narrow = fitted.select(*features, "target")
+        narrow = cut_lineage(narrow) if operator == "repeated_unit_history" else narrow
+        return cut_lineage(fit_predict(narrow, scored, features, "target", logistic()()).select(row_id, "target", "block", "prediction"))
+
+    def whole_auc(scored: DataFrame) -> float:
+        return auc(scored, "target", "prediction", degenerate="half").first()["auc"]
 
     def aucs(scored: DataFrame) -> tuple[float, dict]:
-        whole = auc(scored, "target", "prediction", degenerate="half").first()["auc"]
         blocks = {r["block"]: r["auc"] for r in auc(scored, "target", "prediction", ["block"], degenerate="half").collect()}
-        return whole, blocks
+        return whole_auc(scored), blocks
 
     base, base_blocks = aucs(score("base", train))
     table = []
     for operator in operators:
         informed, blocks = aucs(score(operator, train))
-        shuffled = context_shuffle(train, row_id, CONTEXT_COLUMNS[operator], seed)
-        null, _ = aucs(score(operator, shuffled))
+        context = CONTEXT_COLUMNS[operator]
+        null = whole_auc(score(operator, shuffled.withColumn(context, F.col("_context")[context])))
         worst = min(blocks[b] - base_blocks[b] for b in base_blocks)
         table.append((operator, informed - base, null - base, float(independent_implication(train, operator)), worst))
     best = max(table, key=lambda r: r[1])[0]
