@@ -80,6 +80,9 @@ def crossfit_oof(
         train, valid = placed.filter(F.col("role") == TRAIN), placed.filter(F.col("role") == VALIDATION)
         for representation, build in representations.items():
             fitted_train, fitted_valid, features = build(train, valid)
+            # Each learner reads its rows many times; joins and windows of the representation run once.
+            fitted_train = cut_lineage(fitted_train.select(*features, target))
+            fitted_valid = cut_lineage(fitted_valid.select(row_id, target, *features))
             for learner, make in learners.items():
                 for seed in seeds:
                     scored = fit_predict(fitted_train, fitted_valid, features, target, make(seed)())
