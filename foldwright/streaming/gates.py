@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foldwright.streaming.folds import run_to_completion
 
+# Places of a run that one entry of the state holds: a call to the state store costs more than the rows of an entry.
+PLACES = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -67,14 +69,14 @@ def stream_admission(events: DataFrame, run: str, sequence: str, event_id: str)
 
 
 class _Gate(StatefulProcessor):
-    """Judges queries in log order; those that come before their turn wait in a map by their place."""
+    """Judges queries in log order; those that come before their turn wait in a map by the block of their place."""
 
     def __init__(self, policy: str, max_queries: int):
         self.strict, self.gated, self.most = policy == "strict_blind", policy == "gated_binary", max_queries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turn = handle.getValueState("turn", "next long, used long")
-        self.waiting = handle.getMapState("waiting", "place long", "score double, threshold double, reveal boolean")
+        self.waiting = handle.getMapState("waiting", "block long", "places array<long>, scores array<double>, thresholds array<double>, reveals array<boolean>")
 
     def judge(self, used: int, score: float | None, threshold: float | None, reveal: bool | None) -> tuple[str | None, bool | None, float | None, int]:
         if self.strict:
@@ -92,21 +94,31 @@ class _Gate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         place, used = self.turn.get() if self.turn.exists() else (1, 0)
         for frame in rows:
-            out = []
-            frame = frame.sort_values("sequence").astype(object)
+            out, blocks, stored, changed = [], {}, set(), set()
+
+            def held(block: int, blocks=blocks, stored=stored) -> dict:
+                if block not in blocks:
+                    found = self.waiting.getValue((block,))
+                    blocks[block] = {at: value for at, *value in zip(*found, strict=True)} if found else {}
+                    stored.update([block] if found else [])
+                return blocks[block]
+
+            frame = frame.sort_values("sequence", kind="stable").astype(object)
             values = frame[["score", "threshold", "reveal"]].where(frame[["score", "threshold", "reveal"]].notna(), None).itertuples(index=False, name=None)
             for at, value in zip(frame["sequence"].tolist(), values, strict=True):
-                if at > place and not self.waiting.containsKey((at,)):
-                    self.waiting.updateValue((at,), value)
-                if at != place:
-                    continue
-                while value is not None:
-                    refusal, passed, shown, used = self.judge(used, *value)
-                    out.append((place, refusal, refusal is None, passed, shown))
-                    place, value = place + 1, None
-                    if self.waiting.containsKey((place,)):
-                        value = tuple(self.waiting.getValue((place,)))
-                        self.waiting.removeKey((place,))
+                if at >= place and at not in held(at // PLACES):
+                    held(at // PLACES)[at] = value
+                    changed.add(at // PLACES)
+            while (value := held(place // PLACES).pop(place, None)) is not None:
+                changed.add(place // PLACES)
+                refusal, passed, shown, used = self.judge(used, *value)
+                out.append((place, refusal, refusal is None, passed, shown))
+                place += 1
+            for block in changed:
+                if blocks[block]:
+                    self.waiting.updateValue((block,), (list(blocks[block]), *([v[i] for v in blocks[block].values()] for i in range(3))))
+                elif block in stored:
+                    self.waiting.removeKey((block,))
             names = ("sequence", "refusal", "accepted", "passed", "revealed_score")
             yield pd.DataFrame({"run_id": [key[0]] * len(out), **{c: [r[k] for r in out] for k, c in enumerate(names)}}, dtype=object)
         self.turn.update((place, used))
