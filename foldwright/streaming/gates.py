@@ -33,22 +33,29 @@ def run_with_keyed_state(stream: DataFrame, name: str) -> DataFrame:
 
 
 class _Admission(StatefulProcessor):
-    """Which id holds each place of a run, and which other ids have claimed one."""
+    """Which id holds each place of a run, by blocks of places, and which other ids have claimed one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.holders = handle.getMapState("holders", "place long", "id string")
+        self.holders = handle.getMapState("holders", "block long", "places array<long>, ids array<string>")
         self.rivals = handle.getMapState("rivals", "claim string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            out = []
+            out, blocks, changed = [], {}, set()
             for place, name in zip(frame["sequence"].tolist(), frame["event_id"].tolist(), strict=True):
-                if not self.holders.containsKey((place,)):
-                    self.holders.updateValue((place,), (name,))
+                block = place // PLACES
+                if block not in blocks:
+                    found = self.holders.getValue((block,))
+                    blocks[block] = dict(zip(*found, strict=True)) if found else {}
+                if place not in blocks[block]:
+                    blocks[block][place] = name
+                    changed.add(block)
                     out.append((place, name, None))
-                elif self.holders.getValue((place,))[0] != name and not self.rivals.containsKey((f"{place}:{name}",)):
+                elif blocks[block][place] != name and not self.rivals.containsKey((f"{place}:{name}",)):
                     self.rivals.updateValue((f"{place}:{name}",), (True,))
                     out.append((place, name, "sequence_taken"))
+            for block in changed:
+                self.holders.updateValue((block,), (list(blocks[block]), list(blocks[block].values())))
             yield pd.DataFrame({"run_id": [key[0]] * len(out), **{c: [r[k] for r in out] for k, c in enumerate(("sequence", "event_id", "violation"))}}, dtype=object)
 
     def close(self) -> None:

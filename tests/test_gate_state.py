@@ -65,3 +65,12 @@ def test_gate_calls_the_store_by_blocks_of_places():
     assert [m[1] for m in made] == list(range(1, 3001))
     assert [m[2] for m in made] == [None] * 10 + ["QUERY_BUDGET_EXCEEDED"] * 2990
     assert store.calls < 300 and not store.maps["waiting"]
+
+
+def test_admission_calls_the_store_by_blocks_of_places():
+    frame = lambda name: pd.DataFrame({"sequence": list(range(2000)), "event_id": name})
+    made, store = run(gates._Admission(), [frame("a"), frame("a")])
+    assert [m[1:] for m in made] == [(p, "a", None) for p in range(2000)]
+    assert store.calls < 100
+    again, _ = run(gates._Admission(), [frame("a"), frame("b").head(3), frame("b").head(3)])
+    assert [m[3] for m in again[2000:]] == ["sequence_taken"] * 3
