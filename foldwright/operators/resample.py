@@ -12,14 +12,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from foldwright.functions.draws import hash_index, hash_key
 from foldwright.functions.scalars import direction_normalised
 from foldwright.operators.audit import ContractError
 from foldwright.operators.features import causal_group_rate
-from foldwright.operators.metrics import auc, candidate_pairs
+from foldwright.operators.metrics import auc_of_counts, candidate_pairs, counts_by_score
 from foldwright.operators.ordering import (
+    MAX_ROWS_PER_TASK,
     hot_keys,
     join_null_safe,
     number_by_key,
@@ -35,6 +36,10 @@ MINIMUM_TASKS = 2
 NULL_TAIL, FUTILITY_CONFIDENCE, MINIMUM_NULLS = 0.05, 0.05, 5
 # Values one bootstrap array holds; larger groups are cut into pieces of that many positions.
 CHUNK = 4096
+# Draws, over all repetitions, that a task holds of one stratum (8 bytes each).
+DRAWS_AT_ONCE = 40_000_000
+# Rows of small strata that are permuted together.
+ROWS_AT_ONCE = 10_000
 # Replicates that a task draws at a time, and pieces that share one drawing of them.
 REPLICATES_PER_BLOCK = 128
 PIECES_PER_DRAWING = 256
@@ -271,17 +276,71 @@ def stratified_shuffle(
 ) -> DataFrame:
     """Permute a label inside strata, once per repetition; adds `rep` and `name`.
 
-    Two row numbers per stratum, by id and by draw, are joined one to one, so each stratum keeps its
-    labels. Numbering splits hot strata, and the join key is unique.
+    The k-th row of a stratum by id receives the label of its k-th row by draw, so each stratum keeps its labels. A
+    stratum is the same rows in every repetition: it is shuffled once and permuted where it lies. Strata above
+    `max_rows`, or of more than `DRAWS_AT_ONCE` draws in all, are numbered both ways in slices and joined.
     """
+    limit = min(MAX_ROWS_PER_TASK if max_rows is None else max_rows, max(1, DRAWS_AT_ONCE // repetitions))
     # Stratum sizes do not depend on the repetition, so one check on the unrepeated rows is enough.
-    small = hot_keys(df, strata, max_rows)[1] == 0
+    hot, hot_rows = hot_keys(df, strata, limit)
+    if hot_rows == 0:
+        return _permuted_in_place(df, strata, row_id, label, seed, repetitions, name)
+    mark = F.broadcast(hot)
+    cold = _permuted_in_place(join_null_safe(df, mark, strata, "left_anti"), strata, row_id, label, seed, repetitions, name)
+    return cold.unionByName(
+        _permuted_by_join(join_null_safe(df, mark, strata, "left_semi"), strata, row_id, label, seed, repetitions, name, max_rows)
+    )
+
+
+def _permuted_in_place(df, strata, row_id, label, seed, repetitions, name):
+    """Strata that fit a task: dealt once, sorted by id, and their label put in the order of each repetition's draws."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(repetitions)), lambda rep: hash_key(seed, rep, row_id))
+    slot = F.row_number().over(Window.partitionBy(*strata).orderBy(row_id))
+    # The draws are made after the shuffle and the sort, so neither moves them.
+    placed = df.repartition(tasks, *strata).withColumn("_slot", slot).withColumn("_draws", draws)
+    added = [StructField("rep", IntegerType(), False), StructField(name, df.schema[label].dataType)]
+    columns = df.columns
+
+    def permuted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole strata, in every repetition; equal draws keep the order of ids."""
+        drawn = [b["_draws"].flatten().to_numpy().reshape(-1, repetitions) for b in held]
+        stratum = np.cumsum(np.concatenate([b["_slot"].to_numpy() for b in held]) == 1)
+        labels = pa.concat_arrays([b[label] for b in held])
+        for rep in range(repetitions):
+            draw = np.concatenate([d[:, rep] for d in drawn])
+            order = np.argsort(draw, kind="stable") if stratum[-1] == 1 else np.lexsort((draw, stratum))
+            given, at = labels.take(pa.array(order)), 0
+            for b in held:
+                made = [b[c] for c in columns] + [pa.array(np.full(b.num_rows, rep + 1, "int32")), given.slice(at, b.num_rows)]
+                yield pa.record_batch(made, names=[*columns, "rep", name])
+                at += b.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                starts = np.flatnonzero(batch["_slot"].to_numpy() == 1)
+                if len(starts):
+                    first = int(starts[0])
+                    yield from permuted([*held, batch.slice(0, first)] if first else held)
+                    held, batch = [], batch.slice(first)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from permuted(held)
+
+    return placed.mapInArrow(run, StructType([*df.schema.fields, *added]))
+
+
+def _permuted_by_join(df, strata, row_id, label, seed, repetitions, name, max_rows):
+    """Strata of any size: two row numbers, by id and by draw, joined one to one. Numbering splits hot strata."""
     place = ["rep", *strata]
     repeat = F.explode(F.sequence(F.lit(1), F.lit(repetitions)))
     # The place by id is the same in every repetition; only the draws are numbered anew.
-    by_id = number_by_key(df, strata, [row_id], "_slot", max_rows=max_rows, known_small=small).withColumn("rep", repeat)
+    by_id = number_by_key(df, strata, [row_id], "_slot", max_rows=max_rows).withColumn("rep", repeat)
     drawn = df.select(*strata, row_id, F.col(label).alias(name)).withColumn("rep", repeat).withColumn("_h", hash_key(seed, "rep", row_id))
-    by_draw = number_by_key(drawn, place, ["_h", row_id], "_slot", max_rows=max_rows, known_small=small).select(
+    by_draw = number_by_key(drawn, place, ["_h", row_id], "_slot", max_rows=max_rows).select(
         *place, "_slot", name
     )
     return join_null_safe(by_id, by_draw, [*place, "_slot"]).drop("_slot")
@@ -322,17 +381,60 @@ def context_shuffle(
 def matched_null_statistics(
     df: DataFrame, entity: str, row_id: str, period: str, target: str, held_out: str, others: Sequence[str],
     first_evaluated: int, early_before: int, late_from: int, seed: int | str = 42, repetitions: int = 20,
+    *, max_rows: int | None = None,
 ) -> DataFrame:
     """Causal-rate AUC, held-out agreement and persistence, real (rep 0) and per matched null (RES8).
 
     All repetitions run as one job keyed by `rep`.
     """
-    nulls = matched_null_shuffle(df, entity, row_id, period, others, seed, repetitions).drop(entity)
+    needed = [entity, row_id, period, target, held_out]
+    df = df.select(*dict.fromkeys([*needed, *others]))
+    nulls = matched_null_shuffle(df, entity, row_id, period, others, seed, repetitions, max_rows=max_rows).drop(entity)
     nulls = nulls.withColumnRenamed("shuffled", entity)
+    rows = df.select(*needed).withColumn("rep", F.lit(0)).unionByName(nulls.select(*needed, "rep"))
+    # A shuffle keeps the number of rows of each entity, so one check on the unrepeated rows is enough.
+    if hot_keys(df, [entity], max_rows)[1] == 0:
+        folded, shapes = _folded_entities(rows, entity, row_id, period, target, held_out, first_evaluated, early_before, late_from)
+    else:
+        folded, shapes = _folded_by_slices(rows, entity, row_id, period, target, held_out, first_evaluated, early_before, late_from, max_rows)
+    shape = shapes.groupBy("rep").agg(
+        (F.sum("_top") / F.sum("_n")).alias("agreement"), F.try_divide(F.sum("_both"), F.sum("_early")).alias("persistence")
+    )
+    return auc_of_counts(folded, ["rep"], "_rate").select("rep", "auc").join(shape, "rep")
+
+
+def _folded_entities(rows, entity, row_id, period, target, held_out, first_evaluated, early_before, late_from):
+    """Rows of an entity meet once, and leave as counts per rate; the entity's shape goes with its first row."""
+    one = Window.partitionBy("rep", entity)
+    before = one.orderBy(period, row_id).rowsBetween(Window.unboundedPreceding, -1)
+    ones = lambda condition: F.count(F.when(condition, 1)).over(one)
+    # Dealt by entity beforehand: every window below keeps that, also the one by held-out value.
+    walked = rows.repartition("rep", entity).select(
+        "*", F.coalesce(F.sum(F.col(target).cast("long")).over(before), F.lit(0)).alias("_seen"), F.count(F.lit(1)).over(before).alias("_before")
+    )
+    sized = walked.withColumn("_alike", F.count(F.lit(1)).over(Window.partitionBy("rep", entity, held_out))).select(
+        "rep", target, "_before",
+        F.when(F.col(period) >= first_evaluated, (F.col("_seen") + 1) / (F.col("_before") + 2)).alias("_rate"),
+        F.max("_alike").over(one).alias("_top"), F.count(F.lit(1)).over(one).alias("_n"),
+        ones(F.col(period) < early_before).alias("_e"), ones(F.col(period) >= late_from).alias("_l"),
+    )
+    first = F.col("_before") == 0
+    folded = cut_lineage(
+        sized.groupBy("rep", "_rate").agg(
+            F.sum((F.col(target) == 1).cast("long")).alias("_pos"), F.sum((F.col(target) != 1).cast("long")).alias("_neg"),
+            F.sum(F.when(first, F.col("_top"))).alias("_top"), F.sum(F.when(first, F.col("_n"))).alias("_n"),
+            F.count_if(first & (F.col("_e") > 0) & (F.col("_l") > 0)).alias("_both"), F.count_if(first & (F.col("_e") > 0)).alias("_early"),
+        )
+    )
+    return folded.filter(F.col("_rate").isNotNull()).select("rep", "_rate", "_pos", "_neg"), folded
+
+
+def _folded_by_slices(rows, entity, row_id, period, target, held_out, first_evaluated, early_before, late_from, max_rows):
+    """The same where an entity is too large for a task: its order is cut, and its counts are added by key."""
     # Every statistic below reads these rows, so the shuffles are done once and kept.
-    rows = cut_lineage(df.withColumn("rep", F.lit(0)).unionByName(nulls))
-    rated = causal_group_rate(rows, entity, target, [period, row_id], "_rate", extra_keys=["rep"])
-    scores = auc(rated.filter(F.col(period) >= first_evaluated), target, "_rate", ["rep"]).select("rep", "auc")
+    rows = cut_lineage(rows)
+    rated = causal_group_rate(rows, entity, target, [period, row_id], "_rate", extra_keys=["rep"], max_rows=max_rows)
+    folded = counts_by_score(rated.filter(F.col(period) >= first_evaluated), target, "_rate", ["rep"])
     cells = rows.groupBy("rep", entity, held_out).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col(period) < early_before).alias("_e"),
@@ -341,11 +443,8 @@ def matched_null_statistics(
     entities = cells.groupBy("rep", entity).agg(
         F.max("_n").alias("_top"), F.sum("_n").alias("_n"), F.sum("_e").alias("_e"), F.sum("_l").alias("_l")
     )
-    shape = entities.groupBy("rep").agg(
-        (F.sum("_top") / F.sum("_n")).alias("agreement"),
-        F.try_divide(F.count_if((F.col("_e") > 0) & (F.col("_l") > 0)), F.count_if(F.col("_e") > 0)).alias("persistence"),
-    )
-    return scores.join(shape, "rep")
+    early = F.col("_e") > 0
+    return folded, entities.withColumns({"_both": (early & (F.col("_l") > 0)).cast("long"), "_early": early.cast("long")})
 
 
 def matched_null_test(statistics: DataFrame, quantile: float = 0.95) -> DataFrame:

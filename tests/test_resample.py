@@ -49,6 +49,41 @@ def test_planted_link_is_found_and_its_shuffle_is_not(linked):
     assert verdict(broken)["real_auc"] < verdict(linked)["real_auc"] - 0.1
 
 
+def test_strata_are_permuted_by_the_stated_rule(spark):
+    """Many strata in one batch, a stratum over several batches, and null strata, labels and periods."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None, *map(str, range(40))]) if i % 3 else "large", f"l{i}" if i % 11 else None) for i in range(25_000)]
+    df = spark.createDataFrame(rows, "id long, s string, label string").repartition(5)
+    expected = {}
+    for rep in (1, 2, 3):
+        for s in {r[1] for r in rows}:
+            by_id = [r for r in rows if r[1] == s]
+            by_draw = sorted(by_id, key=lambda r: (int(hashlib.md5(f"4:{rep}:{r[0]}".encode()).hexdigest()[:15], 16), r[0]))
+            expected.update({(rep, a[0]): (a[1], a[2], b[2]) for a, b in zip(by_id, by_draw)})
+    for max_rows in (None, 1000):
+        made = B.stratified_shuffle(df, ["s"], "id", "label", 4, 3, max_rows=max_rows).collect()
+        assert len(made) == len(expected) and {(r.rep, r.id): (r.s, r.label, r.shuffled) for r in made} == expected
+
+
+def test_a_shuffle_moves_rows_once_for_all_repetitions(spark, linked):
+    made = B.stratified_shuffle(linked, ["period", "miss"], "id", "uid", 3, 20)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_null_statistics_of_large_entities_agree(spark, linked):
+    odd = linked.withColumn("period", F.when(F.col("id") % 29 != 0, F.col("period"))).withColumn("dev", F.when(F.col("id") % 13 != 0, F.col("dev")))
+    odd = odd.withColumn("uid", F.when(F.col("id") % 17 != 0, F.col("uid")))
+
+    def take(rows, max_rows):
+        made = B.matched_null_statistics(rows, "uid", "id", "period", "y", "dev", ["miss"], 3, 4, 8, 42, 4, max_rows=max_rows)
+        return {r.rep: (r.auc, r.agreement, r.persistence) for r in made.collect()}
+
+    plain = take(odd, None)
+    assert set(plain) == set(range(5)) and take(odd, 5) == plain
+
+
 def _means(rows, n_reps, seed, **options):
     return {(r["k"], r["_rep"]): r["_mean"] for r in B.bootstrap_means(rows, ["k"], "task", "d", n_reps, seed, **options).collect()}
 
