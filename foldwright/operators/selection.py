@@ -13,7 +13,7 @@ from foldwright.operators.columns import relative_gain
 from foldwright.operators.metrics import kendall_tau_b
 from foldwright.operators.ordering import join_null_safe, prefix_by_key
 from foldwright.operators.text import proposal_similarity
-from foldwright.session import cut_lineage, scratch_path
+from foldwright.session import cut_lineage, remove, scratch_path, stored
 
 # Resource scales, gain penalties, quality and final-choice weights, decision impacts.
 COST_SCALES = {"cpu_hours": 10.0, "gpu_hours": 5.0, "wall_hours": 10.0, "llm_tokens": 100_000.0, "monetary_cost": 25.0}
@@ -326,23 +326,25 @@ def falsification_targets(hypotheses: DataFrame, run: str) -> DataFrame:
     )
 
 
-def _end_of_chains(pointers: DataFrame) -> DataFrame:
-    """Pointers (node, depends_on, weight, floor) moved to the end of their chain by doubling.
+def _end_of_chains(pointers: DataFrame, folder: str) -> DataFrame:
+    """Pointers (node, depends_on, weight, floor) moved to the end of their chain by doubling, kept in `folder`.
 
     A pointer states level = max(floor, level of depends_on + weight); two of them in a row compose to one. The
     round count is the logarithm of the longest chain; pointers that still move after as many doublings as the
     table can need form a cycle.
     """
     limit = pointers.count().bit_length() + 1
-    for _ in range(limit):
+    for number in range(limit):
         further = pointers.select(
             F.col("node").alias("depends_on"), F.col("depends_on").alias("_next"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor")
         )
         joined = pointers.join(further.hint("merge"), "depends_on", "left")
-        moved = cut_lineage(joined.select(
+        moved = stored(joined.select(
             "node", F.coalesce("_next", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
             F.greatest("floor", F.col("_floor") + F.col("weight")).alias("floor"), F.col("_next").isNotNull().alias("moved"),
-        ))
+        ), f"{folder}/{number}")
+        if number:
+            remove(pointers.sparkSession, f"{folder}/{number - 1}")
         pointers = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             return pointers
@@ -357,11 +359,12 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     chain takes a logarithmic number of joins, and only nodes that wait for two or more ends cost rounds of their own.
     Contracted nodes get their levels from their ends, latest first. All joins sort: dozens of small broadcasts would
     gather in the driver, each a hash table of a round's nodes. Every table is written to the shared folder,
-    the levels and the contracted nodes each to one table with a folder per round. Nothing to place means a cycle.
+    the levels and the contracted nodes each to one table with a folder per round; a round's other tables go when the
+    next round has its own. Nothing to place means a cycle.
     """
     spark = nodes.sparkSession
     kind = nodes.select("node").schema["node"].dataType.simpleString()
-    placed, held = scratch_path(spark, "levels"), scratch_path(spark, "contracted")
+    placed, held, work = scratch_path(spark, "levels"), scratch_path(spark, "contracted"), scratch_path(spark, "rounds")
     levels = lambda: spark.read.schema(f"node {kind}, level long").option("recursiveFileLookup", "true").parquet(placed)
     waiting = nodes.select("node", F.lit(0).cast("long").alias("floor")).distinct()
     links = edges.select("node", "depends_on").distinct().join(waiting.select("node").hint("merge"), "node", "left_semi")
@@ -383,14 +386,17 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         # Edges to what is placed become floors.
         reached = links.join(ready.withColumnRenamed("node", "depends_on").hint("merge"), "depends_on", "left")
-        reached = cut_lineage(reached.withColumn("least", F.col("level") + F.col("weight")))
+        reached = stored(reached.withColumn("least", F.col("level") + F.col("weight")), f"{work}/{number}/reached")
         floors = reached.groupBy("node").agg(F.max("least").alias("least"), F.count_if(F.col("least").isNull()).alias("waits"))
-        waiting = cut_lineage(waiting.drop("waits").join(floors.hint("merge"), "node").select("node", F.greatest("floor", "least").alias("floor"), "waits"))
+        waiting = waiting.drop("waits").join(floors.hint("merge"), "node").select("node", F.greatest("floor", "least").alias("floor"), "waits")
+        waiting = stored(waiting, f"{work}/{number}/waiting")
         links = reached.filter(F.col("least").isNull()).select("node", "depends_on", "weight")
+        if number:
+            remove(spark, f"{work}/{number - 1}")
         single = waiting.filter("waits = 1").select("node", "floor")
         if number & (number + 1) or single.isEmpty():
             continue
-        ends = _end_of_chains(links.join(single.hint("merge"), "node").select("node", "depends_on", "weight", "floor"))
+        ends = _end_of_chains(links.join(single.hint("merge"), "node").select("node", "depends_on", "weight", "floor"), f"{work}/{number}/chains")
         ends.write.parquet(f"{held}/{contracted}")
         contracted += 1
         via = ends.select(F.col("node").alias("depends_on"), F.col("depends_on").alias("_end"), F.col("weight").alias("_weight"), F.col("floor").alias("_floor"))
@@ -398,11 +404,13 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "node", F.coalesce("_end", "depends_on").alias("depends_on"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
             (F.col("_floor") + F.col("weight")).alias("least"),
         )
-        links = cut_lineage(others.groupBy("node", "depends_on").agg(F.max("weight").alias("weight"), F.max("least").alias("least")))
+        links = stored(others.groupBy("node", "depends_on").agg(F.max("weight").alias("weight"), F.max("least").alias("least")), f"{work}/{number}/links")
         floors = links.groupBy("node").agg(F.max("least").alias("least"), F.count(F.lit(1)).alias("waits"))
         waiting = waiting.filter("waits <> 1").drop("waits").join(floors.hint("merge"), "node", "left")
-        waiting = cut_lineage(waiting.select("node", F.greatest("floor", "least").alias("floor"), F.coalesce("waits", F.lit(0)).alias("waits")))
+        waiting = waiting.select("node", F.greatest("floor", "least").alias("floor"), F.coalesce("waits", F.lit(0)).alias("waits"))
+        waiting = stored(waiting, f"{work}/{number}/left")
         links = links.drop("least")
+    remove(spark, work)
     for number in reversed(range(contracted)):
         ends = spark.read.parquet(f"{held}/{number}")
         known = ends.join(levels().withColumnRenamed("node", "depends_on").hint("merge"), "depends_on")

@@ -4,7 +4,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from foldwright.operators import metrics as M
 from foldwright.operators import oof as O
@@ -85,6 +87,17 @@ def test_dependency_rounds_broadcast_nothing(spark, monkeypatch):
     assert joins and all("strategy=merge" in line for line in joins)
 
 
+def test_the_estimated_size_of_dependency_rounds_does_not_grow(spark, monkeypatch):
+    bits, checkpoint, parquet = [], DataFrame.checkpoint, DataFrameWriter.parquet
+    note = lambda df: bits.append(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length())
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: note(self) or checkpoint(self, *a, **k))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: note(self._df) or parquet(self, *a, **k))
+    edges = spark.createDataFrame([(k, k // d) for k in range(1, 60) for d in (2, 3)], "node long, depends_on long")
+    made = K.dependency_levels(edges, spark.range(60).withColumnRenamed("id", "node"))
+    assert made.agg(F.max("level")).first()[0] == 6
+    assert bits and max(bits) < 200
+
+
 def test_dependency_edges_at_the_border(spark):
     nodes = spark.createDataFrame([(1,), (2,), (1,)], "node int")
     edges = lambda rows: spark.createDataFrame(rows, "node int, depends_on int")
