@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ SIGNATURE_THRESHOLD = 0.85
 SIGNATURE_FIELDS = ("target_hypotheses", "data_slice", "operation", "observable", "decision_affected")
 TOKEN_PATTERN = r"[a-z0-9_]+"
 # Most tokens of a part of a set, rows that token frequencies are counted in, tokens handled at once, pairs that go to every task.
-PART_TOKENS, CODE_BUCKETS, BLOCK_TOKENS, BROADCAST_PAIRS = 64, 1 << 16, 1 << 18, 200_000
+PART_TOKENS, CODE_BUCKETS, BLOCK_TOKENS, BROADCAST_PAIRS = 64, 1 << 20, 1 << 18, 200_000
+# Sets above which a token is a key only together with a second one, the similarity sought first, long words of a sketch.
+FREQUENT_SETS, CLOSE_THRESHOLD, SKETCH_WORDS = 4_000, 0.95, 8
 
 
 def token_leak_scan(
@@ -140,9 +142,14 @@ def _part_numbers(threshold: float, longest: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _part_prefixes(counts: np.ndarray, threshold: float):
-    """Rows (key, item, sizes, place, bits) of the rarest tokens of every part of a set, by blocks of sets."""
+    """Rows (key, item, seeks, sizes, place, bits) of the rarest tokens of every part of a set, by blocks of sets.
 
-    def block(item: pa.Array, group: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    A frequent token stands with each later one of the prefix that is longer by one: similar parts that share two tokens share
+    their first two there. Below 0.8 prefixes are too long for that.
+    """
+    frequent = FREQUENT_SETS if threshold >= CLAIM_THRESHOLD else np.iinfo(np.int64).max
+
+    def block(item: pa.Array, seeks: pa.Array, group: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         own, other = (numbers[size] for numbers in _part_numbers(threshold, int(size.max())))
         twice = np.flatnonzero(own != other)
         which = np.concatenate([np.arange(len(size)), twice])
@@ -153,43 +160,62 @@ def _part_prefixes(counts: np.ndarray, threshold: float):
         code = codes[at].astype(np.int64) & 0xFFFFFFFF
         mixed = _mixed(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         place = (owner.astype(np.int64) << 32) | ((mixed >> np.uint64(32)) % parts[owner]).astype(np.int64)
-        order = np.lexsort((counts[code % len(counts)] << 32 | code, place))
-        place, owner, code, mixed = place[order], owner[order], code[order], mixed[order]
+        often = counts[code % len(counts)].astype(np.int64)
+        order = np.lexsort((often << 32 | code, place))
+        place, owner, code, mixed, often = place[order], owner[order], code[order], mixed[order], often[order]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         held = np.diff(np.append(first, len(place)))
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), first)
         position = np.arange(len(place)) - np.repeat(first, held)
         reach = held - np.ceil(threshold * held - 1e-9).astype(np.int64) + 1
-        kept = np.flatnonzero(position < np.repeat(reach, held))
-        part = np.repeat(np.arange(len(first)), held)[kept]
-        owner = owner[kept]
-        key = _mixed(_mixed(group[which[owner]].astype(np.uint64) + parts[owner]) + code[kept].astype(np.uint64))
-        sets = which[owner]
+        part = np.repeat(np.arange(len(first)), held)
+        kept = np.flatnonzero(position < reach[part])
+        # Parts that may be similar by a single shared token need it as a key of its own, too.
+        alone = kept[(often[kept] <= frequent) | (reach == held)[part[kept]]]
+        led = kept[often[kept] > frequent]
+        partners = (np.minimum(reach, held - 1)[part[led]] - position[led]).clip(0)
+        lead = np.repeat(led, partners)
+        partner = lead + 1 + np.arange(len(lead)) - np.repeat(np.cumsum(partners) - partners, partners)
+        single = lambda at: _mixed(_mixed(group[which[owner[at]]].astype(np.uint64) + parts[owner[at]]) + code[at].astype(np.uint64))
+        key = np.concatenate([single(alone), _mixed(single(lead) + code[partner].astype(np.uint64))])
+        # Of the tokens up to the second shared one, only the first is shared.
+        place = np.concatenate([position[alone], position[partner] - 1])
+        part = part[np.concatenate([alone, lead])]
+        sets = which[owner[first[part]]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(key.view(np.int64)), item.take(pa.array(sets)), pa.array(size[sets].astype(np.int32)), pa.array(held[part].astype(np.int32)),
-                pa.array(position[kept].astype(np.int32)), pa.array(bits[part].view(np.int64)),
+                pa.array(key.view(np.int64)), item.take(pa.array(sets)), seeks.take(pa.array(sets)), pa.array(size[sets].astype(np.int32)),
+                pa.array(held[part].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(bits[part].view(np.int64)),
             ],
-            names=["_key", "_item", "_n", "_held", "_pos", "_bits"],
+            names=["_key", "_item", "_seeks", "_n", "_held", "_pos", "_bits"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            item, codes = batch.column(0), lists.values.to_numpy(zero_copy_only=False)
+            item, seeks, codes = batch.column(0), batch.column(4), lists.values.to_numpy(zero_copy_only=False)
             group, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
             begin = 0
             while begin < len(size):
                 end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_TOKENS, "right")) - 1)
-                yield block(item.slice(begin, end - begin), group[begin:end], size[begin:end], offsets[begin:end], offsets[begin + 1 : end + 1], codes)
+                yield block(item.slice(begin, end - begin), seeks.slice(begin, end - begin), group[begin:end], size[begin:end], offsets[begin:end], offsets[begin + 1 : end + 1], codes)
                 begin = end
 
     return rows
 
 
-def _set_candidates(coded: DataFrame, block: Sequence[str], item: str, threshold: float) -> DataFrame:
-    """Pairs (_l, _r) of a block that hold all pairs of sets with Jaccard of at least `threshold`.
+def _code_counts(coded: DataFrame) -> np.ndarray:
+    """How many sets hold a code, by its remainder; at most CODE_BUCKETS rows reach the driver."""
+    buckets = coded.select(F.explode("_codes").alias("_c")).groupBy(F.pmod("_c", F.lit(CODE_BUCKETS)).alias("_c")).agg(F.count(F.lit(1)).alias("_f"))
+    met = buckets.toArrow()
+    counts = np.zeros(CODE_BUCKETS, dtype=np.int32)
+    counts[met.column("_c").to_numpy()] = np.minimum(met.column("_f").to_numpy(), np.iinfo(np.int32).max)
+    return counts
+
+
+def _set_candidates(coded: DataFrame, block: Sequence[str], item: str, threshold: float, counts: np.ndarray | None = None, seeks: Column | None = None) -> DataFrame:
+    """Pairs (_l, _r) of a block that hold all pairs of sets with Jaccard of at least `threshold` whose _r seeks.
 
     Columns read: `_n`, the true size of a set, and `_codes`. The tokens are dealt by their code to parts. The set
     distances of the parts add up to that of the sets, and so do the sizes, so at least one part of a similar pair is itself
@@ -197,23 +223,23 @@ def _set_candidates(coded: DataFrame, block: Sequence[str], item: str, threshold
     rarest come first here. Sizes, positions and one parity bit per 64th of a part's tokens, whose differences never outnumber the
     tokens that differ, cut the rest inside the join, before anything is written.
     """
-    buckets = coded.select(F.explode("_codes").alias("_c")).groupBy(F.pmod("_c", F.lit(CODE_BUCKETS)).alias("_c")).agg(F.count(F.lit(1)).alias("_f"))
-    counts = np.zeros(CODE_BUCKETS, dtype=np.int64)
-    for row in buckets.collect():  # at most CODE_BUCKETS rows
-        counts[row["_c"]] = min(row["_f"], (1 << 31) - 1)
     kind = coded.schema[item].dataType.simpleString()
-    rows = coded.select(item, F.xxhash64(*block).alias("_g"), F.col("_n").cast("int").alias("_n"), "_codes").mapInArrow(
-        _part_prefixes(counts, threshold), f"_key long, _item {kind}, _n int, _held int, _pos int, _bits long"
+    wanted = (F.lit(True) if seeks is None else seeks).cast("int").alias("_seeks")
+    rows = coded.select(item, F.xxhash64(*block).alias("_g"), F.col("_n").cast("int").alias("_n"), "_codes", wanted).mapInArrow(
+        _part_prefixes(_code_counts(coded) if counts is None else counts, threshold),
+        f"_key long, _item {kind}, _seeks int, _n int, _held int, _pos int, _bits long",
     )
-    left, right = (rows.select("_key", *[F.col(f"_{c}").alias(f"_{side}{c}") for c in ("item", "n", "held", "pos", "bits")]) for side in "lr")
+    left, right = (rows.select("_key", *[F.col(f"_{c}").alias(f"_{side}{c}") for c in ("item", "seeks", "n", "held", "pos", "bits")]) for side in "lr")
     compatible = lambda c: (F.col(f"_l{c}") >= threshold * F.col(f"_r{c}") - 1e-9) & (F.col(f"_r{c}") >= threshold * F.col(f"_l{c}") - 1e-9)
     both = F.col("_lheld") + F.col("_rheld")
     # Overlap both parts need: t/(1+t) of their summed sizes. Tokens before a shared one are lost.
     needed = F.lit(threshold / (1 + threshold)) * both - 1e-9
     possible = F.least(F.col("_lheld") - F.col("_lpos"), F.col("_rheld") - F.col("_rpos"))
     differ = F.bit_count(F.col("_lbits").bitwiseXOR(F.col("_rbits")))
+    # A condition on both sides stays above the shuffle, so that one shuffle serves both.
+    asked = F.col("_lseeks") + 2 * F.col("_rseeks") >= 2
     met = left.join(right, "_key").filter(
-        (F.col("_litem") < F.col("_ritem")) & compatible("n") & compatible("held") & (possible >= needed) & (differ <= both - 2 * needed)
+        asked & (F.col("_litem") < F.col("_ritem")) & compatible("n") & compatible("held") & (possible >= needed) & (differ <= both - 2 * needed)
     )
     return cut_lineage(met.select(F.col("_litem").alias("_l"), F.col("_ritem").alias("_r")).distinct())
 
@@ -248,12 +274,62 @@ def similar_set_pairs(sets: DataFrame, block: Sequence[str], item: str, tokens:
     return _verified(candidates, _only(sets, item, candidates), item, tokens, threshold)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item, size, words): the parity of a set's tokens in each of 64 * SKETCH_WORDS places."""
+    wide = 64 * SKETCH_WORDS
+    for batch in batches:
+        lists = batch.column(2)
+        lengths = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+        codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
+        at = np.repeat(np.arange(len(lengths)), lengths) * wide + (_mixed(codes.astype(np.uint64)) % np.uint64(wide)).astype(np.int64)
+        odd = (np.bincount(at, minlength=len(lengths) * wide) & 1).astype(np.uint8).reshape(-1, wide)
+        words = np.packbits(odd, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH_WORDS)]],
+            names=["_item", "_n", *[f"_w{i}" for i in range(SKETCH_WORDS)]],
+        )
+
+
+def _best_partners(candidates: DataFrame, coded: DataFrame, tokens: Callable[[DataFrame], DataFrame], item: str, threshold: float) -> DataFrame:
+    """Most similar _l of every _r at `threshold` or more, the smallest on ties: (_r, _l, similarity).
+
+    Differing bits of two sketches never outnumber the tokens that differ, which bounds the similarity. The pair with the highest bound is
+    verified first; of the others only those whose bound still reaches what it gave.
+    """
+    kind, words = coded.schema[item].dataType.simpleString(), [f"_w{i}" for i in range(SKETCH_WORDS)]
+    drawn = cut_lineage(_only(coded.select(item, F.col("_n").cast("int").alias("_n"), "_codes"), item, candidates).mapInArrow(
+        _sketches, f"_item {kind}, _n int, " + ", ".join(f"{w} long" for w in words)
+    ))
+    of = lambda side: drawn.select(F.col("_item").alias(f"_{side}"), *[F.col(c).alias(f"_{side}{c}") for c in ("_n", *words)])
+    differ = sum((F.bit_count(F.col(f"_l{w}").bitwiseXOR(F.col(f"_r{w}"))) for w in words), F.lit(0))
+    both, differ = F.col("_l_n") + F.col("_r_n"), F.greatest(differ, F.abs(F.col("_l_n") - F.col("_r_n")))
+    bounded = candidates.join(of("l"), "_l").join(of("r"), "_r").select("_l", "_r", ((both - differ) / (both + differ)).alias("_bound"))
+    bounded = cut_lineage(bounded.filter(F.col("_bound") >= threshold - 1e-9))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        made = _verified(pairs, tokens(pairs), item, "_tokens", threshold)
+        return cut_lineage(made.select(F.col(f"{item}_r").alias("_r"), F.col(f"{item}_l").alias("_l"), "similarity"))
+
+    tops = cut_lineage(bounded.groupBy("_r").agg(F.max_by("_l", F.struct("_bound", -F.col("_l"))).alias("_l")))
+    known = verified(tops.select("_l", "_r"))
+    reached = tops.withColumnRenamed("_l", "_top").join(known.select("_r", "similarity"), "_r", "left")
+    least = F.coalesce("similarity", F.lit(threshold))
+    wins_ties = F.col("similarity").isNull() | (F.col("_l") < F.col("_top"))
+    others = bounded.join(reached, "_r").filter(
+        (F.col("_l") != F.col("_top")) & ((F.col("_bound") > least + 1e-9) | ((F.col("_bound") >= least - 1e-9) & wins_ties))
+    )
+    every = known.unionByName(verified(cut_lineage(others.select("_l", "_r"))))
+    best = every.groupBy("_r").agg(F.max_by(F.struct("_l", "similarity"), F.struct("similarity", -F.col("_l"))).alias("_b"))
+    return best.select("_r", "_b._l", "_b.similarity")
+
+
 def merge_candidates(claims: DataFrame, claim_id: str, kind: str, text: str, threshold: float = CLAIM_THRESHOLD) -> DataFrame:
     """Best earlier claim of the same type at Jaccard 0.8 or more, the earliest on ties (JOI16).
 
     Claims with one token set fold to their first member: later copies point to it with similarity 1
     and never form pairs. Only first members are compared with each other. The tokens of a claim stay in its task: codes
-    are kept instead, and the texts of candidates are cut into tokens again.
+    are kept instead, and the texts of candidates are cut into tokens again. Close matches are sought first: what has
+    one at CLOSE_THRESHOLD has its best there and seeks no more, so a group of near copies does not form all its pairs.
     """
     rows = spread_over_tasks(claims.select(claim_id, kind, text).filter(F.col(kind).isNotNull() & F.col(text).isNotNull()))
     tokens = lambda part: part.select(claim_id, kind, F.array_sort(claim_tokens(F.col(text))).alias("_tokens"))
@@ -267,13 +343,18 @@ def merge_candidates(claims: DataFrame, claim_id: str, kind: str, text: str, thr
         claim_id, F.col("_first").alias("match_id"), F.lit(1.0).alias("similarity")
     )
     # Copies have the same size and codes.
-    leaders = hashed.filter("_n > 0").groupBy(kind, "_set").agg(F.min(claim_id).alias(claim_id), F.first("_n").alias("_n"), F.first("_codes").alias("_codes"))
-    candidates = _set_candidates(leaders, [kind], claim_id, threshold)
-    pairs = _verified(candidates, tokens(_only(rows, claim_id, candidates)), claim_id, "_tokens", threshold)
-    best = pairs.groupBy(F.col(f"{claim_id}_r").alias(claim_id)).agg(
-        F.max_by(F.struct(F.col(f"{claim_id}_l").alias("m"), "similarity"), F.struct("similarity", -F.col(f"{claim_id}_l"))).alias("_b")
+    leaders = cut_lineage(
+        hashed.filter("_n > 0").groupBy(kind, "_set").agg(F.min(claim_id).alias(claim_id), F.first("_n").alias("_n"), F.first("_codes").alias("_codes")).drop("_set")
     )
-    return copies.unionByName(best.select(claim_id, F.col("_b.m").alias("match_id"), F.col("_b.similarity").alias("similarity")))
+    counts, made, seeking = _code_counts(leaders), copies, leaders.withColumn("_seeks", F.lit(True))
+    for level in sorted({max(threshold, CLOSE_THRESHOLD), threshold}, reverse=True):
+        candidates = _set_candidates(seeking, [kind], claim_id, level, counts, F.col("_seeks"))
+        best = cut_lineage(_best_partners(candidates, leaders, lambda pairs: tokens(_only(rows, claim_id, pairs)), claim_id, level))
+        made = made.unionByName(best.select(F.col("_r").alias(claim_id), F.col("_l").alias("match_id"), "similarity"))
+        found = best.select(F.col("_r").alias(claim_id), F.lit(False).alias("_seeks"))
+        few = best.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+        seeking = leaders.join(F.broadcast(found) if few else found, claim_id, "left").fillna(True, ["_seeks"])
+    return made
 
 
 def signature_similarity(left: str, right: str) -> Column:

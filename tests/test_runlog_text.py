@@ -110,6 +110,74 @@ def test_merge_prefers_the_earliest_best(spark):
     assert got == {2: (1, 1.0), 3: (1, 0.8333), 6: (5, 1.0)}
 
 
+def _near_copies(rng, groups, copies, common):
+    """Claims of a fixed vocabulary in groups of near copies; the first words are frequent."""
+    words = [f"w{i}" for i in range(600)]
+    claims = {}
+    for _ in range(groups):
+        base = words[:common] + rng.sample(words[common:], rng.choice((6, 30, 90)))
+        for _ in range(rng.randrange(1, copies)):
+            kept = [w for w in base if rng.random() > rng.choice((0.0, 0.02, 0.1))]
+            claims[len(claims)] = kept + [f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))]
+    return {k: v for k, v in claims.items() if v}
+
+
+def _plain_best(claims, threshold):
+    best = {}
+    for k, v in claims.items():
+        near = [(len(set(v) & set(u)) / len(set(v) | set(u)), -i) for i, u in claims.items() if i < k]
+        top = max(near, default=(0.0, 0))
+        if top[0] >= threshold:
+            best[k] = (-top[1], round(top[0], 9))
+    return best
+
+
+@pytest.mark.parametrize("frequent, words", [(5, 8), (40, 1)])
+def test_merge_finds_the_best_of_many_near_copies(spark, monkeypatch, frequent, words):
+    # Few words of a sketch make bounds loose; few sets make nearly every token frequent.
+    monkeypatch.setattr(X, "FREQUENT_SETS", frequent)
+    monkeypatch.setattr(X, "SKETCH_WORDS", words)
+    claims = _near_copies(random.Random(frequent), 25, 12, 3)
+    rows = spark.createDataFrame([(k, "h", " ".join(v)) for k, v in claims.items()], "id long, k string, t string")
+    made = X.merge_candidates(rows, "id", "k", "t").collect()
+    want = _plain_best(claims, 0.8)
+    assert {r.id: (r.match_id, round(r.similarity, 9)) for r in made} == want
+    assert len(made) == len(want) and any(s < 0.95 for _, s in want.values()) and any(0.95 <= s < 1 for _, s in want.values())
+
+
+def test_merge_verifies_few_of_the_pairs_of_a_large_group(spark, monkeypatch):
+    pairs, verified = [], X._verified
+    monkeypatch.setattr(X, "_verified", lambda candidates, *rest: pairs.append(candidates.count()) or verified(candidates, *rest))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    claims = {k: [w for w in base if rng.random() > 0.05] for k in range(150)}
+    made = X.merge_candidates(spark.createDataFrame([(k, "h", " ".join(v)) for k, v in claims.items()], "id long, k string, t string"), "id", "k", "t")
+    assert {r.id: (r.match_id, round(r.similarity, 9)) for r in made.collect()} == _plain_best(claims, 0.8)
+    # 11,175 pairs are similar.
+    assert sum(pairs) < 2000
+
+
+def test_similar_sets_of_frequent_tokens_meet_by_two(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(60), rng.randrange(1, 14))) for i in range(300)}
+    for i in range(300, 330):
+        sets[i] = sets[i - 300] ^ {rng.randrange(60)}
+    distinct = {tuple(sorted(v)): k for k, v in reversed(list(sets.items())) if v}
+    rows = spark.createDataFrame([("x", k, [f"w{t}" for t in v]) for v, k in distinct.items()], "g string, id long, tokens array<string>")
+    coded = rows.withColumn("_n", F.size("tokens")).withColumn("_codes", X._token_codes("tokens"))
+    counts, joined = X._code_counts(coded), []
+    for frequent in (10**9, 5):
+        monkeypatch.setattr(X, "FREQUENT_SETS", frequent)
+        prefixes = coded.select("id", F.lit(1).cast("long"), F.col("_n").cast("int"), "_codes", F.lit(1)).mapInArrow(
+            X._part_prefixes(counts, 0.8), "_key long, _item long, _seeks int, _n int, _held int, _pos int, _bits long"
+        )
+        joined.append(prefixes.groupBy("_key").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0])
+    assert joined[1] < joined[0] / 3
+    got = {(r.id_l, r.id_r) for r in X.similar_set_pairs(rows, ["g"], "id", "tokens", 0.8).collect()}
+    items = sorted((k, set(v)) for v, k in distinct.items())
+    assert got == {(a, b) for i, (a, s) in enumerate(items) for b, t in items[i + 1 :] if len(s & t) / len(s | t) >= 0.8} and len(got) > 20
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
